@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,3 +61,16 @@ def prefix_sum(df: DataFrame, part: list[str], order: list[str], value: Column,
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='weftline-')}/{package.name}", "zip", package.parent, package.name)
+        sc.addPyFile(made)
+        _shipped.add(sc.applicationId)

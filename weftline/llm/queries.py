@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, mixing, sharding
+from weftline.llm import decontaminate, mixing, neardup, sharding
 from weftline.llm.common import table
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,7 @@ def op9_benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_lpt_shards": op5_lpt_shards,
     "op8_source_mix": op8_source_mix,
     "op9_benchmark_overlaps": op9_benchmark_overlaps,
