@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, mixing, neardup, sharding
+from weftline.llm import decontaminate, mixing, neardup, quality, sharding
 from weftline.llm.common import table
 
 
+def op3_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -26,6 +31,7 @@ def op9_benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_quality_scores": op3_quality_scores,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_lpt_shards": op5_lpt_shards,
     "op8_source_mix": op8_source_mix,
