@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, mixing, neardup, quality, sharding
+from weftline.llm import decontaminate, mixing, neardup, ppm, quality, sharding
 from weftline.llm.common import table
 
 
@@ -30,12 +30,17 @@ def op9_benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_quality_scores": op3_quality_scores,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_lpt_shards": op5_lpt_shards,
     "op8_source_mix": op8_source_mix,
     "op9_benchmark_overlaps": op9_benchmark_overlaps,
+    "op10_ppm_scores": op10_ppm_scores,
 }
 
 ORACLES: dict[str, str] = {}
