@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import ann, decontaminate, mixing, neardup, ppm, quality, sharding
+from weftline.llm import ann, decontaminate, mixing, neardup, pii, ppm, quality, sharding
 from weftline.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -41,6 +45,7 @@ def op10_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_rp_forest": op1_rp_forest,
+    "op2_pii_spans": op2_pii_spans,
     "op3_quality_scores": op3_quality_scores,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_lpt_shards": op5_lpt_shards,
