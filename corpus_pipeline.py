@@ -6,22 +6,40 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, mixing, sharding
+from weftline.llm import decontaminate, mixing, neardup, quality, sharding
 from weftline.llm.common import shared_dir, table
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop what a classifier learnt from ``labels`` rejects."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the least doc_id of each near-duplicate class."""
+    return neardup.keep_one(docs)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop every document that holds a benchmark item."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Give each source its target share: a document comes as often as the mix takes its tokens."""
+    return mixing.mixed_documents(docs)
+
+
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deal what is left into shards."""
     return sharding.shard_documents(docs)
 
 
 STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
     ("benchmark_decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
     ("sharding", sharding_stage),
 ]
 

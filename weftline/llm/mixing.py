@@ -106,3 +106,18 @@ def taken_words(spans: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataF
     totals = met.where("size > 0").groupBy("doc_id", "source", "size", "source_size", "target", "skey", "start").agg(F.sum(words).cast("long").alias("taken"))
     kept = ["doc_id", "size", "source_size", "target", "taken"]
     return totals.select("source", *kept).unionByName(spans.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select("source", *kept))
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` with each row as often as the mix takes its tokens: whole times, and once more with the chance that the rest asks for.
+
+    The chance is a hash of doc_id, so reruns agree, and sums of sizes stay near the targets. Rows
+    without tokens come once. All columns stay; the text moves only in one join by doc_id.
+    """
+    spans, slots = mix(docs)
+    taken = taken_words(spans, slots).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size")).withColumnRenamed("doc_id", "_mixed")
+    chance = F.pmod(F.xxhash64(F.lit(SEED), "_mixed"), F.lit(1 << 20)) / (1 << 20)
+    times = F.when(F.col("_size") == 0, 1).otherwise(F.floor(F.col("_taken") / F.greatest("_size", F.lit(1)) + chance)).cast("int")
+    copies = taken.select("_mixed", times.alias("_times")).where("_times > 0")
+    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_mixed"]))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*(docs[c] for c in docs.columns))

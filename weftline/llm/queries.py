@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.llm import ann, decontaminate, mixing, neardup, pii, ppm, quality, sharding
-from weftline.llm.common import table
+from weftline.llm import ann, decontaminate, mixing, neardup, pii, ppm, quality, rollups, secrets, sharding
+from weftline.llm.common import shared_dir, table
 
 
 def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +33,31 @@ def op5_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def _maintained(spark: SparkSession, sf_dir: str, *tokenizers: str) -> DataFrame:
+    """Load all documents under each tokenizer, replay a load, move the documents labelled as poor to a source of their own and delete the toxic ones."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rollup = rollups.TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    for tokenizer in (*tokenizers, tokenizers[0]):
+        rollup.commit(f"load-{tokenizer.partition('@')[0]}", inserts=rollups.counted(docs, tokenizer))
+    poor = docs.join(labels.where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi").withColumn("source", F.lit("poor"))
+    rollup.commit("revise-poor", revisions=rollups.counted(poor, tokenizers[0]))
+    rollup.commit("delete-toxic", deletes=labels.where("toxic = 1").select("doc_id", F.lit(tokenizers[0]).alias("tokenizer")))
+    return rollup.totals()
+
+
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _maintained(spark, sf_dir, "words@1", "byte_bpe_50k@1")
+
+
+def token_rollup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op6 that SQL can count."""
+    return _maintained(spark, sf_dir, "words@1")
+
+
+def op7_secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans, slots = mixing.mix(table(spark, sf_dir, "documents"))
     return mixing.taken_words(spans, slots).drop("source")
@@ -49,9 +77,60 @@ QUERIES = {
     "op3_quality_scores": op3_quality_scores,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_lpt_shards": op5_lpt_shards,
+    "op6_token_rollup": op6_token_rollup,
+    "token_rollup_words": token_rollup_words,
+    "op7_secret_findings": op7_secret_findings,
     "op8_source_mix": op8_source_mix,
     "op9_benchmark_overlaps": op9_benchmark_overlaps,
     "op10_ppm_scores": op10_ppm_scores,
 }
 
-ORACLES: dict[str, str] = {}
+#: Blocks, epochs and ranks by the same rules; streams are in order of doc_id, as they are up to one
+#: chunk of rows (50,000; the larger tables are tested against it by totals). The draw of output shards doesn't change what is taken.
+_MIX_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), s0 AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), s1 AS (
+  SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS skey FROM s0
+), s2 AS (
+  SELECT *, CAST([3, 1, 2][CAST(skey % 3 + 1 AS INT)] AS DOUBLE) AS weight, CAST(source_size * 2 AS DOUBLE) AS cap FROM s1
+), s3 AS (
+  SELECT *, cap / weight AS ratio,
+    (sum(source_size) OVER () * 1.5 - coalesce(sum(cap) OVER (ORDER BY cap / weight, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+      / sum(weight) OVER (ORDER BY cap / weight, skey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS trial
+  FROM s2
+), s4 AS (
+  SELECT source, skey, source_size, least(cap, weight * max(CASE WHEN ratio >= trial THEN trial END) OVER ()) AS target FROM s3
+), p AS (
+  SELECT d.doc_id, d.size, s4.skey, s4.source_size, s4.target, CAST(round(s4.target) AS BIGINT) AS goal,
+    CAST(coalesce(sum(size) OVER (PARTITION BY s4.skey ORDER BY doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+    row_number() OVER () AS row_id
+  FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source
+), spans AS (
+  SELECT *, unnest(range(start // 256, (start + size - 1) // 256 + 1)) AS block FROM p WHERE size > 0
+), blocks AS (
+  SELECT skey, source_size, goal, block, unnest(range(0, (greatest(goal, 1) - 1) // greatest(source_size, 1) + 1)) AS epoch FROM spans WHERE start <= block * 256
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY skey, epoch ORDER BY md5(concat_ws(':', 20240117, epoch, skey, block)), block) - 1 AS rank FROM blocks
+), placed AS (
+  SELECT *, max(CASE WHEN block = (source_size - 1) // 256 THEN rank END) OVER (PARTITION BY skey, epoch) AS short_rank FROM ranked
+), slots AS (
+  SELECT skey, block, greatest(0, least(256, source_size - block * 256, goal - (epoch * source_size + rank * 256
+    - CASE WHEN rank > short_rank THEN ((source_size - 1) // 256 + 1) * 256 - source_size ELSE 0 END))) AS words FROM placed
+), taken AS (
+  SELECT row_id, sum(greatest(0, least(start + size, block * 256 + words) - greatest(start, block * 256))) AS taken FROM spans JOIN slots USING (skey, block) GROUP BY row_id
+)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM p LEFT JOIN taken USING (row_id)
+"""
+
+#: Final counts of the maintained rollup, computed from the documents at once.
+_ROLLUP_SQL = r"""
+WITH poor AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0), toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1)
+SELECT CASE WHEN doc_id IN (SELECT doc_id FROM poor) THEN 'poor' ELSE source END AS source, lang, 'words@1' AS tokenizer, count(*) AS docs,
+  CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS tokens
+FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM toxic) GROUP BY ALL
+"""
+
+ORACLES: dict[str, str] = {"op8_source_mix": _MIX_SQL, "token_rollup_words": _ROLLUP_SQL}
