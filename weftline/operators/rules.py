@@ -1,14 +1,222 @@
-"""Rules over itineraries."""
+"""Plan validation: 41 rules over a batch of itineraries, each a predicate or an anti-join (inventory 2.10).
+
+Plans are rows (query_id, day from 0, the eight cells); queries have query_id, org, dest, days, people,
+budget, visiting_city_number, constraint (map) and cuisines (array). Every rule emits (query_id, code,
+day, field, blocking); only cost.unknown doesn't block.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.parsing import DAY_KEYS, MEALS, filled, or_empty, place_city, place_name, route_from, route_to, split_attractions, strip_paren, transport_mode
+from weftline.functions.text import stripped
+from weftline.operators.itinerary import Atlas, find_places, leg_ends, place_cells, plan_costs
+
+#: Room types that a constraint allows.
+ROOMS = {"shared room": "Shared room", "private room": "Private room", "entire room": "Entire home/apt"}
+
 
 def runs(rows: DataFrame, by: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
     """Add ``island``: equal neighbouring values of a group share a number."""
     whole, own = Window.partitionBy(*by).orderBy(*order), Window.partitionBy(*by, value).orderBy(*order)
     return rows.withColumn("island", F.row_number().over(whole) - F.row_number().over(own))
+
+
+def issue(rows: DataFrame, code: str | Column, field: str | Column | None = None, day: Column | None = None, blocking: bool = True) -> DataFrame:
+    text = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
+    return rows.select("query_id", text(code).alias("code"), (F.lit(None) if day is None else day).cast("int").alias("day"), text(field).alias("field"), F.lit(blocking).alias("blocking"))
+
+
+def day_issues(rows: DataFrame, *tests: tuple[Column, str, str | None]) -> DataFrame:
+    """Issues of a day row: (test, code, field) each."""
+    found = F.array(*(F.when(test, F.struct(F.lit(code).alias("code"), F.lit(field).cast("string").alias("field"))) for test, code, field in tests))
+    hit = rows.select("query_id", "day", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("i"))
+    return issue(hit, F.col("i.code"), F.col("i.field"), F.col("day"))
+
+
+def routed(plans: DataFrame) -> DataFrame:
+    """Add the day's ends (o, d), whether it moves, its cities and where it lodges."""
+    city = F.col("current_city")
+    o, d = stripped(strip_paren(route_from(city))), stripped(strip_paren(route_to(city)))
+    stay = stripped(strip_paren(stripped(or_empty(city))))
+    out = plans.withColumns({"o": o, "d": d, "moving": (o != "") | (d != ""), "stay": stay})
+    cities = F.when(F.col("moving"), F.array("o", "d")).otherwise(F.array("stay"))
+    return out.withColumns({"cities": F.filter(cities, lambda c: c != ""), "lodging": F.when(F.col("moving"), F.nullif("d", F.lit(""))).otherwise(F.nullif("stay", F.lit("")))})
+
+
+def city_lists(days: DataFrame) -> DataFrame:
+    """query_id, list: the cities of a plan in order, two for a moving day."""
+    both = F.when(F.col("moving"), F.array("o", "d")).otherwise(F.when(F.col("lodging").isNotNull(), F.array("lodging")).otherwise(F.array().cast("array<string>")))
+    rows = days.select("query_id", F.struct("day", both.alias("c")).alias("x"))
+    return rows.groupBy("query_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["c"])).alias("list"))
+
+
+def bad_sequence(rows: DataFrame) -> DataFrame:
+    """Queries whose city list has under three entries, an inner city alone, or one that comes back."""
+    spots = rows.select("query_id", F.size("list").alias("n"), F.posexplode("list").alias("pos", "city"))
+    blocks = runs(spots, ["query_id"], "city", ["pos"]).groupBy("query_id", "n", "city", "island").agg(F.min("pos").alias("first"), F.count("*").alias("length"))
+    seen = F.row_number().over(Window.partitionBy("query_id", "city").orderBy("first"))
+    blocks = blocks.withColumn("again", seen > 1)
+    last = F.col("first") + F.col("length") - 1
+    alone = (F.col("length") == 1) & (last > 0) & (last < F.col("n") - 1)
+    back = F.col("again") & (F.col("first") != 0) & (F.col("first") != F.col("n") - 1)
+    return rows.where(F.size("list") < 3).select("query_id").union(blocks.where(alone | back).select("query_id")).distinct()
+
+
+def validate_plans(plans: DataFrame, queries: DataFrame, atlas: Atlas, strict: bool = False) -> DataFrame:
+    """All issues of all plans. ``strict`` checks every inner city's state, not the first only."""
+    q = queries.withColumnRenamed("days", "_days")
+    out: list[DataFrame] = [issue(q.join(plans.select("query_id").distinct(), "query_id", "left_anti"), "plan.empty")]
+    n = plans.groupBy("query_id").agg(F.count("*").alias("n"))
+    out.append(issue(n.join(q, "query_id").where("n != _days"), "days.count"))
+    days = routed(plans.join(q, "query_id").where(F.col("day") < F.col("_days")))
+    city, trip = F.col("current_city"), F.col("transportation")
+    lacks = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in DAY_KEYS))
+    looks = F.contains(or_empty(city), F.lit("from ")) | F.contains(or_empty(city), F.lit(" to "))
+    moving, mode = F.col("moving"), transport_mode(trip)
+    ban = F.try_element_at("constraint", F.lit("transportation"))
+    banned = ((ban == "no flight") & F.contains(trip, F.lit("Flight"))) | ((ban == "no self-driving") & F.contains(trip, F.lit("Self-driving")))
+    att = stripped(or_empty(F.col("attraction")))
+    lodged = filled(F.col("accommodation"))
+    out.append(
+        day_issues(
+            days,
+            (F.col("days") != F.col("day") + 1, "days.seq", "days"),
+            (lacks, "day.keys", None),
+            (~lacks & ~moving & looks, "current_city.malformed", "current_city"),
+            (~lacks & ~moving & (stripped(or_empty(city)) == ""), "current_city.empty", "current_city"),
+            (filled(trip) & mode.isNull(), "transport.template", "transportation"),
+            (~filled(trip) & moving, "transport.missing", "transportation"),
+            (filled(trip) & F.coalesce(banned, F.lit(False)), "constraint.transport", "transportation"),
+            *((~filled(F.col(m)) & ~moving, "completeness.meal", m) for m in MEALS),
+            (~filled(F.col("attraction")) & ~moving, "completeness.attraction", "attraction"),
+            (filled(F.col("attraction")) & ~F.endswith(att, F.lit(";")), "attraction.format", "attraction"),
+            (~lodged & (F.col("day") != F.col("_days") - 1), "completeness.accommodation", "accommodation"),
+            (lodged & F.col("lodging").isNotNull() & ~F.contains("accommodation", F.col("lodging")), "accom.city_mismatch", "accommodation"),
+        )
+    )
+    out += _routes(days, q, atlas, strict)
+    out += _transport(days, atlas)
+    out += _meals(days, q, atlas)
+    out += _attractions(days, atlas)
+    out += _lodging(days, atlas)
+    said = sum(((filled(F.col(k))).cast("int") for k in DAY_KEYS), F.lit(0))
+    sparse = days.groupBy("query_id", "_days").agg(F.sum(said).alias("said")).where(F.col("said") < 3 * F.col("_days"))
+    out.append(issue(sparse, "completeness.absent"))
+    costs = plan_costs(plans, queries, atlas).join(q.select("query_id", "budget"), "query_id")
+    out.append(issue(costs.where("unknown > 0"), "cost.unknown", blocking=False))
+    out.append(issue(costs.where("total > budget"), "budget.over"))
+    return reduce(DataFrame.union, out)
+
+
+def _routes(days: DataFrame, q: DataFrame, atlas: Atlas, strict: bool) -> list[DataFrame]:
+    lists = city_lists(days)
+    both = lists.join(q, "query_id").where((F.col("_days") >= 1) & (F.size("list") >= 2))
+    first = days.where("day = 0").select("query_id", F.when(F.col("moving"), F.col("o")).alias("first"))
+    starts = both.join(first, "query_id", "left").where(~F.coalesce(F.col("first") == F.col("org"), F.lit(False)))
+    open_ = both.where(F.element_at("list", 1) != F.element_at("list", -1))
+    spots = lists.select("query_id", F.size("list").alias("n"), F.posexplode("list").alias("pos", "name")).where("name != ''")
+    known = spots.join(atlas.cities.select("name", "state", "covered"), "name", "left").join(q.select("query_id", "dest", "org", "_days", "visiting_city_number"), "query_id")
+    at = F.floor(F.col("pos") / 2)
+    inner = known.where((F.col("pos") > 0) & (F.col("pos") < F.col("n") - 1))
+    away = inner.where((F.col("_days") > 3) & F.col("state").isNotNull() & (F.col("state") != "") & (F.col("state") != F.col("dest")))
+    if not strict:  # one issue a plan, for the first inner city of another state
+        away = away.groupBy("query_id").agg(F.min("pos").alias("pos"))
+    seen = known.where("name != org").groupBy("query_id").agg(F.count_distinct("name").alias("cities"))
+    count = lists.select("query_id").join(seen, "query_id", "left").na.fill(0).join(q, "query_id").where("cities != visiting_city_number")
+    return [
+        issue(starts, "route.start"), issue(open_, "route.loop"), issue(bad_sequence(lists), "route.sequence"), issue(known.where("state is null"), "route.city_invalid", day=at),
+        issue(away, "route.state", day=at), issue(inner.where("not covered"), "city.uncovered", day=at), issue(count, "route.city_count"),
+    ]
+
+
+def _transport(days: DataFrame, atlas: Atlas) -> list[DataFrame]:
+    legs = leg_ends(days)
+    flown = legs.where("mode = 'Flight'")
+    first = atlas.flights.groupBy("number").agg(F.min_by(F.struct("origin", "dest"), "ord").alias("f")).select("number", F.col("f.origin").alias("origin"), F.col("f.dest").alias("dest"))
+    lost = flown.join(first, ["number", "origin", "dest"], "left_anti")
+    driven = days.where(filled(F.col("transportation"))).withColumn("mode", transport_mode(F.col("transportation"))).where("mode in ('Taxi', 'Self-driving')")
+    off = driven.select("query_id", "day", F.col("o").alias("origin"), F.col("d").alias("dest")).join(atlas.ground.where("valid"), ["origin", "dest"], "left_anti")
+    unsaid = days.where(filled(F.col("transportation"))).select("query_id", "day", "transportation", F.explode("cities").alias("c")).where(~F.contains("transportation", F.col("c")))
+    modes = legs.groupBy("query_id").agg(F.collect_set("mode").alias("modes"))
+    has = lambda m: F.array_contains("modes", m)
+    mixed = modes.where((has("Self-driving") & has("Flight")) | (has("Taxi") & has("Self-driving")))
+    t, day = "transportation", F.col("day")
+    return [issue(lost, "transport.flight_not_in_graph", t, day), issue(off, "transport.ground_not_in_graph", t, day), issue(unsaid, "transport.endpoint_mismatch", t, day), issue(mixed, "transport.mixed")]
+
+
+def _named(cells: DataFrame) -> Column:
+    return (F.col("name") != "-") & (F.col("city") != "-")
+
+
+def _elsewhere() -> Column:
+    """No city of the day is in the cell."""
+    return ~F.exists("cities", lambda c: F.contains(F.col("cell"), c))
+
+
+def _meals(days: DataFrame, q: DataFrame, atlas: Atlas) -> list[DataFrame]:
+    cells = place_cells(days, MEALS).join(days.select("query_id", "day", "cities"), ["query_id", "day"])
+    day, field = F.col("day"), F.col("field")
+    several = F.contains("cell", F.lit(";"))
+    single = cells.where(~several)
+    found = find_places(single.where(_named(single)), atlas.restaurants, ["cuisines"])
+    served = found.where("found is not null")
+    order = F.when(field == "breakfast", 0).when(field == "lunch", 1).otherwise(2)
+    nth = F.row_number().over(Window.partitionBy("query_id", F.trim("cell")).orderBy("day", order))
+    tasted = served.select("query_id", F.col("city").alias("_at"), F.col("found.cuisines").alias("dishes"))
+    wanted = q.select("query_id", "org", F.explode("cuisines").alias("cuisine"))
+    covered = wanted.join(tasted, "query_id").where((F.col("_at") != F.col("org")) & F.contains("dishes", F.col("cuisine"))).select("query_id", "cuisine")
+    return [
+        issue(cells.where(several), "meal.multi_entity", field, day), issue(single.where(~_named(single)), "meal.format", field, day), issue(found.where("found is null"), "meal.not_in_graph", field, day),
+        issue(served.where(_elsewhere()), "meal.city_mismatch", field, day), issue(served.withColumn("nth", nth).where("nth > 1"), "meal.repeat", field, day),
+        issue(wanted.join(days.select("query_id").distinct(), "query_id", "left_semi").join(covered, ["query_id", "cuisine"], "left_anti"), "constraint.cuisine"),
+    ]
+
+
+def _attractions(days: DataFrame, atlas: Atlas) -> list[DataFrame]:
+    items = days.where(filled(F.col("attraction"))).select("query_id", "day", "cities", F.posexplode(split_attractions(F.col("attraction"))).alias("pos", "cell"))
+    items = items.withColumns({"name": place_name(F.col("cell")), "city": place_city(F.col("cell"))})
+    good = items.where(_named(items))
+    found = find_places(good, atlas.attractions, ["name"])
+    nth = F.row_number().over(Window.partitionBy("query_id", "cell").orderBy("day", "pos"))
+    day, a = F.col("day"), "attraction"
+    return [
+        issue(items.where(~_named(items)), "attraction.format", a, day), issue(found.where("found is null"), "attraction.not_in_graph", a, day), issue(good.where(_elsewhere()), "attraction.city_mismatch", a, day),
+        issue(good.withColumn("nth", nth).where("nth > 1"), "attraction.repeat", a, day),
+    ]
+
+
+def _lodging(days: DataFrame, atlas: Atlas) -> list[DataFrame]:
+    cells = place_cells(days, ("accommodation",)).join(days.select("query_id", "day", "constraint"), ["query_id", "day"])
+    found = find_places(cells, atlas.accommodations, ["room_type", "house_rules", "min_nights"])
+    known = found.where("found is not null")
+    room, want = F.coalesce("found.room_type", F.lit("")), F.try_element_at("constraint", F.lit("room type"))
+    allowed = F.create_map(*(F.lit(x) for kv in ROOMS.items() for x in kv))
+    wrong = ((want == "not shared room") & (room == "Shared room")) | (room != F.try_element_at(allowed, want))
+    rule = F.try_element_at("constraint", F.lit("house rule"))
+    broken = F.contains(F.coalesce("found.house_rules", F.lit("")), F.concat(F.lit("No "), rule))
+    day, a = F.col("day"), "accommodation"
+    # Runs over all days, so that a day without lodging parts two stays.
+    stays = runs(days.select("query_id", "day", F.coalesce("accommodation", F.lit("-")).alias("cell")), ["query_id"], "cell", ["day"])
+    stays = stays.groupBy("query_id", "cell", "island").agg(F.min("day").alias("day"), F.count("*").alias("nights")).where(filled(F.col("cell")))
+    stays = find_places(stays.withColumns({"name": place_name(F.col("cell")), "city": place_city(F.col("cell"))}), atlas.accommodations, ["min_nights"])
+    return [
+        issue(found.where("found is null"), "accom.not_in_graph", a, day), issue(known.where(F.coalesce(wrong, F.lit(False))), "constraint.room_type", a, day),
+        issue(known.where(F.coalesce(broken, F.lit(False))), "constraint.house_rule", a, day), issue(stays.where(F.col("nights") < F.floor(F.coalesce("found.min_nights", F.lit(0.0)))), "accom.min_nights", a, day),
+    ]
+
+
+def dominates(new: DataFrame, old: DataFrame) -> DataFrame:
+    """query_id, better: fewer blocking issues, or as many, none of a new code, and a total lower by over 0.5.
+
+    Both have query_id, blocking (number), codes (array of blocking codes) and total.
+    """
+    both = new.join(old.toDF("query_id", "_blocking", "_codes", "_total"), "query_id")
+    less = F.col("blocking") < F.col("_blocking")
+    tie = (F.col("blocking") == F.col("_blocking")) & (F.size(F.array_except("codes", "_codes")) == 0) & (F.col("total") < F.col("_total") - 0.5)
+    return both.select("query_id", (less | tie).alias("better"))
