@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that one chunk of a two-level rank or prefix sum aims at.
-CHUNK_ROWS = 50_000
+CHUNK_ROWS = 5_000
 
 
 def shared_dir(spark: SparkSession) -> str:

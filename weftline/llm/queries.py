@@ -86,7 +86,7 @@ QUERIES = {
 }
 
 #: Blocks, epochs and ranks by the same rules; streams are in order of doc_id, as they are up to one
-#: chunk of rows (50,000; the larger tables are tested against it by totals). The draw of output shards doesn't change what is taken.
+#: chunk of rows (5,000; the larger tables are tested against it by totals). The draw of output shards doesn't change what is taken.
 _MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
