@@ -39,8 +39,9 @@ def _maintained(spark: SparkSession, sf_dir: str, *tokenizers: str) -> DataFrame
     rollup = rollups.TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
     for tokenizer in (*tokenizers, tokenizers[0]):
         rollup.commit(f"load-{tokenizer.partition('@')[0]}", inserts=rollups.counted(docs, tokenizer))
-    poor = docs.join(labels.where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi").withColumn("source", F.lit("poor"))
-    rollup.commit("revise-poor", revisions=rollups.counted(poor, tokenizers[0]))
+    # Counts are joined, not texts.
+    poor = rollups.counted(docs, tokenizers[0]).join(labels.where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    rollup.commit("revise-poor", revisions=poor.withColumn("source", F.lit("poor")))
     rollup.commit("delete-toxic", deletes=labels.where("toxic = 1").select("doc_id", F.lit(tokenizers[0]).alias("tokenizer")))
     return rollup.totals()
 
@@ -133,4 +134,22 @@ SELECT CASE WHEN doc_id IN (SELECT doc_id FROM poor) THEN 'poor' ELSE source END
 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM toxic) GROUP BY ALL
 """
 
-ORACLES: dict[str, str] = {"op8_source_mix": _MIX_SQL, "token_rollup_words": _ROLLUP_SQL}
+_WORDS_SQL = r"""list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[[:punct:]\s]+(\s|$)|(^|\s)[[:punct:]\s]+|\s+', ' ', 'g'), ' '), lambda w: w <> '')"""
+_SEEDS_SQL = """SELECT {id}, p, 0 AS m, concat_ws(' ', w[p], w[p+1], w[p+3], w[p+4], w[p+7], w[p+9]) AS k FROM {of}
+  UNION ALL SELECT {id}, p, 1, concat_ws(' ', w[p], w[p+2], w[p+3], w[p+5], w[p+6], w[p+9]) FROM {of}"""
+#: Seeds are joined as text instead of hashes; the rest is the same arithmetic.
+_OVERLAP_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents), i AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
+dp AS (SELECT *, unnest(range(1, len(w) - 8)) AS p FROM d WHERE len(w) >= 10), ip AS (SELECT *, unnest(range(1, len(w) - 8)) AS p FROM i WHERE len(w) >= 10),
+dk AS ({_SEEDS_SQL.format(id='doc_id', of='dp')}), ik AS ({_SEEDS_SQL.format(id='item_id', of='ip')}),
+diagonal AS (SELECT DISTINCT doc_id, item_id, dk.p - ik.p AS s FROM dk JOIN ik USING (m, k)),
+laid AS (SELECT doc_id, item_id, s, greatest(s, 0) AS a, greatest(-s, 0) AS b, d.w AS dw, i.w AS iw FROM diagonal JOIN d USING (doc_id) JOIN i USING (item_id)),
+ranged AS (SELECT *, least(len(iw) - b, len(dw) - a) AS overlap FROM laid),
+scored AS (SELECT doc_id, item_id, s AS doc_start, overlap, len(list_filter(range(1, overlap + 1), lambda j: iw[b + j] = dw[a + j])) AS matched, len(iw) AS item_words FROM ranged),
+good AS (SELECT * FROM scored WHERE matched >= least(12, item_words) AND matched >= overlap * 0.8 AND overlap >= item_words * 0.5
+  UNION ALL SELECT doc_id, item_id, 0, len(w), len(w), len(w) FROM d JOIN i USING (w) WHERE len(w) BETWEEN 1 AND 9),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, doc_start) AS rn FROM good)
+SELECT doc_id, item_id, CAST(doc_start AS INT) AS doc_start, CAST(overlap AS INT) AS overlap, CAST(matched AS INT) AS matched, CAST(item_words AS INT) AS item_words FROM best WHERE rn = 1
+"""
+
+ORACLES: dict[str, str] = {"op9_benchmark_overlaps": _OVERLAP_SQL, "op8_source_mix": _MIX_SQL, "token_rollup_words": _ROLLUP_SQL}
