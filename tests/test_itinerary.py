@@ -89,3 +89,18 @@ def test_parsers(spark):
     assert one(parsing.amount, "$1,200.50", "abc", "") == [1200.5, None, None]
     assert one(parsing.scalar_cell, '["A"]', '["a", "b"]', "[]", None, "x") == ["A", "a; b", "-", "-", "x"]
     assert one(parsing.plan_days, 'Final: {"plan": [{"days": 1}]} done', '[{"days": 2}]', "none") == [[{"days": "1"}], [{"days": "2"}], None]
+
+
+def test_repair_and_downgrade(spark, atlas):
+    from weftline.operators import repair
+
+    bad = changed(1, breakfast="Nowhere, Houston", attraction="Space Center, Houston;", accommodation="Huge, New and Green Oasis, Houston")
+    plans, queries = batch(spark, [(bad, {}), (GOOD, {"budget": 380.0})])
+    fixed = repair.local_repair(plans, queries, atlas).cache()
+    codes = {(r.query_id, r.code) for r in rules.validate_plans(fixed, queries, atlas).collect()}
+    assert {c for c in codes if c[0] == 0} == set()
+    costs = itinerary.plan_costs(plans, queries, atlas).cache()
+    dear = {r.query_id: r.total for r in costs.collect()}
+    cheaper = repair.budget_downgrade(plans, queries, atlas, costs).cache()
+    after = {r.query_id: r.total for r in itinerary.plan_costs(cheaper, queries, atlas).collect()}
+    assert after[0] == dear[0] and after[1] <= dear[1]
