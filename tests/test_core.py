@@ -134,7 +134,7 @@ def test_retrieval_tiers(spark):
 
 
 def test_grades(spark):
-    rows = [(1, "三个孩子", "3", None, 1), (2, "对话中未提及", None, "red", 5), (3, "未提及，但可能是red", None, "red", 5), (4, "不是，他没有", "不是", None, 5), (5, "2023年5月7日", "5月7日", None, 2), (6, None, "x", None, 1), (7, "maybe", "tea", None, 1)]
+    rows = [(1, "三个孩子", "3", None, 1), (2, "对话中未提及该信息", None, "red", 5), (3, "未提及，但可能是red", None, "red", 5), (4, "不是，他没有", "不是", None, 5), (5, "2023年5月7日", "5月7日", None, 2), (6, None, "x", None, 1), (7, "maybe", "tea", None, 1)]
     got = grading.deterministic_grade(spark.createDataFrame(rows, "idx int, answer string, gold string, trap string, category int")).collect()
     assert {r.idx: r.grade for r in got} == {1: "exact", 2: "exact", 3: "wrong", 4: "exact", 5: "exact", 6: "wrong", 7: None}
     keys = spark.createDataFrame([({},), ({"cuisine": "x", "transportation": "y"},)], "c map<string,string>").select(grading.applicable_keys(F.col("c")).alias("k")).collect()

@@ -142,9 +142,9 @@ def entity_rollup(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("name").agg(F.min_by("etype", "ord").alias("etype"), F.array_sort(F.collect_set(alias)).alias("aliases"))
 
 
-#: Relation names of fact edges by the kind of mention, and words of a positive preference.
-INVOLVES = {"person": "涉及人物", "place": "涉及地点", "org": "涉及组织", "item": "涉及物品", "activity": "涉及活动"}
-LIKES = ("喜欢", "喜爱", "热爱", "最爱", "享受", "爱好")
+#: Entity types whose mentions make edges 涉及…, and words of a positive preference.
+MENTIONED = ("人物", "地点", "组织", "物品", "活动")
+LIKES = ("喜欢", "爱", "享受", "热爱", "着迷", "痴迷")
 
 
 def fact_edges(facts: DataFrame, entities: DataFrame) -> DataFrame:
@@ -153,14 +153,13 @@ def fact_edges(facts: DataFrame, entities: DataFrame) -> DataFrame:
     lit = F.lit
     topics = facts.select(F.explode(F.transform("topics", lambda t: edge(F.col("fid"), lit("属于主题"), F.concat(lit("topic:"), t)))).alias("e"))
     first = facts.where(F.size("sources") > 0).select(edge(F.col("fid"), lit("记录于"), F.element_at("sources", 1)).alias("e"))
-    people = entities.where("etype = 'person'").select(F.col("name").alias("subject"))
+    people = entities.where("etype = '人物'").select(F.col("name").alias("subject"))
     subject = facts.join(people, "subject", "left_semi").select(edge(F.col("fid"), lit("归属于"), F.col("subject")).alias("e"))
     mentioned = facts.select("fid", "subject", "ftype", "statement", F.posexplode("mentions").alias("pos", "name")).join(entities.select("name", "etype"), "name")
-    kinds = F.create_map(*(lit(x) for kv in INVOLVES.items() for x in kv))
-    involves = mentioned.where(F.col("etype").isin(list(INVOLVES))).select(edge(F.col("fid"), kinds[F.col("etype")], F.col("name")).alias("e"))
+    involves = mentioned.where(F.col("etype").isin(*MENTIONED)).select(edge(F.col("fid"), F.concat(lit("涉及"), F.col("etype")), F.col("name")).alias("e"))
     happy = reduce(lambda a, b: a | b, (has_text(F.col("statement"), w) for w in LIKES))
-    liked = mentioned.where((F.col("ftype") == "偏好") & (F.col("etype") == "activity") & happy).groupBy("fid", "subject").agg(F.min_by("name", "pos").alias("name"))
-    liked = liked.select(edge(F.col("subject"), lit("喜欢"), F.col("name")).alias("e"))
+    liked = mentioned.where((F.col("ftype") == "偏好") & (F.col("etype") == "活动") & happy).join(people, "subject", "left_semi").groupBy("fid", "subject").agg(F.min_by("name", "pos").alias("name"))
+    liked = liked.select(edge(F.col("subject"), lit("喜爱"), F.col("name")).alias("e"))
     return reduce(DataFrame.union, (topics, first, subject, involves, liked)).select("e.*").distinct()
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from weftline.functions.dates import answer_equivalent_udf, cn_num, extract_digits, normalize_answer_udf
 
 #: The standard refusal and openings that count as one.
-REFUSAL = "对话中未提及"
+REFUSAL = "对话中未提及该信息"
 REFUSAL_OPENINGS = ("未提及", "没有提到", "未提到", "无法确定", "无法回答", "不能确定", "没有说明", "未说明", "没有相关信息", "对话中没有", "未提供", "没有记录")
 
 

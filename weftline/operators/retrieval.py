@@ -78,7 +78,7 @@ def facts_by_subject(facts: DataFrame, subject: str, keywords: Sequence[str] = (
     mine = facts.where(subject_matches(F.col("subject"), subject) & date_in_range(F.col("date_iso"), low, high) & ((F.col("ftype") == ftype) if ftype else F.lit(True)))
     order = [F.col("date_iso").asc_nulls_last(), "fid"]
     if keywords:
-        added = expand(keywords, synonyms or {})
+        added = expand(keywords, SYNONYMS if synonyms is None else synonyms)
         tier = F.when(any_keyword(F.col("statement"), keywords), 1).when(any_keyword(F.col("statement"), added), 2)
         if scores is not None:
             mine = mine.join(scores.select("fid", "score"), "fid", "left")
@@ -100,10 +100,10 @@ def related_facts(facts: DataFrame, edges: DataFrame, entity: str, page: int = 1
     return paged(facts.join(hits, "fid", "left_semi"), ["fid"], page, size)
 
 
-def search_facts(facts: DataFrame, posted: DataFrame, weights: DataFrame, question: str, synonyms: Mapping[str, Sequence[str]], subject: str = "", limit: int = 20) -> DataFrame:
-    """lexical search, with synonyms if that finds nothing; a subject filters unless that empties the result."""
+def search_facts(facts: DataFrame, posted: DataFrame, weights: DataFrame, keywords: Sequence[str], synonyms: Mapping[str, Sequence[str]] | None = None, subject: str = "", limit: int = 20) -> DataFrame:
+    """lexical search for keywords, with synonyms if that finds nothing; a subject filters unless that empties the result."""
     spark = facts.sparkSession
-    asked = [(1, question), (2, " ".join([question, *expand([question], synonyms)]))]
+    asked = [(1, " ".join(keywords)), (2, " ".join([*keywords, *expand(keywords, SYNONYMS if synonyms is None else synonyms)]))]
     found = lexical_search(lexical_scores(posted, weights, spark.createDataFrame(asked, "query_id int, text string"), "fid"), "fid", limit)
     found = least_tier(found.withColumnRenamed("query_id", "tier")).drop("tier").join(facts, "fid")
     if subject:
@@ -137,10 +137,21 @@ def fact_line(fid: Column, subject: Column, statement: Column, day: Column) -> C
     return F.concat(F.lit("["), fid, F.lit("] "), subject, F.lit(": "), statement, F.when(F.coalesce(day, F.lit("")) != "", F.concat(F.lit(" ("), day, F.lit(")"))).otherwise(""))
 
 
-def expand(words: Sequence[str], synonyms: Mapping[str, Sequence[str]]) -> list[str]:
-    """the terms that synonyms add, in order, each once."""
-    out = [s for w in words for key, more in synonyms.items() if key in w for s in more]
-    return [s for s in dict.fromkeys(out) if s not in words]
+#: Chinese words and their near synonyms.
+SYNONYMS = {
+    "祖母": ("奶奶",), "奶奶": ("祖母",), "外婆": ("姥姥",), "先生": ("丈夫",), "丈夫": ("先生",), "老公": ("丈夫",), "女儿": ("闺女",), "闺女": ("女儿",), "儿子": ("孩子",),
+    "母亲": ("妈妈",), "妈妈": ("母亲",), "父亲": ("爸爸",), "长跑": ("公益跑", "马拉松", "跑步"), "马拉松": ("长跑", "公益跑"), "公益跑": ("长跑", "慈善"), "慈善跑": ("公益跑",),
+    "读书": ("阅读", "看书", "读"), "阅读": ("读书", "看书"), "看书": ("读书", "阅读"), "徒步": ("爬山", "远足", "健行"), "远足": ("徒步",), "露营": ("野营",), "野营": ("露营",),
+    "陶艺": ("陶罐", "黏土", "陶艺课"), "演唱会": ("音乐会", "演出", "现场"), "音乐会": ("演唱会", "演出"), "演出": ("演唱会", "音乐会", "表演"), "身份": ("跨性别", "转变", "女性"),
+    "领域": ("职业", "学业", "专业"), "职业": ("工作", "事业"), "感受": ("觉得", "感到", "开心", "感激"), "挫折": ("受伤", "困难", "失败", "事故"), "乐器": ("吉他", "钢琴", "小提琴", "单簧管"),
+    "放松": ("减压", "平静", "解压"), "减压": ("放松", "压力"), "象征": ("代表", "意味着", "寓意"), "计划": ("打算", "想要", "准备"), "书": ("著作", "读"), "著作": ("书",),
+    "画": ("绘画", "画作", "作品"), "绘画": ("画", "画作"), "作品": ("画", "陶罐", "碗"),
+}
+
+
+def expand(words: Sequence[str], synonyms: Mapping[str, Sequence[str]] = SYNONYMS) -> list[str]:
+    """the terms that synonyms add to keywords, in order, each once."""
+    return [s for s in dict.fromkeys(s for w in words for s in synonyms.get(w, ())) if s not in words]
 
 
 def synonym_expand(rows: DataFrame, word: str, synonyms: DataFrame) -> DataFrame:
@@ -156,14 +167,14 @@ def enumerate_elements(found: DataFrame, by: Sequence[str], element: str, order:
     return found.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-#: Question kinds by their marks, and categories by their words; the default comes last.
-QUESTION_KINDS = (("时间", r"什么时候|何时|哪天|哪一年|几月|多久"), ("列举", r"哪些|什么.*和|分别|列举"), ("存在", r"是否|有没有|吗[？?]?$"), ("数量", r"多少|几个|几次"))
-CATEGORIES = (("地点", r"哪里|地方|城市|国家"), ("人物", r"谁|人|朋友|家人"), ("物品", r"买|物品|礼物|书"), ("组织", r"公司|组织|学校|团体"))
+#: Question kinds by their marks, the first that fits; categories by their words, 活动 by default.
+QUESTION_KINDS = (("列举", "有哪些|哪些|都有什么|什么活动|什么作品|什么书|参加过什么"), ("时间", "什么时候|哪天|哪一年|几月|何时|哪一次"))
+CATEGORIES = (("活动", "活动|爱好|运动|兴趣"), ("书", "书|著作|读物"), ("作品", "作品|画|陶罐|碗|创作"), ("宠物", "宠物|猫|狗"))
 
 
 def question_kind(question: Column) -> Column:
-    """F22."""
-    out = F.lit("其他")
+    """列举, 时间 or neither."""
+    out = F.lit("")
     for name, form in reversed(QUESTION_KINDS):
         out = F.when(question.rlike(form), name).otherwise(out)
     return out
