@@ -152,4 +152,26 @@ best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matc
 SELECT doc_id, item_id, CAST(doc_start AS INT) AS doc_start, CAST(overlap AS INT) AS overlap, CAST(matched AS INT) AS matched, CAST(item_words AS INT) AS item_words FROM best WHERE rn = 1
 """
 
-ORACLES: dict[str, str] = {"op9_benchmark_overlaps": _OVERLAP_SQL, "op8_source_mix": _MIX_SQL, "token_rollup_words": _ROLLUP_SQL}
+#: The heap as a recursion over groups by size; of equal sizes, ranks go to shards in runs. Orders are those of one chunk of rows (5,000).
+_SHARD_SQL = """
+WITH RECURSIVE r AS (SELECT doc_id, text, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, md5(text) AS g FROM documents),
+g AS (SELECT g, CAST(sum(size) AS BIGINT) AS weight FROM r GROUP BY g),
+o AS (SELECT weight, row_number() OVER (ORDER BY weight DESC) AS i FROM g),
+lpt AS (
+  SELECT CAST(0 AS BIGINT) AS i, list_transform(range(24), lambda x: CAST(0 AS BIGINT)) AS loads, CAST(0 AS BIGINT) AS weight, 0 AS shard
+  UNION ALL SELECT o.i, list_transform(range(1, 25), lambda k: loads[k] + CASE WHEN k = list_position(loads, list_min(loads)) THEN o.weight ELSE 0 END),
+    o.weight, list_position(loads, list_min(loads)) - 1 FROM lpt JOIN o ON o.i = lpt.i + 1
+),
+n AS (SELECT weight, shard, count(*) AS n FROM lpt WHERE i > 0 GROUP BY ALL),
+e AS (SELECT weight, shard, sum(n) OVER (PARTITION BY weight ORDER BY shard) - n AS first, sum(n) OVER (PARTITION BY weight ORDER BY shard) AS after FROM n),
+k AS (SELECT g, weight, row_number() OVER (PARTITION BY weight ORDER BY g) - 1 AS rank FROM g),
+p AS (SELECT g, shard FROM k JOIN e ON k.weight = e.weight AND rank >= first AND rank < after),
+t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([CAST(i AS BIGINT)], [CAST(x AS BIGINT) for x in range(8)]),
+  lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+b AS (SELECT r.*, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM r),
+c AS (SELECT b.*, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], bytes), lambda c, x: xor(c >> 8, crc[xor(c & 255, x) + 1])), 4294967295) AS text_crc32 FROM b, t)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32) - 1 AS slot,
+  CAST(NULL AS INT) AS grown_shard FROM c JOIN p USING (g)
+"""
+
+ORACLES: dict[str, str] = {"op5_lpt_shards": _SHARD_SQL, "op9_benchmark_overlaps": _OVERLAP_SQL, "op8_source_mix": _MIX_SQL, "token_rollup_words": _ROLLUP_SQL}
