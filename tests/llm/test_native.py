@@ -131,6 +131,8 @@ def test_overlaps_tolerate_substitutions(spark):
     rows = decontaminate.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string").withColumn("seed", F.lit(1)), spark.createDataFrame(bench, "item_id long, text string").withColumn("words", F.lit(1))).collect()
     assert {(r.doc_id, r.item_id) for r in rows} == {(d, i) for d in (1, 2, 7, 8, None, 10) for i in (1, 5)} | {(9, 4)}
     assert next(r.matched for r in rows if r.doc_id == 2 and r.item_id == 1) == 22
+    plain = spark.createDataFrame([*docs, (None, "clean"), (1, "clean too")], "doc_id long, text string")
+    assert sorted(str(r.doc_id) for r in decontaminate.drop_contaminated(plain, spark.createDataFrame(bench, "item_id long, text string")).collect()) == ["1", "3", "4", "5", "6", "None"]
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), empty).collect() == []
 

@@ -75,7 +75,7 @@ def test_near_duplicates_of_odd_rows(spark):
     rng = random.Random(3)
     base = [f"{rng.choice('abcdefgh')}{rng.randint(0, 999)}" for _ in range(200)]
     passage = [f"p{i}" for i in range(60)]
-    rows = [(1, " ".join(base)), (1, " ".join(base)), (2, " ".join([*base[:50], "new", *base[52:]])), (3, None), (4, ""), (5, "hi"), (6, "Hi"), (None, "unique text here"), (7, " ".join(base[:90])), (8, "w " * 20_000)]
+    rows = [(1, " ".join(base)), (1, " ".join(base)), (2, " ".join([*base[:50], "new", *base[52:]])), (3, None), (4, ""), (5, "hi"), (6, "Hi"), (None, "unique text here"), (None, "another text without an id"), (7, " ".join(base[:90])), (8, "w " * 20_000)]
     # Many texts that share a passage and nothing else, and near copies among them.
     for i in range(40):
         own = [f"o{i}x{j}" for j in range(80)]
@@ -84,7 +84,8 @@ def test_near_duplicates_of_odd_rows(spark):
     got = [(r.doc_id, r.class_id) for r in neardup.near_duplicates(docs).collect()]
     want = {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5, None: None, 7: 7, 8: 8} | {100 + i: 100 + i - i % 2 for i in range(80)}
     assert len(got) == len(rows) and dict(got) == want
-    assert neardup.keep_one(docs).where("doc_id = 1").count() == 1
+    kept = neardup.keep_one(docs)
+    assert kept.where("doc_id = 1").count() == 1 and kept.where("doc_id is null").count() == 2 and kept.count() == len(set(want.values())) + 1
     assert neardup.near_duplicates(docs.limit(0)).collect() == []
 
 

@@ -79,6 +79,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WO
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows of documents that hold a benchmark item. Null doc_ids stay unless found."""
-    hits = find_overlaps(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["_hit"]), "left_anti")
+    """``docs`` without the rows whose text holds a benchmark item; rows are told apart by doc_id, null or not, and text."""
+    key = F.struct(docs["doc_id"].alias("id"), F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")).alias("md5"))
+    hits = find_overlaps(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_hit")).distinct()
+    return docs.join(hits, key == hits["_hit"], "left_anti")
