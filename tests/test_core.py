@@ -133,6 +133,17 @@ def test_retrieval_tiers(spark):
     assert [r.fid for r in retrieval.timeline(rows, high="2023-01-31").collect()] == ["f1"]
 
 
+def test_toolbox(spark):
+    make = spark.createDataFrame
+    known = make([("f1", "Ann", "likes tea", "2023-01-02", "fact", ["food"]), ("f2", "Bob", "reads books", None, "fact", ["hobby", "food"])], "fid string, subject string, statement string, date_iso string, ftype string, topics array<string>")
+    people = make([("Ann", "人物", ["Annie"]), ("Bob", "人物", [])], "name string, etype string, aliases array<string>")
+    box = retrieval.ToolBox(known, people, make([("f1", "归属于", "Ann"), ("f1", "涉及物品", "tea"), ("f2", "归属于", "Bob")], "src string, relation string, dst string"))
+    assert [r["name"] for r in box.execute("查找实体", text="annie")] == ["Ann"] and [r["fid"] for r in box.execute("获取相关事实", entity="tea")] == ["f1"]
+    assert [r["fid"] for r in box.execute("检索事实", keywords=["books"])][0] == "f2" and box.execute("列出主题")[0] == {"topic": "food", "n": 2}
+    assert box.execute("计算日期", anchor="2023-05-25", expression="昨天")[0]["value"] == "2023-05-24"
+    assert {r["node_id"] for r in box.execute("遍历关系", start="f1")} == {"Ann", "tea"} and isinstance(box.execute("none"), str) and isinstance(box.execute("查找实体"), str)
+
+
 def test_grades(spark):
     rows = [(1, "三个孩子", "3", None, 1), (2, "对话中未提及该信息", None, "red", 5), (3, "未提及，但可能是red", None, "red", 5), (4, "不是，他没有", "不是", None, 5), (5, "2023年5月7日", "5月7日", None, 2), (6, None, "x", None, 1), (7, "maybe", "tea", None, 1)]
     got = grading.deterministic_grade(spark.createDataFrame(rows, "idx int, answer string, gold string, trap string, category int")).collect()

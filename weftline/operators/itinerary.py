@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions.parsing import MEALS, amount, filled, first_flight_number, place_city, place_name, route_from, route_to, strip_paren, transport_mode
 from weftline.functions.text import stripped
+from weftline.schema import Schema
+from weftline.sources.tables import dropna
 
 
 @dataclass
@@ -121,3 +123,21 @@ def last_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """I4: the last row of each key."""
     w = Window.partitionBy(*keys).orderBy(F.desc(order))
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def reference_routes(flights: DataFrame) -> DataFrame:
+    """Number, routes: the different (origin, dest) of each reference flight, rows with missing values left out."""
+    return dropna(flights, ["number", "origin", "dest"]).groupBy("number").agg(F.array_sort(F.collect_set(F.struct("origin", "dest"))).alias("routes"))
+
+
+def distance_entities(rows: DataFrame, schema: Schema) -> DataFrame | None:
+    """Entity candidates (etype, key, props) of distance rows for the first entity type with origin and destination; null if there is none.
+
+    Rows without a full key are left out; no model is asked for what is already a table.
+    """
+    entity = next((e for e in schema.entities if {"origin", "destination"} <= set(e.names)), None)
+    if entity is None:
+        return None
+    pick = lambda names: F.create_map(*(x for n in names if n in rows.columns for x in (F.lit(n), F.col(n).cast("string"))))
+    whole = dropna(rows, [k for k in entity.primary_key if k in rows.columns])
+    return whole.select(F.lit(entity.name).alias("etype"), pick(entity.primary_key).alias("key"), pick([n for n in entity.names if n not in entity.primary_key]).alias("props"))

@@ -11,8 +11,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.dates import date_in_range
+from weftline.functions.dates import date_in_range, resolve_relative_udf
 from weftline.functions.text import any_keyword, has_text, terms
+from weftline.operators.core import GraphStore, traverse_relations
 
 
 def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
@@ -214,3 +215,48 @@ def refusal_gate(top_score: Column, subject_matched: Column, single_person: Colu
 def evidence_ids(line: Column, pool: Column) -> Column:
     """fact ids of an evidence line that are in the pool; null without a line."""
     return F.when(line.isNotNull(), F.array_intersect(F.regexp_extract_all(line, F.lit(r"([A-Za-z0-9_-]+-\d{4,})"), F.lit(1)), pool))
+
+
+class ToolBox:
+    """facts (fid, subject, statement, ftype, date_iso, topics), entities (name, etype, aliases), edges and sessions
+    (session_no, session_date) of one conversation, with its lexical index, and the nine tools by name."""
+
+    def __init__(self, facts: DataFrame, entities: DataFrame, edges: DataFrame) -> None:
+        self.facts, self.edges = facts, edges
+        w = Window.partitionBy("name").orderBy(F.monotonically_increasing_id().desc())
+        self.entities = entities.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")  # the last of a name counts
+        named = edges.where(F.startswith("relation", F.lit("涉及"))).groupBy(F.col("src").alias("fid")).agg(F.array_join(F.array_sort(F.collect_set("dst")), "").alias("_names"))
+        texts = facts.join(named, "fid", "left").select("fid", F.concat_ws("", "statement", "subject", F.concat_ws("", "topics"), "_names").alias("text"))
+        self.posted = postings(texts, "fid", F.col("text"))
+        self.weights = idf(self.posted, texts)
+        self.tools = {
+            "查找实体": lambda text, etype="": find_entities(self.entities, text, etype),
+            "按主体查事实": lambda subject, keywords=(), **k: facts_by_subject(self.facts, subject, keywords, **k),
+            "获取相关事实": lambda entity, page=1: related_facts(self.facts, self.edges, entity, page),
+            "检索事实": lambda keywords, subject="": search_facts(self.facts, self.posted, self.weights, keywords, subject=subject, limit=25),
+            "查询时间线": lambda low=None, high=None, subject="", keywords=(): timeline(self.facts, low, high, subject, keywords),
+            "计算日期": self.compute_date,
+            "列出主题": lambda: topic_histogram(self.facts, F.col("topics")),
+            "按主题查事实": lambda topic, subject="": facts_by_topic(self.facts, topic, subject),
+            "遍历关系": self.walk,
+        }
+
+    def compute_date(self, anchor: str, expression: str) -> DataFrame:
+        """the date that an expression means, seen from an ISO anchor."""
+        one = self.facts.sparkSession.createDataFrame([(anchor, expression)], "anchor string, expression string")
+        return one.select("anchor", "expression", resolve_relative_udf(F.to_date("anchor"), F.col("expression")).alias("r")).select("anchor", "expression", "r.*")
+
+    def walk(self, start: str, relation: str = "", direction: str = "out", hops: int = 1) -> DataFrame:
+        """up to 40 nodes within one or two hops; an empty relation is any."""
+        nodes = self.edges.select(F.col("src").alias("__id__")).union(self.edges.select("dst")).distinct().withColumn("__type__", F.lit("node"))
+        one = self.facts.sparkSession.createDataFrame([(start,)], "start_id string")
+        return traverse_relations(GraphStore({"node": nodes}, self.edges), one, relation or None, direction, min(max(hops, 1), 2)).orderBy("hops", "node_id").limit(40)
+
+    def execute(self, name: str, **arguments) -> list[dict] | str:
+        """a tool's rows, or its error as text."""
+        if name not in self.tools:
+            return f"no tool {name}; there are {', '.join(self.tools)}"
+        try:
+            return [r.asDict(recursive=True) for r in self.tools[name](**arguments).collect()]
+        except Exception as e:  # noqa: BLE001  an agent reads the error
+            return f"{name}: {str(e)[:300]}"
