@@ -89,6 +89,39 @@ def test_near_duplicates_of_odd_rows(spark):
     assert neardup.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_large_family_of_loose_copies(spark):
+    """Classes are those of all similar pairs that share a sketch, also where few members are near their hub."""
+    rng = random.Random(11)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(200)]
+    texts = []
+    for _ in range(1000):
+        words = list(base)
+        for i in range(200):
+            if rng.random() < 0.1:
+                words[i] = f"n{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+    meet = defaultdict(list)
+    for i, t in enumerate(texts):
+        for key in neardup.order_sketches(t.split()).tolist():
+            meet[key].append(i)
+    root = list(range(1000))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for some in meet.values():
+        for n, i in enumerate(some):
+            for j in some[:n]:
+                if find(i) != find(j) and neardup.similar(texts[i], texts[j]):
+                    a, b = sorted((find(i), find(j)))
+                    root[b] = a
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
+    assert len(set(got.values())) == len({find(i) for i in range(1000)}) and got == {i: find(i) for i in range(1000)}
+
+
 def test_nearest_recall_and_scores(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet")
     got = defaultdict(list)

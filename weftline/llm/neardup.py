@@ -5,13 +5,15 @@ takes the ORDER least k-mers under its own hash and keeps them in text order, so
 shared k-mers in the same order, which follows edit similarity more closely than a set does. Texts
 that share a sketch meet in a bucket. Lengths of similar texts differ by a quarter at most, so each
 bucket is cut by overlapping length classes, which separates no similar pair. In each bucket every
-text is compared with one hub, the least; the links are verified by alignment over words, and
-classes are the components of verified links. Exact copies are one node, so a group of copies costs
-one sketch comparison, and no pairs are listed within a group.
+text is compared with one hub, the least, and links are verified by alignment over words. Of a bucket
+that its hub leaves in several components, the rest is listed in blocks: each member outside the
+hub's component meets every member of another component, and a pair whose bags of words are near
+enough is verified there unless links found before join it. So classes are the components of all similar pairs that share a bucket.
+Exact copies are one node, so a group of copies costs one sketch comparison, and no pairs are listed
+within a component.
 
 Recall: for two texts whose labelled k-mers overlap by Jaccard J, all SKETCHES sketches differ with
-probability (1 - J**2)**20, below 1e-8 at J = 0.8 and 0.4 % at J = 0.5. Members whose hub turns out
-different get a second hub among themselves.
+probability (1 - J**2)**20, below 1e-8 at J = 0.8 and 0.4 % at J = 0.5.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from weftline.llm.wordhash import mix64, word_hashes
 K, ORDER, SKETCHES = 5, 2, 20
 #: Least share of words that an alignment keeps: 1 - edits / words of the longer text.
 SIMILARITY = 0.8
-ROUNDS = 2
+#: Counts in a bag of words; members of an open bucket that a block holds.
+BAG, BLOCK = 1024, 1024
 #: Rows of a batch that are Python objects at a time.
 SLICE = 256
 #: Stands for a null doc_id; it sorts last.
@@ -131,8 +134,98 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([part.column("hub"), part.column("member"), pa.array(linked, pa.bool_())], ["hub", "member", "linked"])
 
 
+def word_bag(words: list[str]) -> np.ndarray:
+    """Counts of hashed words, cut at 255. What one bag has more than the other, on either side, is no more than the edit distance."""
+    return np.minimum(np.bincount((word_hashes(words) >> np.uint64(54)).astype(np.int64), minlength=BAG), 255).astype(np.uint8)
+
+
+def _block_links(t: pa.Table) -> list[tuple[bytes, bytes]]:
+    """Links of one block: rows meet columns of another root, in the least bucket that both are in."""
+    key, nodes, text, side, minor, keys = (t.column(c).to_pylist() for c in ("key", "node", "text", "row_side", "minor", "keys"))
+    root = t.column("root").to_pylist()
+    side, minor = np.array(side), np.array(minor)
+    place = {n: i for i, n in enumerate(sorted(set(nodes)))}
+    at = np.array([place[n] for n in nodes])
+    code = {r: i for i, r in enumerate(sorted(set(root)))}
+    kind = np.array([code[r] for r in root])
+    up = list(range(len(code)))
+
+    def find(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    # Words are split again for near pairs only, so a block's words aren't held together.
+    sizes, bags = np.zeros(len(text), np.int64), np.zeros((len(text), BAG), np.int16)
+    for i, x in enumerate(text):
+        w = x.lower().split()
+        sizes[i], bags[i] = len(w), word_bag(w)
+    keys = [set(k) for k in keys]
+    cols, found = np.flatnonzero(~side), []
+    for r in np.flatnonzero(side):
+        # Two members outside the hub's component meet twice; the lesser's row counts.
+        met = cols[(kind[cols] != kind[r]) & (~minor[cols] | (at[cols] > at[r]))]
+        most = ((1 - SIMILARITY) * np.maximum(sizes[met], sizes[r]) + 1e-9).astype(np.int64)
+        met, most = met[sizes[met] - sizes[r] <= most], most[sizes[met] - sizes[r] <= most]
+        more = bags[met] - bags[r]
+        above = np.maximum(more, 0).sum(axis=1)
+        near = np.maximum(above, above - more.sum(axis=1)) <= most
+        for m, k in zip(met[near].tolist(), most[near].tolist(), strict=True):
+            a, b = find(int(kind[r])), find(int(kind[m]))
+            if a != b and min(keys[r] & keys[m]) == key[r] and banded_distance(text[r].lower().split(), text[m].lower().split(), k) <= k:
+                up[a] = b
+                found.append((nodes[r], nodes[m]))
+    return found
+
+
+def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, col, row) to the links of each such block."""
+
+    def links(t: pa.Table, starts: list[int]) -> pa.RecordBatch:
+        found = [x for a, z in zip(starts, starts[1:], strict=False) for x in _block_links(t.slice(a, z - a))]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+    rest = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if rest is None else pa.concat_tables([rest, t])
+        if not t.num_rows:
+            continue
+        ids = np.stack([t.column(c).to_numpy() for c in ("key", "col", "row")])
+        starts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1).tolist()]
+        yield links(t, starts)
+        rest = t.slice(starts[-1])
+    if rest is not None:
+        yield links(rest, [0, rest.num_rows])
+
+
+def _rest(buckets: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links between members of a bucket in different components.
+
+    Members outside the hub's component are rows, all members are columns; both are dealt in blocks,
+    so a large bucket with few such members costs little more than its size. A bucket of many unlike
+    members costs a comparison of bags for each pair of them.
+    """
+    labelled = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min_by("root", "node").alias("main"), F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = mixed.where("n > 2 and low != high").select("key", "n", "main")
+    rows = labelled.join(mixed, "key").select("key", "node", "root", (F.col("root") != F.col("main")).alias("minor"), F.ceil(F.col("n") / BLOCK).cast("int").alias("cols"))
+    rows = staged(rows, "nd-open")
+    known = rows.groupBy("node").agg(F.collect_set("key").alias("keys")).join(texts, "node")
+    count = rows.where("minor").groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows"))
+    sized = rows.join(count, "key")
+    place = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    kept = ["key", "node", "root", "minor"]
+    columns = sized.withColumn("row", every("rows")).select(*kept, place("cols").alias("col"), "row", F.lit(False).alias("row_side"))
+    meeting = sized.where("minor").withColumn("col", every("cols")).select(*kept, "col", place("rows").alias("row"), F.lit(True).alias("row_side"))
+    dealt = columns.unionByName(meeting).join(known, "node")
+    return dealt.repartition("key", "col", "row").sortWithinPartitions("key", "col", "row").mapInArrow(_link_batches, "a binary, b binary")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(hub, member) to (hub, member, linked). A hub's text is copied for every HUB_SHARE members, and dealt with them."""
+    pairs = pairs.join(pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_SHARE).cast("int").alias("salts")), "hub")
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int"))
     hubs = pairs.groupBy("hub").agg(F.max("salts").alias("salts")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     members = salted.join(texts.withColumnRenamed("node", "member"), "member")
@@ -160,22 +253,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     size_class = F.floor(F.log("n_words") / float(np.log(1 / SIMILARITY)))
     cut = mine.where("n_words > 0").select("node", size_class.alias("c"), F.explode("keys").alias("key"))
     buckets = cut.select("node", F.explode(F.array(F.xxhash64("key", "c"), F.xxhash64("key", F.col("c") + 1))).alias("key")).distinct()
-    links, open_rows = None, buckets
-    for k in range(ROUNDS):
-        hubs = open_rows.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-        shared = staged(open_rows.join(hubs, "key").where("node != hub"), f"nd-shared{k}")
-        pairs = shared.select("hub", F.col("node").alias("member")).distinct()
-        if links is not None:
-            pairs = pairs.join(links.select("hub", "member"), ["hub", "member"], "left_anti")
-        counted = pairs.join(pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_SHARE).cast("int").alias("salts")), "hub")
-        counted = staged(counted, f"nd-pairs{k}")
-        wanted = counted.select(F.explode(F.array("hub", "member")).alias("node")).distinct().join(nodes.select("node", "first_id"), "node")
-        texts = staged(plain.join(wanted, first(plain, wanted)).select("node", "text").dropDuplicates(["node"]), f"nd-texts{k}")
-        checked = staged(_verified(counted, texts), f"nd-checked{k}")
-        links = checked if links is None else links.unionByName(checked)
-        unlike = checked.where("not linked").select("hub", F.col("member").alias("node"))
-        open_rows = shared.join(unlike, ["hub", "node"], "left_semi").select("key", "node")
-    roots = components(links.where("linked").select(F.col("hub").alias("a"), F.col("member").alias("b")))
+    hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+    shared = staged(buckets.join(hubs, "key"), "nd-shared")
+    pairs = staged(shared.where("node != hub").select("hub", F.col("node").alias("member")).distinct(), "nd-pairs")
+    wanted = pairs.select(F.explode(F.array("hub", "member")).alias("node")).distinct().join(nodes.select("node", "first_id"), "node")
+    texts = staged(plain.join(wanted, first(plain, wanted)).select("node", "text").dropDuplicates(["node"]), "nd-texts")
+    checked = staged(_verified(pairs, texts), "nd-checked")
+    links = lambda df: df.where("linked").select(F.col("hub").alias("a"), F.col("member").alias("b"))
+    roots = components(links(checked))
+    late = staged(_rest(shared.select("key", "node"), roots, texts), "nd-late")
+    if not late.isEmpty():
+        roots = components(links(checked).unionByName(late))
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = named.groupBy("root").agg(F.min(F.struct("first_id", "node")).alias("name"))
     hexed = lambda c: F.lower(F.hex(c))
