@@ -2,13 +2,15 @@
 
 import heapq
 import random
+import re
 import zlib
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, mixing, sharding
+from weftline.llm import common, decontaminate, mixing, sharding
+from weftline.llm.common import prefix_sum
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [
@@ -33,18 +35,39 @@ def lpt_by_heap(sizes, shards):
 
 
 @pytest.mark.parametrize("seed", range(20))
-def test_histogram_deals_as_the_heap(seed):
+def test_plan_deals_as_the_heap(seed):
     rng = random.Random(seed)
-    sizes = [rng.choice((rng.randint(1, 9), rng.randint(1, 400))) for _ in range(rng.randint(0, 300))]
+    sizes = [rng.choice((rng.randint(1, 9), rng.randint(1, 400))) for _ in range(rng.randint(0, 600))] + [7] * rng.choice((0, 200)) + [9000] * rng.randint(0, 2)
     count = defaultdict(int)
     for s in sizes:
         count[s] += 1
-    loads = [0] * 7
-    for size, ends in sharding.lpt_histogram(count.items(), 7):
-        assert ends[-1] == count[size]
-        for i, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
-            loads[i] += size * (b - a)
-    assert loads == lpt_by_heap(sizes, 7)
+    loads, upto = [0] * 7, defaultdict(int)
+    for size, first, after, shard in sharding.lpt_plan(sorted(count.items(), reverse=True), 7):
+        assert first == upto[size] < after
+        upto[size] = after
+        loads[shard] += size * (after - first)
+    assert loads == lpt_by_heap(sizes, 7) and upto == count
+
+
+def test_prefix_sums_by_range(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), rng.choice((None, 1, 2, 3)), rng.randint(0, 5)) for _ in range(500)]
+    made = prefix_sum(spark.createDataFrame(rows, "p string, o long, v long").repartition(7), ["p"], ["o"], F.col("v"), "s").collect()
+    for p in "ab":
+        mine = sorted((r for r in made if r.p == p), key=lambda r: (r.o is None, r.o or 0, r.s, r.v != 0))
+        total = 0
+        for r in sorted(mine, key=lambda r: (r.s, r.v > 0)):
+            assert r.s == total
+            total += r.v
+        assert [r.o for r in mine] == sorted((r.o for r in mine), key=lambda o: (o is None, o or 0))
+
+
+def test_hot_keys_are_joined_once(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    rows = spark.createDataFrame([(k, i) for k, n in (("a", 500), ("b", 3), ("c", 30)) for i in range(n)], "k string, i long")
+    keyed = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("top"))
+    got = common.spread_join(rows, keyed, "k", "n")
+    assert got.columns == ["k", "i", "top"] and got.groupBy("k", "top").count().orderBy("k").collect() == [("a", 499, 500), ("b", 2, 3), ("c", 29, 30)]
 
 
 def test_shards(spark, sf):
@@ -90,6 +113,28 @@ def test_mix_takes_targets(spark, sf):
     assert {r.doc_id: r.taken for r in mixing.taken_words(*mixing.mix(docs)).collect()} == {r.doc_id: r.taken for r in rows}
     # Every output shard draws from every large source.
     assert slots.select("shard").distinct().count() > 1
+    assert all((r.first_shard is None) == (r.taken == 0) for r in rows)
+    counts = defaultdict(lambda: defaultdict(int))
+    for r in slots.collect():
+        counts[r.shard][r.skey] += 1
+    assert all(sum(c.values()) == 8 for s, c in counts.items() if s < max(counts)) and sorted(counts) == list(range(len(counts)))
+
+
+def test_mixed_blocks_hold_the_taken_words(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    blocks = mixing.mixed_blocks(docs, shard_blocks=16).collect()
+    taken = {r.doc_id: r for r in mixing.taken_words(*mixing.mix(docs)).collect()}
+    streams = defaultdict(list)
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        streams[r.source] += [(r.doc_id, w) for w in re.findall(r"[^\x20\x09-\x0D]+", r.text)]
+    starts = {s: {tuple(w for _, w in x[i : i + 256]): i for i in range(0, len(x), 256)} for s, x in streams.items()}
+    got = defaultdict(int)
+    for b in blocks:
+        at = next(i for words, i in starts[b.source].items() if words[: len(b.tokens)] == tuple(b.tokens))
+        for d, _ in streams[b.source][at : at + len(b.tokens)]:
+            got[d] += 1
+    assert {d: n for d, n in got.items() if n} == {d: r.taken for d, r in taken.items() if r.taken}
+    assert len({(b.shard, b.pick) for b in blocks}) == len(blocks)
 
 
 def test_targets_by_resharing(spark):
@@ -109,6 +154,15 @@ def test_targets_by_resharing(spark):
     assert {r.source: pytest.approx(r.target) for r in got} == want and [r.source for r in sorted(got, key=lambda r: r.skey)] == order
 
 
+def test_sharded_rows_keep_their_columns(spark, odd):
+    rows = sharding.sharded(odd, 3)
+    assert rows.columns == [*(c for c in odd.columns if c != "shard"), "shard"] and rows.count() == len(ODD)
+    where = defaultdict(set)
+    for r in rows.collect():
+        where[r.text].add(r.shard)
+    assert all(len(s) == 1 for s in where.values()) and sharding.sharded(odd.limit(0), 3).collect() == []
+
+
 def test_mix_of_odd_rows(spark, odd):
     spans, slots = mixing.mix(odd)
     rows = mixing.taken_words(spans, slots).collect()

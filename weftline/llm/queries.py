@@ -86,8 +86,7 @@ QUERIES = {
     "op10_ppm_scores": op10_ppm_scores,
 }
 
-#: Blocks, epochs and ranks by the same rules; streams are in order of doc_id, as they are up to one
-#: chunk of rows (5,000; the larger tables are tested against it by totals). The draw of output shards doesn't change what is taken.
+#: Streams, blocks, epochs, ranks and the draw of shards by the same rules.
 _MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
@@ -118,12 +117,24 @@ WITH d AS (
 ), placed AS (
   SELECT *, max(CASE WHEN block = (source_size - 1) // 256 THEN rank END) OVER (PARTITION BY skey, epoch) AS short_rank FROM ranked
 ), slots AS (
-  SELECT skey, block, greatest(0, least(256, source_size - block * 256, goal - (epoch * source_size + rank * 256
+  SELECT skey, block, epoch * ((source_size - 1) // 256 + 1) + rank AS slot, greatest(0, least(256, source_size - block * 256, goal - (epoch * source_size + rank * 256
     - CASE WHEN rank > short_rank THEN ((source_size - 1) // 256 + 1) * 256 - source_size ELSE 0 END))) AS words FROM placed
+), used AS (
+  SELECT * FROM slots WHERE words > 0
+), drawn AS (
+  SELECT skey, (row_number() OVER (ORDER BY md5(concat_ws(':', 20240117, 'draw', skey, slot))) - 1) // 256 AS shard FROM used
+), counts AS (
+  SELECT shard, skey, count(*) AS n FROM drawn GROUP BY ALL
+), based AS (
+  SELECT *, sum(n) OVER (PARTITION BY skey ORDER BY shard) - n AS base FROM counts
+), dealt AS (
+  SELECT used.*, shard FROM used JOIN based ON used.skey = based.skey AND slot >= base AND slot < base + n
+), met AS (
+  SELECT row_id, shard, least(start + size, block * 256 + words) - greatest(start, block * 256) AS n FROM spans JOIN dealt USING (skey, block)
 ), taken AS (
-  SELECT row_id, sum(greatest(0, least(start + size, block * 256 + words) - greatest(start, block * 256))) AS taken FROM spans JOIN slots USING (skey, block) GROUP BY row_id
+  SELECT row_id, sum(n) AS taken, min(shard) AS first_shard FROM met WHERE n > 0 GROUP BY row_id
 )
-SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM p LEFT JOIN taken USING (row_id)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, CAST(first_shard AS BIGINT) AS first_shard FROM p LEFT JOIN taken USING (row_id)
 """
 
 #: Final counts of the maintained rollup, computed from the documents at once.
@@ -152,9 +163,9 @@ best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matc
 SELECT doc_id, item_id, CAST(doc_start AS INT) AS doc_start, CAST(overlap AS INT) AS overlap, CAST(matched AS INT) AS matched, CAST(item_words AS INT) AS item_words FROM best WHERE rn = 1
 """
 
-#: The heap as a recursion over groups by size; of equal sizes, ranks go to shards in runs. Orders are those of one chunk of rows (5,000).
+#: The heap as a recursion over groups by size; of equal sizes, ranks go to shards in runs.
 _SHARD_SQL = """
-WITH RECURSIVE r AS (SELECT doc_id, text, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, md5(text) AS g FROM documents),
+WITH RECURSIVE r AS (SELECT doc_id, text, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, CASE WHEN text IS NULL THEN '6e756c6c' ELSE md5(text) END AS g FROM documents),
 g AS (SELECT g, CAST(sum(size) AS BIGINT) AS weight FROM r GROUP BY g),
 o AS (SELECT weight, row_number() OVER (ORDER BY weight DESC) AS i FROM g),
 lpt AS (
