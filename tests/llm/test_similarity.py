@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import ann, neardup
 from weftline.llm.components import components
+from weftline.llm.wordhash import word_hashes
 
 
 def distance(a, b):
@@ -31,9 +32,50 @@ def test_banded_distance(a, b, most):
 
 def test_sketches_follow_order_and_occurrence():
     words = [f"w{i}" for i in range(60)]
-    a, b = neardup.order_sketches(words), neardup.order_sketches(words[30:] + words[:30])
-    assert len(a) == neardup.SKETCHES and (a == neardup.order_sketches(list(words))).all() and 0 < (a != b).sum()
-    assert len(neardup.order_sketches([])) == 0 and len(neardup.order_sketches(["x"])) == neardup.SKETCHES
+    a, b = (neardup.order_sketches(word_hashes(w), 5, 40) for w in (words, words[30:] + words[:30]))
+    assert len(a) == 40 and (a == neardup.order_sketches(word_hashes(list(words)), 5, 40)).all() and 0 < (a != b).sum()
+    assert len(neardup.order_sketches(word_hashes(["x"]), 5, 40)) == 0 and len(neardup.candidate_keys([])) == 0
+    # Blocks of sketches give the same keys as all at once.
+    whole, neardup.RANKS = neardup.RANKS, 100
+    assert (neardup.order_sketches(word_hashes(words), 5, 40) == a).all()
+    neardup.RANKS = whole
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), min_size=1, max_size=neardup.EXACT), st.lists(st.sampled_from("abcd"), min_size=1, max_size=neardup.EXACT))
+def test_short_texts_lose_no_link(a, b):
+    if distance(a, b) <= neardup.most_edits(max(len(a), len(b))):
+        assert set(neardup.candidate_keys(a).tolist()) & set(neardup.candidate_keys(b).tolist())
+
+
+@pytest.mark.parametrize("words", [12, 15, 20, 24, 25, 60, 160, 199, 200, 500])
+@pytest.mark.parametrize("edited", ["sub", "mixed"])
+def test_similar_texts_share_a_key(words, edited):
+    """At the threshold itself, with as many scattered edits as it allows, 95 % of pairs meet."""
+    rng, met, tries = random.Random(words), 0, 100
+    for _ in range(tries):
+        a = [f"w{rng.randrange(5000)}" for _ in range(words)]
+        b = list(a)
+        for i in rng.sample(range(words), neardup.most_edits(words)):
+            way = 0 if edited == "sub" else rng.randrange(3)
+            b[i] = "new" * (way < 2) + str(rng.random()) * (way < 2) + f" {a[i]}" * (way == 1)
+        b = " ".join(b).split()
+        met += not neardup.similar(" ".join(a), " ".join(b)) or bool(set(neardup.candidate_keys(a).tolist()) & set(neardup.candidate_keys(b).tolist()))
+    assert met >= 0.92 * tries
+
+
+def test_planted_pairs_are_joined(spark):
+    """Nine words with the fifth changed, sixty with ten changed, and so on: accepted pairs, each in a vocabulary of its own."""
+    rng, rows = random.Random(5), []
+    for p in range(300):
+        n = rng.choice((5, 9, 12, 14, 17, 22, 30, 60, 150, 190, 230))
+        a = [f"v{p}x{rng.randrange(4000)}" for _ in range(n)]
+        b = list(a)
+        for i in [n // 2] if n < 10 else rng.sample(range(n), rng.randint(1, n // 6)):
+            b[i] = f"n{rng.random()}"
+        rows += [(2 * p, " ".join(a)), (2 * p + 1, " ".join(b))]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * p] == 2 * p for p in range(300)) and sum(got[2 * p + 1] == 2 * p for p in range(300)) >= 297
 
 
 def test_components(spark):
@@ -89,6 +131,15 @@ def test_near_duplicates_of_odd_rows(spark):
     assert neardup.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_ids_of_any_type(spark):
+    rows = [("b", "one two three"), ("a", "one two three"), (None, "one two three"), ("c", None)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [(r.doc_id, r.class_id, r.copies) for r in got].count(("b", "a", 3)) == 1 and {r.class_id for r in got} == {"a", "c"}
+    large = (1 << 60) + 1
+    got = neardup.near_duplicates(spark.createDataFrame([(large, "x y"), (None, "x y"), (large + 1, "z")], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_id) for r in got} == {(large, large), (None, large), (large + 1, large + 1)}
+
+
 def test_large_family_of_loose_copies(spark):
     """Classes are those of all similar pairs that share a sketch, also where few members are near their hub."""
     rng = random.Random(11)
@@ -102,7 +153,7 @@ def test_large_family_of_loose_copies(spark):
         texts.append(" ".join(words))
     meet = defaultdict(list)
     for i, t in enumerate(texts):
-        for key in neardup.order_sketches(t.split()).tolist():
+        for key in neardup.candidate_keys(t.split()).tolist():
             meet[key].append(i)
     root = list(range(1000))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import staged
+from weftline.llm.common import discard, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         turned = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        now = staged(turned.where("a != b").distinct(), "cc")
+        before, now = now, staged(turned.where("a != b").distinct(), "cc")
+        discard(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if tuple(seen) == mark:
             break

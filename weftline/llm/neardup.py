@@ -1,55 +1,65 @@
 """Near-duplicates by Order MinHash, verified by banded alignment.
 
-A text's k-mers are its windows of five words, each labelled with its occurrence number. A sketch
-takes the ORDER least k-mers under its own hash and keeps them in text order, so equal sketches mean
-shared k-mers in the same order, which follows edit similarity more closely than a set does. Texts
-that share a sketch meet in a bucket. Lengths of similar texts differ by a quarter at most, so each
-bucket is cut by overlapping length classes, which separates no similar pair. In each bucket every
-text is compared with one hub, the least, and links are verified by alignment over words. Of a bucket
-that its hub leaves in several components, the rest is listed in blocks: each member outside the
+A text's k-mers are its windows of k words, each labelled with its occurrence number. A sketch takes
+the ORDER least k-mers under its own hash and keeps them in text order, so equal sketches mean shared
+k-mers in the same order, which follows edit similarity more closely than a set does. Texts that share
+a key meet in a bucket, and links are verified by alignment over words: a link is a similarity of
+SIMILARITY or more.
+
+Windows are five words. Of a shorter text every window may hold a changed word, so texts under 200
+words have windows of three, and those under 25 of two; lengths of the classes overlap by as much as
+those of similar texts may differ, so each similar pair has a class in common. Texts of up to EXACT
+words have no sketches but exact keys: all that is left of them after as many deletions as a similar
+text may differ by, so of two such texts no link is lost. With scattered substitutions at the threshold
+itself two longer texts share a sketch with probability 0.95 or more; README has the measured curve.
+
+In each bucket, cut by overlapping length classes, every text is compared with one hub, the least. Of a
+bucket that its hub leaves in several components, the rest is listed in blocks: each member outside the
 hub's component meets every member of another component, and a pair whose bags of words are near
-enough is verified there unless links found before join it. So classes are the components of all similar pairs that share a bucket.
-Exact copies are one node, so a group of copies costs one sketch comparison, and no pairs are listed
-within a component.
-
-Recall: for two texts whose labelled k-mers overlap by Jaccard J, all SKETCHES sketches differ with
-probability (1 - J**2)**20, below 1e-8 at J = 0.8 and 0.4 % at J = 0.5.
+enough is verified there unless links found before join it. So classes are the components of all
+similar pairs that share a bucket. Exact copies are one node, so a group of copies costs one sketch,
+and no pairs are listed within a component.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import ship, staged
+from weftline.llm.common import BROADCAST_ROWS, discard, ship, spread_join, staged
 from weftline.llm.components import components
 from weftline.llm.wordhash import mix64, word_hashes
 
-K, ORDER, SKETCHES = 5, 2, 20
+ORDER = 2
+#: Least and most words of a text, words of a window, sketches.
+CLASSES = ((12, 24, 2, 48), (20, 199, 3, 48), (160, 1 << 62, 5, 96))
+#: Texts of up to this many words have exact keys.
+EXACT = 14
+#: Ranks of k-mers held at once.
+RANKS = 1 << 20
 #: Least share of words that an alignment keeps: 1 - edits / words of the longer text.
 SIMILARITY = 0.8
 #: Counts in a bag of words; members of an open bucket that a block holds.
 BAG, BLOCK = 1024, 1024
 #: Rows of a batch that are Python objects at a time.
 SLICE = 256
-#: Stands for a null doc_id; it sorts last.
-NO_ID = (1 << 63) - 1
 #: Members that meet one copy of a hub's text in a task.
 HUB_SHARE = 64
 
 
-def order_sketches(words: list[str], k: int = K, sketches: int = SKETCHES) -> np.ndarray:
-    """One key for each sketch; none for a text without words. A text of fewer than k words is one k-mer."""
-    h = word_hashes(words)
-    if not len(h):
+def order_sketches(h: np.ndarray, k: int, sketches: int) -> np.ndarray:
+    """One key for each sketch of a text's word hashes; none for a text of fewer than k words."""
+    n = len(h) - k + 1
+    if n < 1:
         return np.zeros(0, np.int64)
-    n = max(1, len(h) - k + 1)
-    grams = np.zeros(n, np.uint64)
-    for i in range(min(k, len(h))):
+    grams = np.full(n, k, np.uint64)
+    for i in range(k):
         grams = mix64(grams * np.uint64(31) + h[i : i + n])
     by = np.argsort(grams, kind="stable")
     in_order = grams[by]
@@ -59,13 +69,53 @@ def order_sketches(words: list[str], k: int = K, sketches: int = SKETCHES) -> np
     label[by] = at - np.maximum.accumulate(np.where(fresh, at, 0))
     grams = mix64(grams + label * np.uint64(0xD1342543DE82EF95))
     seeds = mix64(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-    ranks = mix64(grams[None, :] ^ seeds[:, None])
-    rows = np.arange(sketches)
-    first = ranks.argmin(axis=1)
-    ranks[rows, first] = np.uint64(0xFFFFFFFFFFFFFFFF)
-    second = ranks.argmin(axis=1)
-    low, high = grams[np.minimum(first, second)], grams[np.maximum(first, second)]
-    return mix64(mix64(low + seeds) * np.uint64(3) + high).view(np.int64)
+    odd = mix64(seeds) | np.uint64(1)
+    keys = []
+    for start in range(0, sketches, max(1, RANKS // n)):
+        some = slice(start, start + max(1, RANKS // n))
+        ranks = (grams[None, :] ^ seeds[some, None]) * odd[some, None]
+        first = ranks.argmin(axis=1)
+        ranks[np.arange(len(ranks)), first] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        second = ranks.argmin(axis=1)
+        low, high = grams[np.minimum(first, second)], grams[np.maximum(first, second)]
+        keys.append(mix64(mix64(low + seeds[some]) * np.uint64(3) + high))
+    return np.concatenate(keys).view(np.int64)
+
+
+def most_edits(words: int, similarity: float = SIMILARITY) -> int:
+    """Edits that a similar pair may have whose longer text has so many words."""
+    return int((1 - similarity) * words + 1e-9)
+
+
+@lru_cache(maxsize=64)
+def _left_over(n: int, gone: int) -> np.ndarray:
+    """Places that are left of n after ``gone`` deletions, a row for each way."""
+    return np.array(list(combinations(range(n), n - gone)), np.int64).reshape(-1, n - gone)
+
+
+def exact_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of all that is left of a short text after as many deletions as it may have edits.
+
+    Of two texts within d edits, of which the longer has n more words, the longer is left with what the
+    shorter is left with after at most d and d - n deletions, and neither is more than its own most_edits.
+    """
+    out = []
+    for gone in range(most_edits(len(h)) + 1):
+        places = _left_over(len(h), gone)
+        key = np.full(len(places), 0x5851F42D4C957F2D, np.uint64)
+        for i in range(places.shape[1]):
+            key = mix64(key * np.uint64(31) + h[places[:, i]])
+        out.append(key)
+    return np.concatenate(out).view(np.int64)
+
+
+def candidate_keys(words: list[str]) -> np.ndarray:
+    """All keys of a text, each once; none for a text without words."""
+    h = word_hashes(words)
+    made = [order_sketches(h, k, sketches) for least, most, k, sketches in CLASSES if least <= len(h) <= most]
+    if 0 < len(h) <= EXACT:
+        made.append(exact_keys(h))
+    return np.unique(np.concatenate(made)) if made else np.zeros(0, np.int64)
 
 
 def banded_distance(a: list, b: list, most: int) -> int:
@@ -113,7 +163,7 @@ def banded_distance(a: list, b: list, most: int) -> int:
 
 def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     x, y = a.lower().split(), b.lower().split()
-    most = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
+    most = most_edits(max(len(x), len(y)), similarity)
     return banded_distance(x, y, most) <= most
 
 
@@ -122,8 +172,8 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for start in range(0, whole.num_rows, SLICE):
             part = whole.slice(start, SLICE)
             words = [t.lower().split() for t in part.column("text").to_pylist()]
-            made = [pa.array([len(w) for w in words], pa.int32()), pa.array([order_sketches(w) for w in words], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("hash"), *made], ["doc_id", "hash", "n_words", "keys"])
+            made = [pa.array([len(w) for w in words], pa.int32()), pa.array([candidate_keys(w) for w in words], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "hash", "row")), *made], ["doc_id", "hash", "row", "n_words", "keys"])
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +189,7 @@ def word_bag(words: list[str]) -> np.ndarray:
     return np.minimum(np.bincount((word_hashes(words) >> np.uint64(54)).astype(np.int64), minlength=BAG), 255).astype(np.uint8)
 
 
-def _block_links(t: pa.Table) -> list[tuple[bytes, bytes]]:
+def _block_links(t: pa.Table) -> list[tuple[int, int]]:
     """Links of one block: rows meet columns of another root, in the least bucket that both are in."""
     key, nodes, text, side, minor, keys = (t.column(c).to_pylist() for c in ("key", "node", "text", "row_side", "minor", "keys"))
     root = t.column("root").to_pylist()
@@ -183,7 +233,7 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def links(t: pa.Table, starts: list[int]) -> pa.RecordBatch:
         found = [x for a, z in zip(starts, starts[1:], strict=False) for x in _block_links(t.slice(a, z - a))]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     rest = None
     for batch in batches:
@@ -220,7 +270,7 @@ def _rest(buckets: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
     columns = sized.withColumn("row", every("rows")).select(*kept, place("cols").alias("col"), "row", F.lit(False).alias("row_side"))
     meeting = sized.where("minor").withColumn("col", every("cols")).select(*kept, "col", place("rows").alias("row"), F.lit(True).alias("row_side"))
     dealt = columns.unionByName(meeting).join(known, "node")
-    return dealt.repartition("key", "col", "row").sortWithinPartitions("key", "col", "row").mapInArrow(_link_batches, "a binary, b binary")
+    return dealt.repartition("key", "col", "row").sortWithinPartitions("key", "col", "row").mapInArrow(_link_batches, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -231,57 +281,84 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     members = salted.join(texts.withColumnRenamed("node", "member"), "member")
     hub_texts = hubs.join(texts.toDF("hub", "hub_text"), "hub").select("hub", "salt", "hub_text")
     met = members.join(hub_texts, ["hub", "salt"]).select("hub", "member", "hub_text", "text")
-    return met.mapInArrow(_verify_batches, "hub binary, member binary, linked boolean")
+    return met.mapInArrow(_verify_batches, "hub long, member long, linked boolean")
+
+
+def _named(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(hash, class_id, copies, class_md5) of every node. The class is named by its least (doc_id, hash), null ids last."""
+    hexed = lambda c: F.lower(F.hex(c))
+    linked = nodes.join(roots, "node")
+    names = staged(linked.groupBy("root").agg(F.min(F.struct("first", "hash")).alias("name"), F.count("*").alias("n")), "nd-names")
+    named = spread_join(linked.select("hash", "copies", "root"), names, "root", "n")
+    named = named.select("hash", F.col("name.first.id").alias("class_id"), "copies", hexed("name.hash").alias("class_md5"))
+    alone = nodes.join(roots, "node", "left_anti").select("hash", F.col("first.id").alias("class_id"), "copies", hexed("hash").alias("class_md5"))
+    return named.unionByName(alone)
+
+
+def _texts(plain: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the nodes in ``pairs``. Few are broadcast, so texts that aren't wanted stay where they are; more are joined."""
+    some = pairs.select(F.explode(F.array("hub", "member")).alias("node")).distinct()
+    wanted = staged(some.join(nodes, "node").select("node", "copies", F.col("first.id").alias("id"), F.col("hash").alias("of")), "nd-wanted")
+    near = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    found = plain.join(near, plain["doc_id"].eqNullSafe(near["id"]) & (plain["hash"] == near["of"])).select("node", "text", "copies")
+    # Only a text with copies can have several rows of one id.
+    found = staged(found, "nd-found")
+    once = found.where("copies > 1").select("node", "text").dropDuplicates(["node"])
+    return found.where("copies = 1").select("node", "text").unionByName(once)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Class of every document: doc_id, class_id, copies (rows of the same text), text_md5, class_md5; one row per input row.
 
     class_id is the least doc_id of the class, class_md5 the MD5 of the text it names. A null text counts as empty; texts without words match
-    only equal texts. Null doc_ids belong to classes but name one only if all its ids are null. Repeated
-    rows are copies; other columns are ignored; an empty table gives an empty result.
+    only equal texts. Null doc_ids belong to classes but name one only if all its ids are null; ids may
+    have any type that has an order. Repeated rows are copies; other columns are ignored; an empty table
+    gives an empty result.
     """
     ship(docs.sparkSession)
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.unhex(F.md5(F.col("text").cast("binary"))))
-    rows = staged(plain.mapInArrow(_sketch_batches, "doc_id long, hash binary, n_words int, keys array<long>"), "nd-sketches")
-    known = lambda doc_id: F.coalesce(doc_id, F.lit(NO_ID))
-    nodes = rows.groupBy(F.col("hash").alias("node")).agg(F.min(known(F.col("doc_id"))).alias("first_id"), F.count("*").alias("copies"))
-    nodes = staged(nodes, "nd-nodes")
-    # One row's keys for each node, found by id and hash, so copies of a text are dealt by their ids.
-    first = lambda df, ids: (known(df["doc_id"]) == ids["first_id"]) & (df["hash"] == ids["node"])
-    mine = rows.join(nodes, first(rows, nodes)).select("node", "n_words", "keys")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    numbered = plain.withColumn("row", F.monotonically_increasing_id())
+    rows = staged(numbered.mapInArrow(_sketch_batches, f"doc_id {kind}, hash binary, row long, n_words int, keys array<long>"), "nd-sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("first")
+    # A text's node is the number of one of its rows, so it is found again by a key that no other row has.
+    nodes = staged(rows.groupBy("hash").agg(F.min("row").alias("node"), first, F.count("*").alias("copies")), "nd-nodes")
+    mine = rows.where("n_words > 0").join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
+    buckets = mine.select(F.col("row").alias("node"), "n_words", F.explode("keys").alias("key"))
+    several = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = staged(buckets.join(several, "key"), "nd-shared")
     size_class = F.floor(F.log("n_words") / float(np.log(1 / SIMILARITY)))
-    cut = mine.where("n_words > 0").select("node", size_class.alias("c"), F.explode("keys").alias("key"))
-    buckets = cut.select("node", F.explode(F.array(F.xxhash64("key", "c"), F.xxhash64("key", F.col("c") + 1))).alias("key")).distinct()
-    hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    shared = staged(buckets.join(hubs, "key"), "nd-shared")
-    pairs = staged(shared.where("node != hub").select("hub", F.col("node").alias("member")).distinct(), "nd-pairs")
-    wanted = pairs.select(F.explode(F.array("hub", "member")).alias("node")).distinct().join(nodes.select("node", "first_id"), "node")
-    texts = staged(plain.join(wanted, first(plain, wanted)).select("node", "text").dropDuplicates(["node"]), "nd-texts")
+    cut = shared.select("node", "key", size_class.alias("c")).select("node", F.explode(F.array(F.xxhash64("key", "c"), F.xxhash64("key", F.col("c") + 1))).alias("key"))
+    hubs = cut.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+    met = staged(cut.join(hubs, "key"), "nd-met")
+    discard(shared)
+    pairs = staged(met.where("node != hub").select("hub", F.col("node").alias("member")).distinct(), "nd-pairs")
+    texts = _texts(plain, pairs, nodes)
     checked = staged(_verified(pairs, texts), "nd-checked")
-    links = lambda df: df.where("linked").select(F.col("hub").alias("a"), F.col("member").alias("b"))
-    roots = components(links(checked))
-    late = staged(_rest(shared.select("key", "node"), roots, texts), "nd-late")
+    links = checked.where("linked").select(F.col("hub").alias("a"), F.col("member").alias("b"))
+    roots = components(links)
+    late = staged(_rest(met.select("key", "node"), roots, texts), "nd-late")
     if not late.isEmpty():
-        roots = components(links(checked).unionByName(late))
-    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = named.groupBy("root").agg(F.min(F.struct("first_id", "node")).alias("name"))
-    hexed = lambda c: F.lower(F.hex(c))
-    by_node = named.join(classes, "root").select(F.col("node").alias("hash"), F.nullif(F.col("name.first_id"), F.lit(NO_ID)).alias("class_id"), "copies", hexed("name.node").alias("class_md5"))
-    out = rows.select("doc_id", "hash").join(staged(by_node, "nd-classes"), "hash")
-    return out.select("doc_id", "class_id", "copies", hexed("hash").alias("text_md5"), "class_md5")
+        roots = components(links.unionByName(late))
+    by_hash = staged(_named(nodes, roots).withColumn("n", F.col("copies")), "nd-classes")
+    discard(met, pairs, checked, late)
+    hexed = F.lower(F.hex("hash")).alias("text_md5")
+    return spread_join(rows.select("doc_id", "hash"), by_hash, "hash", "n").select("doc_id", "class_id", "copies", hexed, "class_md5")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each near-duplicate class: that of its least doc_id and the text it names; of equal rows, one."""
     classes = staged(near_duplicates(docs), "nd-kept")
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_md5") == F.col("class_md5"))).groupBy("doc_id", "text_md5").agg(F.count("*").alias("rows"))
-    key = lambda doc_id, md5: F.struct(doc_id.alias("id"), md5.alias("md5"))
+    key = lambda doc_id, md5: F.struct(doc_id.alias("id"), md5.alias("md5")).alias("_key")
+    stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_md5") == F.col("class_md5"))
+    counted = classes.groupBy(key(F.col("doc_id"), F.col("text_md5")), stays.alias("stays")).agg(F.count("*").alias("rows"))
+    counted = staged(counted.where("not stays or rows > 1"), "nd-gone")
+    gone, repeated = counted.where("not stays").select("_key"), counted.where("stays").select("_key")
+    few = counted.count() <= BROADCAST_ROWS
+    near = F.broadcast if few else (lambda df: df)
     mine = key(docs["doc_id"], F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))
-    kept = kept.select(key(F.col("doc_id"), F.col("text_md5")).alias("_kept"), "rows")
-    left = docs.join(kept.select("_kept"), mine == F.col("_kept"), "left_semi")
-    repeated = kept.where("rows > 1").select("_kept")
+    left = docs.join(near(gone), mine == F.col("_key"), "left_anti")
     if repeated.isEmpty():
         return left
-    once = left.join(repeated, mine == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(repeated, mine == F.col("_kept"), "left_anti").unionByName(once)
+    once = left.join(near(repeated), mine == F.col("_key"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(near(repeated), mine == F.col("_key"), "left_anti").unionByName(once)
