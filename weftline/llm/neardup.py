@@ -13,11 +13,12 @@ words have no sketches but exact keys: all that is left of them after as many de
 text may differ by, so of two such texts no link is lost. With scattered substitutions at the threshold
 itself two longer texts share a sketch with probability 0.95 or more; README has the measured curve.
 
-In each bucket, cut by overlapping length classes, every text is compared with one hub, the least. Of a
-bucket that its hub leaves in several components, the rest is listed in blocks: each member outside the
-hub's component meets every member of another component, and a pair whose bags of words are near
-enough is verified there unless links found before join it. So classes are the components of all
-similar pairs that share a bucket. Exact copies are one node, so a group of copies costs one sketch,
+In each bucket, cut by overlapping length classes, every text is compared with one hub, the least.
+Buckets of one hub are one group. Of a group that its hub leaves in several components, the rest is
+listed in blocks: each member outside the hub's component meets every member of another component, and
+a pair whose bags of words are near enough is verified there unless links found before join it. So
+classes are the components of all similar pairs that share a bucket, and a text is sent once for each of
+its groups, however many keys it shares there. Exact copies are one node, so a group of copies costs one sketch,
 and no pairs are listed within a component.
 """
 
@@ -45,7 +46,7 @@ EXACT = 14
 RANKS = 1 << 20
 #: Least share of words that an alignment keeps: 1 - edits / words of the longer text.
 SIMILARITY = 0.8
-#: Counts in a bag of words; members of an open bucket that a block holds.
+#: Counts in a bag of words; members of an open group that a block holds.
 BAG, BLOCK = 1024, 1024
 #: Rows of a batch that are Python objects at a time.
 SLICE = 256
@@ -190,7 +191,7 @@ def word_bag(words: list[str]) -> np.ndarray:
 
 
 def _block_links(t: pa.Table) -> list[tuple[int, int]]:
-    """Links of one block: rows meet columns of another root, in the least bucket that both are in."""
+    """Links of one block: rows meet columns of another root, in the least group that both are in."""
     key, nodes, text, side, minor, keys = (t.column(c).to_pylist() for c in ("key", "node", "text", "row_side", "minor", "keys"))
     root = t.column("root").to_pylist()
     side, minor = np.array(side), np.array(minor)
@@ -249,14 +250,15 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield links(rest, [0, rest.num_rows])
 
 
-def _rest(buckets: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): links between members of a bucket in different components.
+def _rest(pairs: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links between members of a hub's group in different components.
 
     Members outside the hub's component are rows, all members are columns; both are dealt in blocks,
-    so a large bucket with few such members costs little more than its size. A bucket of many unlike
+    so a large group with few such members costs little more than its size. A group of many unlike
     members costs a comparison of bags for each pair of them.
     """
-    labelled = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    grouped = pairs.toDF("key", "node").unionByName(pairs.select(F.col("hub").alias("key"), F.col("hub").alias("node")).distinct())
+    labelled = grouped.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min_by("root", "node").alias("main"), F.min("root").alias("low"), F.max("root").alias("high"))
     mixed = mixed.where("n > 2 and low != high").select("key", "n", "main")
     rows = labelled.join(mixed, "key").select("key", "node", "root", (F.col("root") != F.col("main")).alias("minor"), F.ceil(F.col("n") / BLOCK).cast("int").alias("cols"))
@@ -330,18 +332,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     size_class = F.floor(F.log("n_words") / float(np.log(1 / SIMILARITY)))
     cut = shared.select("node", "key", size_class.alias("c")).select("node", F.explode(F.array(F.xxhash64("key", "c"), F.xxhash64("key", F.col("c") + 1))).alias("key"))
     hubs = cut.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    met = staged(cut.join(hubs, "key"), "nd-met")
+    met = cut.join(hubs, "key").where("node != hub")
+    pairs = staged(met.select("hub", F.col("node").alias("member")).distinct(), "nd-pairs")
     discard(shared)
-    pairs = staged(met.where("node != hub").select("hub", F.col("node").alias("member")).distinct(), "nd-pairs")
     texts = _texts(plain, pairs, nodes)
     checked = staged(_verified(pairs, texts), "nd-checked")
     links = checked.where("linked").select(F.col("hub").alias("a"), F.col("member").alias("b"))
     roots = components(links)
-    late = staged(_rest(met.select("key", "node"), roots, texts), "nd-late")
+    late = staged(_rest(pairs, roots, texts), "nd-late")
     if not late.isEmpty():
         roots = components(links.unionByName(late))
     by_hash = staged(_named(nodes, roots).withColumn("n", F.col("copies")), "nd-classes")
-    discard(met, pairs, checked, late)
+    discard(pairs, checked, late)
     hexed = F.lower(F.hex("hash")).alias("text_md5")
     return spread_join(rows.select("doc_id", "hash"), by_hash, "hash", "n").select("doc_id", "class_id", "copies", hexed, "class_md5")
 
