@@ -15,8 +15,9 @@ itself two longer texts share a sketch with probability 0.95 or more; README has
 
 In each bucket, cut by overlapping length classes, every text is compared with one hub, the least.
 Buckets of one hub are one group. Of a group that its hub leaves in several components, the rest is
-listed in blocks: each member outside the hub's component meets every member of another component, and
-a pair whose bags of words are near enough is verified there unless links found before join it. So
+listed in blocks: each member outside the hub's component meets every member of another component, by
+its bag of words first; texts are sent for members that are near to another component, and such pairs
+are verified unless links found before join them. So
 classes are the components of all similar pairs that share a bucket, and a text is sent once for each of
 its groups, however many keys it shares there. Exact copies are one node, so a group of copies costs one sketch,
 and no pairs are listed within a component.
@@ -24,7 +25,7 @@ and no pairs are listed within a component.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -47,7 +48,7 @@ RANKS = 1 << 20
 #: Least share of words that an alignment keeps: 1 - edits / words of the longer text.
 SIMILARITY = 0.8
 #: Counts in a bag of words; members of an open group that a block holds.
-BAG, BLOCK = 1024, 1024
+BAG, BLOCK = 256, 1024
 #: Rows of a batch that are Python objects at a time.
 SLICE = 256
 #: Members that meet one copy of a hub's text in a task.
@@ -110,9 +111,8 @@ def exact_keys(h: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-def candidate_keys(words: list[str]) -> np.ndarray:
-    """All keys of a text, each once; none for a text without words."""
-    h = word_hashes(words)
+def candidate_keys(h: np.ndarray) -> np.ndarray:
+    """All keys of a text's word hashes, each once; none for a text without words."""
     made = [order_sketches(h, k, sketches) for least, most, k, sketches in CLASSES if least <= len(h) <= most]
     if 0 < len(h) <= EXACT:
         made.append(exact_keys(h))
@@ -173,8 +173,20 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for start in range(0, whole.num_rows, SLICE):
             part = whole.slice(start, SLICE)
             words = [t.lower().split() for t in part.column("text").to_pylist()]
-            made = [pa.array([len(w) for w in words], pa.int32()), pa.array([candidate_keys(w) for w in words], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "hash", "row")), *made], ["doc_id", "hash", "row", "n_words", "keys"])
+            hashes = [word_hashes(w) for w in words]
+            made = [pa.array([len(w) for w in words], pa.int32()), pa.array([candidate_keys(h) for h in hashes], pa.list_(pa.int64())), pa.array([word_bag(h).tobytes() for h in hashes], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "hash", "row")), *made], ["doc_id", "hash", "row", "n_words", "keys", "bag"])
+
+
+def _near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose bags of words are as near as those of a similar pair must be."""
+    for part in batches:
+        if part.num_rows:
+            sizes = np.maximum(*(part.column(c).to_numpy().astype(np.int64) for c in ("n_words", "hub_words")))
+            a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16) for c in ("bag", "hub_bag"))
+            above, below = (np.maximum(x, 0).sum(axis=1) for x in (a - b, b - a))
+            near = np.maximum(above, below) <= ((1 - SIMILARITY) * sizes + 1e-9).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("hub"), part.column("member")], ["hub", "member"]).filter(pa.array(near))
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,21 +197,40 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([part.column("hub"), part.column("member"), pa.array(linked, pa.bool_())], ["hub", "member", "linked"])
 
 
-def word_bag(words: list[str]) -> np.ndarray:
-    """Counts of hashed words, cut at 255. What one bag has more than the other, on either side, is no more than the edit distance."""
-    return np.minimum(np.bincount((word_hashes(words) >> np.uint64(54)).astype(np.int64), minlength=BAG), 255).astype(np.uint8)
+def word_bag(h: np.ndarray) -> np.ndarray:
+    """Counts of a text's word hashes, cut at 255. What one bag has more than the other, on either side, is no more than the edit distance."""
+    return np.minimum(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=BAG), 255).astype(np.uint8)
 
 
-def _block_links(t: pa.Table) -> list[tuple[int, int]]:
+def _meetings(t: pa.Table, bags: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each row of a block with the columns of another root whose bags are near enough, and the edits that they may have."""
+    node, side, minor = (np.array(t.column(c).to_pylist()) for c in ("node", "row_side", "minor"))
+    kind = t.column("root").to_numpy()
+    cols = np.flatnonzero(~side)
+    for r in np.flatnonzero(side):
+        # Two members outside the hub's component meet twice; the lesser's row counts.
+        met = cols[(kind[cols] != kind[r]) & (~minor[cols] | (node[cols] > node[r]))]
+        most = ((1 - SIMILARITY) * np.maximum(sizes[met], sizes[r]) + 1e-9).astype(np.int64)
+        met, most = met[sizes[met] - sizes[r] <= most], most[sizes[met] - sizes[r] <= most]
+        more = bags[met] - bags[r]
+        above = np.maximum(more, 0).sum(axis=1)
+        near = np.maximum(above, above - more.sum(axis=1)) <= most
+        yield int(r), met[near], most[near]
+
+
+def _block_hopes(t: pa.Table) -> pa.RecordBatch:
+    """Members of one block that are near to another component by their bags."""
+    bags = np.frombuffer(b"".join(t.column("bag").to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16)
+    found = {i for r, met, _ in _meetings(t, bags, t.column("n_words").to_numpy().astype(np.int64)) if len(met) for i in (r, *met.tolist())}
+    some = t.take(pa.array(sorted(found), pa.int64())).combine_chunks()
+    return pa.RecordBatch.from_arrays([some.column(c).combine_chunks().cast(pa.int64()) for c in ("key", "node")], ["key", "node"])
+
+
+def _block_links(t: pa.Table) -> pa.RecordBatch:
     """Links of one block: rows meet columns of another root, in the least group that both are in."""
-    key, nodes, text, side, minor, keys = (t.column(c).to_pylist() for c in ("key", "node", "text", "row_side", "minor", "keys"))
-    root = t.column("root").to_pylist()
-    side, minor = np.array(side), np.array(minor)
-    place = {n: i for i, n in enumerate(sorted(set(nodes)))}
-    at = np.array([place[n] for n in nodes])
-    code = {r: i for i, r in enumerate(sorted(set(root)))}
-    kind = np.array([code[r] for r in root])
-    up = list(range(len(code)))
+    key, nodes, text, root = (t.column(c).to_pylist() for c in ("key", "node", "text", "root"))
+    keys = [set(k) for k in t.column("keys").to_pylist()]
+    up = {r: r for r in root}
 
     def find(i: int) -> int:
         while up[i] != i:
@@ -210,69 +241,63 @@ def _block_links(t: pa.Table) -> list[tuple[int, int]]:
     sizes, bags = np.zeros(len(text), np.int64), np.zeros((len(text), BAG), np.int16)
     for i, x in enumerate(text):
         w = x.lower().split()
-        sizes[i], bags[i] = len(w), word_bag(w)
-    keys = [set(k) for k in keys]
-    cols, found = np.flatnonzero(~side), []
-    for r in np.flatnonzero(side):
-        # Two members outside the hub's component meet twice; the lesser's row counts.
-        met = cols[(kind[cols] != kind[r]) & (~minor[cols] | (at[cols] > at[r]))]
-        most = ((1 - SIMILARITY) * np.maximum(sizes[met], sizes[r]) + 1e-9).astype(np.int64)
-        met, most = met[sizes[met] - sizes[r] <= most], most[sizes[met] - sizes[r] <= most]
-        more = bags[met] - bags[r]
-        above = np.maximum(more, 0).sum(axis=1)
-        near = np.maximum(above, above - more.sum(axis=1)) <= most
-        for m, k in zip(met[near].tolist(), most[near].tolist(), strict=True):
-            a, b = find(int(kind[r])), find(int(kind[m]))
+        sizes[i], bags[i] = len(w), word_bag(word_hashes(w))
+    found = []
+    for r, met, most in _meetings(t, bags, sizes):
+        for m, k in zip(met.tolist(), most.tolist(), strict=True):
+            a, b = find(root[r]), find(root[m])
             if a != b and min(keys[r] & keys[m]) == key[r] and banded_distance(text[r].lower().split(), text[m].lower().split(), k) <= k:
                 up[a] = b
                 found.append((nodes[r], nodes[m]))
-    return found
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, col, row) to the links of each such block."""
+def _by_block(handle: Callable[[pa.Table], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``handle`` on each block of rows sorted by (key, col, row)."""
 
-    def links(t: pa.Table, starts: list[int]) -> pa.RecordBatch:
-        found = [x for a, z in zip(starts, starts[1:], strict=False) for x in _block_links(t.slice(a, z - a))]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in parts:
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            if not t.num_rows:
+                continue
+            ids = np.stack([t.column(c).to_numpy() for c in ("key", "col", "row")])
+            starts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1).tolist()]
+            for start, end in zip(starts, starts[1:], strict=False):
+                yield handle(t.slice(start, end - start))
+            rest = t.slice(starts[-1])
+        if rest is not None:
+            yield handle(rest)
 
-    rest = None
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        t = t if rest is None else pa.concat_tables([rest, t])
-        if not t.num_rows:
-            continue
-        ids = np.stack([t.column(c).to_numpy() for c in ("key", "col", "row")])
-        starts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1).tolist()]
-        yield links(t, starts)
-        rest = t.slice(starts[-1])
-    if rest is not None:
-        yield links(rest, [0, rest.num_rows])
+    return batches
 
 
-def _rest(pairs: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): links between members of a hub's group in different components.
-
-    Members outside the hub's component are rows, all members are columns; both are dealt in blocks,
-    so a large group with few such members costs little more than its size. A group of many unlike
-    members costs a comparison of bags for each pair of them.
-    """
+def _open_groups(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, root, minor) of the members of groups in several components: minor ones are outside the hub's."""
     grouped = pairs.toDF("key", "node").unionByName(pairs.select(F.col("hub").alias("key"), F.col("hub").alias("node")).distinct())
     labelled = grouped.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min_by("root", "node").alias("main"), F.min("root").alias("low"), F.max("root").alias("high"))
-    mixed = mixed.where("n > 2 and low != high").select("key", "n", "main")
-    rows = labelled.join(mixed, "key").select("key", "node", "root", (F.col("root") != F.col("main")).alias("minor"), F.ceil(F.col("n") / BLOCK).cast("int").alias("cols"))
-    rows = staged(rows, "nd-open")
-    known = rows.groupBy("node").agg(F.collect_set("key").alias("keys")).join(texts, "node")
-    count = rows.where("minor").groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows"))
-    sized = rows.join(count, "key")
+    mixed = mixed.where("n > 2 and low != high").select("key", "main")
+    return staged(labelled.join(mixed, "key").select("key", "node", "root", (F.col("root") != F.col("main")).alias("minor")), "nd-open")
+
+
+def _blocks(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Members of open groups, with what is ``known`` of a node, dealt and sorted by blocks.
+
+    Members outside the hub's component are rows, all members are columns, and blocks cut both, so a
+    large group with few such members costs little more than its size. A group of many unlike members
+    costs a comparison of bags for each pair of them.
+    """
+    count = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cols"), F.ceil(F.count_if("minor") / BLOCK).cast("int").alias("rows"))
+    sized = rows.join(count.where("rows > 0"), "key")
     place = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
     kept = ["key", "node", "root", "minor"]
     columns = sized.withColumn("row", every("rows")).select(*kept, place("cols").alias("col"), "row", F.lit(False).alias("row_side"))
     meeting = sized.where("minor").withColumn("col", every("cols")).select(*kept, "col", place("rows").alias("row"), F.lit(True).alias("row_side"))
     dealt = columns.unionByName(meeting).join(known, "node")
-    return dealt.repartition("key", "col", "row").sortWithinPartitions("key", "col", "row").mapInArrow(_link_batches, "a long, b long")
+    return dealt.repartition("key", "col", "row").sortWithinPartitions("key", "col", "row")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -297,18 +322,41 @@ def _named(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return named.unionByName(alone)
 
 
-def _texts(plain: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the nodes in ``pairs``. Few are broadcast, so texts that aren't wanted stay where they are; more are joined."""
-    some = pairs.select(F.explode(F.array("hub", "member")).alias("node")).distinct()
-    wanted = staged(some.join(nodes, "node").select("node", "copies", F.col("first.id").alias("id"), F.col("hash").alias("of")), "nd-wanted")
-    near = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    found = plain.join(near, plain["doc_id"].eqNullSafe(near["id"]) & (plain["hash"] == near["of"])).select("node", "text", "copies")
+def _few(nodes: DataFrame) -> DataFrame:
+    """Staged ``nodes``, to be broadcast if they are few."""
+    return F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
+
+
+def _texts(plain: DataFrame, some: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the nodes in ``some``. Few are broadcast, so texts that aren't wanted stay where they are; more are joined."""
+    wanted = _few(staged(some.distinct().join(nodes, "node").select("node", "copies", F.col("first.id").alias("id"), F.col("hash").alias("of")), "nd-wanted"))
+    found = plain.join(wanted, plain["doc_id"].eqNullSafe(wanted["id"]) & (plain["hash"] == wanted["of"])).select("node", "text", "copies")
     # Only a text with copies can have several rows of one id.
-    found = staged(found, "nd-found")
+    found = staged(found, "nd-texts")
     once = found.where("copies > 1").select("node", "text").dropDuplicates(["node"])
     return found.where("copies = 1").select("node", "text").unionByName(once)
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("hub", "member")).alias("node"))
+
+
+def _bags(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, n_words, bag) of the nodes in ``pairs``."""
+    wanted = _few(staged(_ends(pairs).distinct(), "nd-ends"))
+    return staged(rows.select(F.col("row").alias("node"), "n_words", "bag").join(wanted, "node"), "nd-bags")
+
+
+def _near_pairs(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """``pairs`` (hub, member) without those that bags of words rule out, so fewer texts are sent."""
+    hubs = pairs.groupBy(F.col("hub").alias("node")).agg(F.count("*").alias("n")).join(bags, "node")
+    hubs = staged(hubs.select(F.col("node").alias("hub"), F.col("n_words").alias("hub_words"), F.col("bag").alias("hub_bag"), "n"), "nd-hubs")
+    with_bags = spread_join(pairs.join(bags.withColumnRenamed("node", "member"), "member"), hubs, "hub", "n")
+    near = staged(with_bags.mapInArrow(_near_batches, "hub long, member long"), "nd-near")
+    discard(hubs)
+    return near
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Class of every document: doc_id, class_id, copies (rows of the same text), text_md5, class_md5; one row per input row.
 
@@ -321,11 +369,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.unhex(F.md5(F.col("text").cast("binary"))))
     kind = docs.schema["doc_id"].dataType.simpleString()
     numbered = plain.withColumn("row", F.monotonically_increasing_id())
-    rows = staged(numbered.mapInArrow(_sketch_batches, f"doc_id {kind}, hash binary, row long, n_words int, keys array<long>"), "nd-sketches")
+    rows = staged(numbered.mapInArrow(_sketch_batches, f"doc_id {kind}, hash binary, row long, n_words int, keys array<long>, bag binary"), "nd-sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("first")
     # A text's node is the number of one of its rows, so it is found again by a key that no other row has.
     nodes = staged(rows.groupBy("hash").agg(F.min("row").alias("node"), first, F.count("*").alias("copies")), "nd-nodes")
-    mine = rows.where("n_words > 0").join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
+    # Copies are dropped from the candidates: few by broadcast, more by a join whose result is staged.
+    more = staged(rows.select("row", "hash").join(nodes.where("copies > 1").select("hash", "node"), "hash").where("row != node").select("row"), "nd-more")
+    mine = rows.where("n_words > 0").select("row", "n_words", "keys")
+    if more.count() <= BROADCAST_ROWS:
+        mine = mine.join(F.broadcast(more), "row", "left_anti")
+    else:
+        mine = staged(mine.join(more, "row", "left_anti"), "nd-mine")
     buckets = mine.select(F.col("row").alias("node"), "n_words", F.explode("keys").alias("key"))
     several = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     shared = staged(buckets.join(several, "key"), "nd-shared")
@@ -335,15 +389,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = cut.join(hubs, "key").where("node != hub")
     pairs = staged(met.select("hub", F.col("node").alias("member")).distinct(), "nd-pairs")
     discard(shared)
-    texts = _texts(plain, pairs, nodes)
-    checked = staged(_verified(pairs, texts), "nd-checked")
+    bags = _bags(pairs, rows)
+    near = _near_pairs(pairs, bags)
+    checked = staged(_verified(near, _texts(plain, _ends(near), nodes)), "nd-checked")
     links = checked.where("linked").select(F.col("hub").alias("a"), F.col("member").alias("b"))
     roots = components(links)
-    late = staged(_rest(pairs, roots, texts), "nd-late")
-    if not late.isEmpty():
+    # What hubs leave open: first by bags, then texts of those members that are near to another component.
+    unsure = _open_groups(pairs, roots)
+    hopes = staged(_blocks(unsure, bags).mapInArrow(_by_block(_block_hopes), "key long, node long").distinct(), "nd-hopes")
+    discard(bags)
+    if not hopes.isEmpty():
+        some = staged(unsure.join(hopes, ["key", "node"]), "nd-some")
+        keys = some.groupBy("node").agg(F.collect_set("key").alias("keys"))
+        known = keys.join(_texts(plain, some.select("node"), nodes), "node")
+        late = staged(_blocks(some, known).mapInArrow(_by_block(_block_links), "a long, b long"), "nd-late")
         roots = components(links.unionByName(late))
     by_hash = staged(_named(nodes, roots).withColumn("n", F.col("copies")), "nd-classes")
-    discard(pairs, checked, late)
+    discard(pairs, near, checked, unsure)
     hexed = F.lower(F.hex("hash")).alias("text_md5")
     return spread_join(rows.select("doc_id", "hash"), by_hash, "hash", "n").select("doc_id", "class_id", "copies", hexed, "class_md5")
 
