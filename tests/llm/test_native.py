@@ -175,6 +175,55 @@ def test_mix_of_odd_rows(spark, odd):
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega"
 
 
+def least_breaks(masks, longest):
+    """For each length, the fewest broken tokens that leave no mask a free window: shortest paths over the last tokens' states."""
+    width = max(m[-1] for m in masks)
+    looks = [(m[-1] + 1, sum(1 << (m[-1] - o) for o in m)) for m in masks]
+    cost = {0: 0}
+    for n in range(1, longest + 1):
+        ways = {}
+        for past, broken in cost.items():
+            for bit in (0, 1):
+                seen = past << 1 | bit
+                if all(n < span or seen & bits for span, bits in looks):
+                    key = seen & ((1 << width) - 1)
+                    ways[key] = min(ways.get(key, n), broken + bit)
+        cost = ways
+        yield n, min(cost.values())
+
+
+def test_masks_hit_whatever_fifth_is_broken():
+    for least, most, masks in decontaminate.CLASSES:
+        assert all(broken > n // 5 for n, broken in least_breaks(masks, min(most, 80)) if n >= least)
+
+
+def test_every_offset_of_broken_tokens(spark):
+    """Every fifth token replaced, from each offset, and other spreads, amid a document; items of nine tokens too."""
+    rng, docs, bench = random.Random(8), [], []
+    for n in (5, 9, 10, 12, 15, 20, 21, 40, 60):
+        item = [f"i{n}w{j}" for j in range(n)]
+        bench.append((n, " ".join(item)))
+        spreads = [set(range(o, n, 5)) for o in range(5) if len(range(o, n, 5)) <= n // 5] + [set(rng.sample(range(n), n // 5)) for _ in range(6)]
+        for s in spreads:
+            words = [f"x{rng.random()}" if j in s else w for j, w in enumerate(item)]
+            docs.append((len(docs), " ".join([*(f"b{rng.random()}" for _ in range(30)), *words, *(f"a{rng.random()}" for _ in range(30))]), n))
+    bench.append((99, "two words"))
+    rows = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.doc_start) for r in decontaminate.find_overlaps(rows, items).collect()}
+    assert got == {(d, n, 30) for d, _, n in docs}
+    # Blocks of items give the same.
+    assert {(r.doc_id, r.item_id, r.doc_start) for r in decontaminate.find_overlaps(rows, items, block_seeds=300).collect()} == got
+
+
+def test_excerpts_and_put_in_tokens(spark):
+    item = [f"w{j}" for j in range(40)]
+    docs = [(1, [*item[5:35]]), (2, [*item[:19], "more", *item[19:]]), (3, item[:10]), (4, [*item[:20], *item[21:]]), (5, item[::2])]
+    rows = spark.createDataFrame([(d, "start " * 9 + " ".join(w) + " end" * 9) for d, w in docs], "doc_id long, text string")
+    got = {r.doc_id: (r.doc_start, r.overlap, r.matched) for r in decontaminate.find_overlaps(rows, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == {1: (9, 30, 30), 2: (29, 21, 21), 4: (9, 20, 20)}
+
+
 def test_overlaps_tolerate_substitutions(spark):
     w = ITEM.split()
     swapped = [*w[:5], "XX", *w[6:17], "YY", *w[18:]]
@@ -204,9 +253,14 @@ def test_overlaps_against_brute_force(spark, sf):
             for q, x in enumerate(w):
                 for p in spots.get(x, ()):
                     at[q - p] += 1
-            for start, n in at.items():
-                over = min(len(item), len(w) - start) - max(0, -start)
-                if n >= min(12, len(item)) and n >= 0.8 * over and over >= 0.5 * len(item):
+            for start in at:
+                first, skipped = max(0, start), max(0, -start)
+                over = min(len(item) - skipped, len(w) - first)
+                same = [item[skipped + j] == w[first + j] for j in range(over)]
+                # Of all stretches the one of the highest score, the earlier end, the longer.
+                best = max(((3 * sum(same[a:b]) - 2 * (b - a), -b, b - a) for a in range(over) for b in range(a + 1, over + 1) if same[a] and same[b - 1]), default=(0, 0, 0)) if sum(same) >= 5 else (0, 0, 0)
+                n = (best[0] + 2 * best[2]) // 3
+                if over == len(item) >= 5 and sum(same) >= 0.8 * len(item) or n >= 12 and n >= 0.4 * len(item) and n >= 0.8 * best[2]:
                     want.add((d, i))
     got = {(r.doc_id, r.item_id) for r in decontaminate.find_overlaps(docs, bench).collect()}
     assert got == want

@@ -146,21 +146,37 @@ FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM toxic) GROUP BY ALL
 """
 
 _WORDS_SQL = r"""list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[[:punct:]\s]+(\s|$)|(^|\s)[[:punct:]\s]+|\s+', ' ', 'g'), ' '), lambda w: w <> '')"""
-_SEEDS_SQL = """SELECT {id}, p, 0 AS m, concat_ws(' ', w[p], w[p+1], w[p+3], w[p+4], w[p+7], w[p+9]) AS k FROM {of}
-  UNION ALL SELECT {id}, p, 1, concat_ws(' ', w[p], w[p+2], w[p+3], w[p+5], w[p+6], w[p+9]) FROM {of}"""
-#: Seeds are joined as text instead of hashes; the rest is the same arithmetic.
+_MASKS_SQL = {c: [f"concat_ws(' ', {', '.join(f'w[p+{o}]' for o in m)})" for m in masks] for c, (_, _, masks) in enumerate(decontaminate.CLASSES)}
+
+
+def _seeds_sql(key: str, of: str, c: int) -> str:
+    least = decontaminate.CLASSES[c][0]
+    of_class = f" AND len(w) BETWEEN {least} AND {decontaminate.CLASSES[c][1]}" if key == "item_id" else ""
+    spans = [m[-1] for m in decontaminate.CLASSES[c][2]]
+    return " UNION ALL ".join(f"SELECT {key}, p, '{c}{i}' AS m, {k} AS k FROM {of} WHERE p + {spans[i]} <= len(w){of_class}" for i, k in enumerate(_MASKS_SQL[c]))
+
+
+#: Seeds are joined as text instead of hashes; the best stretch comes from running sums along each diagonal.
 _OVERLAP_SQL = f"""
 WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents), i AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
-dp AS (SELECT *, unnest(range(1, len(w) - 8)) AS p FROM d WHERE len(w) >= 10), ip AS (SELECT *, unnest(range(1, len(w) - 8)) AS p FROM i WHERE len(w) >= 10),
-dk AS ({_SEEDS_SQL.format(id='doc_id', of='dp')}), ik AS ({_SEEDS_SQL.format(id='item_id', of='ip')}),
+dp AS (SELECT *, unnest(range(1, len(w) + 1)) AS p FROM d), ip AS (SELECT *, unnest(range(1, len(w) + 1)) AS p FROM i),
+dk AS ({' UNION ALL '.join(_seeds_sql('doc_id', 'dp', c) for c in _MASKS_SQL)}), ik AS ({' UNION ALL '.join(_seeds_sql('item_id', 'ip', c) for c in _MASKS_SQL)}),
 diagonal AS (SELECT DISTINCT doc_id, item_id, dk.p - ik.p AS s FROM dk JOIN ik USING (m, k)),
-laid AS (SELECT doc_id, item_id, s, greatest(s, 0) AS a, greatest(-s, 0) AS b, d.w AS dw, i.w AS iw FROM diagonal JOIN d USING (doc_id) JOIN i USING (item_id)),
-ranged AS (SELECT *, least(len(iw) - b, len(dw) - a) AS overlap FROM laid),
-scored AS (SELECT doc_id, item_id, s AS doc_start, overlap, len(list_filter(range(1, overlap + 1), lambda j: iw[b + j] = dw[a + j])) AS matched, len(iw) AS item_words FROM ranged),
-good AS (SELECT * FROM scored WHERE matched >= least(12, item_words) AND matched >= overlap * 0.8 AND overlap >= item_words * 0.5
-  UNION ALL SELECT doc_id, item_id, 0, len(w), len(w), len(w) FROM d JOIN i USING (w) WHERE len(w) BETWEEN 1 AND 9),
-best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, doc_start) AS rn FROM good)
-SELECT doc_id, item_id, CAST(doc_start AS INT) AS doc_start, CAST(overlap AS INT) AS overlap, CAST(matched AS INT) AS matched, CAST(item_words AS INT) AS item_words FROM best WHERE rn = 1
+laid AS (SELECT doc_id, item_id, greatest(s, 0) AS a, greatest(-s, 0) AS b, d.w AS dw, i.w AS iw FROM diagonal JOIN d USING (doc_id) JOIN i USING (item_id)),
+ranged AS (SELECT *, least(len(iw) - b, len(dw) - a) AS over, len(iw) AS item_words, row_number() OVER () AS x FROM laid),
+step AS (SELECT *, unnest(range(1, over + 1)) AS j FROM ranged), agreed AS (SELECT * EXCLUDE (dw, iw), CASE WHEN iw[b + j] = dw[a + j] THEN 1 ELSE 0 END AS hit FROM step),
+summed AS (SELECT *, sum(3 * hit - 2) OVER (PARTITION BY x ORDER BY j) AS sums, sum(hit) OVER (PARTITION BY x) AS total FROM agreed),
+lows AS (SELECT *, least(0, min(sums) OVER (PARTITION BY x ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS low FROM summed),
+scored AS (SELECT *, sums - coalesce(low, 0) AS score, row_number() OVER (PARTITION BY x ORDER BY sums - coalesce(low, 0) DESC, j) AS rn FROM lows),
+top AS (SELECT * FROM scored WHERE rn = 1),
+starts AS (SELECT top.x, coalesce(min(l.j) FILTER (l.sums = top.low AND top.low < 0), 0) AS since FROM top JOIN lows l ON l.x = top.x AND l.j < top.j GROUP BY top.x),
+best AS (SELECT top.*, coalesce(since, 0) AS since, j - coalesce(since, 0) AS length FROM top LEFT JOIN starts USING (x)),
+counted AS (SELECT *, (score + 2 * length) // 3 AS n, over = item_words AND total >= item_words * 0.8 AS whole FROM best),
+good AS (SELECT doc_id, item_id, CASE WHEN whole THEN a ELSE a + since END AS doc_start, CASE WHEN whole THEN over ELSE length END AS overlap, CASE WHEN whole THEN total ELSE n END AS matched, item_words
+  FROM counted WHERE whole OR (n >= 12 AND n >= item_words * 0.4 AND n >= length * 0.8)
+  UNION ALL SELECT doc_id, item_id, 0, len(w), len(w), len(w) FROM d JOIN i USING (w) WHERE len(w) BETWEEN 1 AND 4),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, doc_start, overlap) AS rn FROM good)
+SELECT doc_id, item_id, CAST(doc_start AS INT) AS doc_start, CAST(overlap AS INT) AS overlap, CAST(matched AS INT) AS matched, CAST(item_words AS INT) AS item_words FROM ranked WHERE rn = 1
 """
 
 #: The heap as a recursion over groups by size; of equal sizes, ranks go to shards in runs.
