@@ -49,24 +49,39 @@ def test_additive_model_learns_an_interaction():
     assert ((model.score(x[2000:]) > 0.5) == y[2000:]).mean() > 0.9
 
 
+def trie_of(texts):
+    grams, n = ppm.count_grams(texts)
+    low, at = np.unique(grams & 0xFFFF, return_inverse=True)
+    return grams, n, (low, np.bincount(at, n).astype(np.int64))
+
+
 def test_trie_equals_plain_ppm_and_sums_to_one():
     rng = np.random.default_rng(2)
-    texts = [bytes(rng.choice(list(b"abcd \n\xc3\xa9"), rng.integers(0, 60))) for _ in range(40)]
-    grams, n = ppm.count_grams(texts)
-    for depth in (4, 3, 2):
-        keys, at = np.unique(grams & ((1 << (8 * (depth + 1))) - 1), return_inverse=True)
-        trie = ppm.build_trie(keys, np.bincount(at, n).astype(np.int64), depth)
-        chance = 10.0 ** trie.table.astype(float)
-        size = chance.shape[1] - 1
-        assert np.allclose(chance[:, :size].sum(1) + chance[:, size] * (256 - size), 1, atol=1e-5)
-        plain = ppm.AdaptivePPM(depth)
-        for t in texts:
-            plain.log10(t)
-        counts = plain.counts
-        for t in [*texts[:4], b"abcz zz", b"", b"\n\n", b"zzzz"]:
-            frozen = ppm.AdaptivePPM(depth)
-            frozen.counts = counts
-            assert trie.log10_each([t])[0] == pytest.approx(frozen.log10(t, learn=False), abs=1e-3)
+    texts = [bytes(rng.choice(list(b"abcd \n\xc3\xa9"), rng.integers(0, 60)).tolist()) for _ in range(40)]
+    grams, n, low = trie_of(texts)
+    whole = ppm.build_trie(grams, n, low)
+    plain = ppm.AdaptivePPM()
+    for t in texts:
+        plain.log10(t)
+    asked = [*texts[:4], b"abcz zz", b"", b"\n\n", b"zzzz", b"ab\xc3\xa9q d"]
+    want = [plain.log10(t, learn=False) for t in asked]
+    assert whole.log10_each(asked) == pytest.approx(want, abs=1e-4)
+    for context in (*(int(g) >> 8 for g in rng.choice(grams, 20)), 0x7A7A7A7A, 0x7A7A6162):
+        assert (10.0 ** whole.log10_grams((context << 8) + np.arange(256))).sum() == pytest.approx(1, abs=1e-5)
+    # Slices by the last two bytes add up to the whole.
+    pair = (grams >> 8) & 0xFFFF
+    sizes = [(int(p), int((pair == p).sum())) for p in np.unique(pair)]
+    total, bounds = np.zeros(len(asked)), ppm.slice_bounds(sizes, 50)
+    for first, after in bounds:
+        mine, pairs = (pair >= first) & (pair < after), np.arange(1 << 16)
+        total += ppm.build_trie(grams[mine], n[mine], low, (pairs >= first) & (pairs < after)).log10_each(asked)
+    assert len(bounds) > 3 and total == pytest.approx(want, abs=1e-4)
+
+
+def test_slices_do_not_change_scores(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    one, many = ({r.doc_id: r.score for r in ppm.score_documents(docs, n).collect()} for n in (1 << 40, 3000))
+    assert one == pytest.approx(many, rel=1e-9)
 
 
 def test_adaptive_model_learns_repeats():

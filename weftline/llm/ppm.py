@@ -4,10 +4,15 @@ The pretrained model is a byte-context trie up to four bytes deep: counts of eac
 context, gathered over all training texts, with an end symbol after each text. A byte unseen after a
 context costs an escape (method C: d different bytes in n occurrences escape with d / (n + d)) and is
 then looked for after the context's suffix, with the bytes already ruled out left out of the counts
-(symbol exclusion). Below order 0 all bytes not ruled out are equally likely. As the counts are
-fixed when scoring begins, every probability of a context is tabulated once, and a text's code length
-is a sum of lookups. The trie's depth is the largest of 4, 3 and 2 whose table fits TABLE_BYTES; at
-depth 2 it always does. An adaptive model, which learns from a text while coding it, is beside it.
+(symbol exclusion). Below order 0 all bytes not ruled out are equally likely.
+
+As a context's bytes also occur after its suffix, what exclusion leaves of the suffix's counts depends
+on the context alone. So the trie is sparse: one number for each seen byte and three for each context,
+in sorted arrays, whatever the corpus holds, and a text's code length is a sum of lookups. It is cut into
+slices by the last two bytes of the context, SLICE_GRAMS at most where one such pair allows; slices are
+built one at a time, broadcast, and held one at a time in a scoring task, so neither driver nor tasks
+need room for the whole trie. Every position's chain of contexts lies in one slice, and scores add up.
+An adaptive model, which learns from a text while coding it, is beside it.
 
 The base score is a smoothed unigram model of the same training texts: word counts are gathered in the
 same pass. The commonest HEAD words are looked up in the scoring pass; rarer words are joined.
@@ -22,10 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import ship, staged
+from weftline.llm.common import discard, ship, staged
 
 DEPTH = 4
 FOLDS = 10
@@ -33,8 +39,8 @@ FOLDS = 10
 END = 0xFF
 #: What a text's first bytes see before them.
 BEFORE = b"\n" * DEPTH
-#: Most bytes of the tabulated model. 65,537 contexts of 257 float32 entries fit.
-TABLE_BYTES = 68 << 20
+#: Grams of a slice of the trie, about 40 bytes each with their contexts and suffixes; what the driver and a scoring task hold of it at a time.
+SLICE_GRAMS = 1_500_000
 #: Words in the scoring pass's own dictionary.
 HEAD = 1 << 16
 #: Bytes and different words handled at once in a task.
@@ -111,82 +117,107 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 @dataclass
 class ByteTrie:
-    """A pretrained model as tables: ``code`` of a byte; rows of log10 probabilities by context; context to row."""
+    """Orders 0 to DEPTH of a slice, each as sorted arrays of packed bytes and of logarithms to base 10.
+
+    Of a gram (context and symbol): ``seen``, its count; ``plain``, its chance where scoring enters at its
+    context. Of a context: ``first``, the escape where scoring enters there; ``rest``, what exclusion leaves
+    of its suffix's count and kinds; ``left``, the escapes from its suffixes, summed along their chain.
+    ``alike`` is the chance of each symbol that is left below order 0.
+    """
 
-    code: np.ndarray
-    table: np.ndarray
-    third: np.ndarray
-    fourth: np.ndarray
+    grams: list[np.ndarray]
+    seen: list[np.ndarray]
+    plain: list[np.ndarray]
+    contexts: list[np.ndarray]
+    first: list[np.ndarray]
+    rest: list[np.ndarray]
+    left: list[np.ndarray]
+    alike: float
+    pairs: np.ndarray | None = None
 
     def log10_each(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text and its end."""
+        """log10 probability of each text and its end, of those positions whose two bytes before are this slice's."""
         out = np.zeros(len(texts))
-        width = self.table.shape[1]
         for start, end in _chunks(texts):
             raw, own, firsts = _laid_out(texts[start:end])
-            codes = self.code[raw]
-            row = self.third[(codes[own - 3] * width + codes[own - 2]) * width + codes[own - 1]]
-            row = self.fourth[row, codes[own - 4]]
-            out[start:end] = np.add.reduceat(self.table[row, codes[own]].astype(np.float64), firsts)
+            packed = np.zeros(len(own), np.int64)
+            for back in range(DEPTH, -1, -1):
+                packed = (packed << 8) | raw[own - back]
+            if self.pairs is None:
+                each = self.log10_grams(packed)
+            else:
+                each, mine = np.zeros(len(own)), self.pairs[(packed >> 8) & 0xFFFF]
+                each[mine] = self.log10_grams(packed[mine])
+            out[start:end] = np.add.reduceat(each, firsts)
+        return out
+
+    def log10_grams(self, packed: np.ndarray) -> np.ndarray:
+        """log10 probability of each gram's symbol after its context."""
+        out, todo = np.empty(len(packed)), np.arange(len(packed))
+        # Of positions not found yet: their context one order up, -1 before the first known one; all escapes of their chain.
+        above, chain = np.full(len(packed), -1), np.zeros(len(packed))
+        for k in range(DEPTH, -1, -1):
+            if not len(todo) or not len(self.contexts[k]):
+                continue
+            own = packed[todo] & ((1 << (8 * (k + 1))) - 1)
+            at, hit = _found(self.grams[k], own)
+            entered = hit & (above >= 0)
+            if entered.any():  # the chain's escapes down to here, and no further
+                out[todo[entered]] = chain[entered] - self.left[k + 1][above[entered]] - self.rest[k + 1][above[entered]] + self.seen[k][at[entered]]
+            fresh = hit & ~entered
+            out[todo[fresh]] = self.plain[k][at[fresh]]
+            todo, above, chain, own = (x[~hit] for x in (todo, above, chain, own))
+            place, known = _found(self.contexts[k], own >> 8)
+            place = np.where(known, place, 0)
+            chain = np.where(known & (above < 0), self.first[k][place] + self.left[k][place], chain)
+            above = np.where(known, place, above)
+        out[todo] = chain + self.alike
         return out
 
 
-def build_trie(grams: np.ndarray, counts: np.ndarray, depth: int) -> ByteTrie:
-    """Tabulate PPM probabilities from grams of ``depth`` context bytes and a symbol (packed) with their counts."""
-    symbols = np.unique(np.concatenate([grams & 0xFF, [END]]))
-    size, width = len(symbols), len(symbols) + 1  # the last column stands for any unseen byte
-    code = np.full(256, size, np.int64)
-    code[symbols] = np.arange(size)
-    contexts: list[np.ndarray] = []
-    dense: list[np.ndarray] = []
-    for k in range(depth + 1):
-        keys, at = np.unique(grams & ((1 << (8 * (k + 1))) - 1), return_inverse=True)
-        n = np.bincount(at, counts, len(keys))
-        own, row = np.unique(keys >> 8, return_inverse=True)
-        full = np.zeros((max(1, len(own)), size), np.float32)
-        full[row, code[keys & 0xFF]] = n
-        contexts.append(own if len(own) else np.zeros(1, np.int64))
-        dense.append(full)
-    base = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
-    table = np.empty((base[-1], width), np.float32)
-    unseen = 256 - size
-    for k in range(depth + 1):
-        for first in range(0, len(contexts[k]), 2048):
-            own = contexts[k][first : first + 2048]
-            chance = np.zeros((len(own), width))
-            open_, left = np.ones((len(own), size), bool), np.ones(len(own))
-            for j in range(k, -1, -1):
-                low = own & ((1 << (8 * j)) - 1)
-                n = np.where(open_, dense[j][np.searchsorted(contexts[j], low)], 0).astype(np.float64)
-                seen = n > 0
-                total, kinds = n.sum(1), seen.sum(1)
-                whole = np.maximum(total + kinds, 1)
-                chance[:, :size] += np.where(seen, n * (left / whole)[:, None], 0)
-                left = np.where(kinds > 0, left * kinds / whole, left)
-                open_ &= ~seen
-            rest = open_.sum(1) + unseen
-            each = left / np.maximum(rest, 1)
-            chance[:, :size] += np.where(open_, each[:, None], 0)
-            chance[:, size] = each
-            with np.errstate(divide="ignore"):
-                table[base[k] + first : base[k] + first + len(own)] = np.log10(chance)
-    del dense
-    # Context to row, for one to three bytes and then for a fourth; unknown ones fall back to their suffix.
-    rows = np.zeros(1, np.int32)
-    split = lambda own, j: code[(own >> (8 * j)) & 0xFF]
-    for k in range(1, 4):
-        rows = np.tile(rows, width)
-        if k <= depth:
-            at = np.zeros(len(contexts[k]), np.int64)
-            for j in range(k - 1, -1, -1):
-                at = at * width + split(contexts[k], j)
-            rows[at] = base[k] + np.arange(len(contexts[k]))
-    fourth = np.repeat(np.arange(base[min(depth, 3) + 1], dtype=np.int32)[:, None], width, axis=1)
-    if depth == 4:
-        own = contexts[4]
-        suffix = (split(own, 2) * width + split(own, 1)) * width + split(own, 0)
-        fourth[rows[suffix], split(own, 3)] = base[4] + np.arange(len(own))
-    return ByteTrie(code, table, rows, fourth)
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted key among sorted ``keys``, and whether it is there."""
+    at = np.searchsorted(keys, wanted)
+    if not len(keys):
+        return at, np.zeros(len(wanted), bool)
+    return at, keys[np.minimum(at, len(keys) - 1)] == wanted
+
+
+def build_trie(grams: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray], pairs: np.ndarray | None = None) -> ByteTrie:
+    """A slice from its packed grams of DEPTH context bytes and a symbol, sorted, with their counts.
+
+    ``low`` has the grams of one context byte and their counts, of the whole corpus; ``pairs`` marks the
+    last two bytes of this slice's contexts.
+    """
+
+    def added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own, at = np.unique(keys, return_inverse=True)
+        return own, np.bincount(at, n, len(own)).astype(np.int64)
+
+    levels = [added(low[0] & 0xFF, low[1]), low]
+    levels += [added(grams & ((1 << (8 * (k + 1))) - 1), counts) for k in range(2, DEPTH + 1)]
+    trie = ByteTrie([g for g, _ in levels], [np.log10(n).astype(np.float32) for _, n in levels], [], [], [], [], [], -math.log10(max(1, 256 - len(levels[0][0]))), pairs)
+    totals, kinds = [], []
+    for k, (keys, n) in enumerate(levels):
+        own, at = np.unique(keys >> 8, return_inverse=True)
+        totals.append(np.bincount(at, n, len(own)).astype(np.int64))
+        kinds.append(np.bincount(at, minlength=len(own)).astype(np.int64))
+        whole = np.log10(totals[k] + kinds[k])
+        trie.contexts.append(own)
+        trie.plain.append((np.log10(n) - whole[at]).astype(np.float32))
+        trie.first.append(np.log10(kinds[k]) - whole)
+        if not k:
+            trie.rest.append(np.zeros(len(own)))
+            trie.left.append(np.zeros(len(own)))
+            continue
+        suffix = np.searchsorted(trie.contexts[k - 1], own & ((1 << (8 * (k - 1))) - 1))
+        # What the context has seen counts no more after its suffix.
+        shorter, m = levels[k - 1]
+        gone = np.bincount(at, m[np.searchsorted(shorter, keys & ((1 << (8 * k)) - 1))], len(own)).astype(np.int64)
+        d = kinds[k - 1][suffix] - kinds[k]
+        trie.rest.append(np.log10(np.maximum(totals[k - 1][suffix] - gone + d, 1)))
+        trie.left.append(np.where(d > 0, np.log10(np.maximum(d, 1)) - trie.rest[k], 0.0) + trie.left[k - 1][suffix])
+    return trie
 
 
 class AdaptivePPM:
@@ -223,48 +254,86 @@ class AdaptivePPM:
 
 @dataclass
 class PretrainedModel:
-    trie: ByteTrie
+    slices: list[Broadcast]
     words: DataFrame
     head: dict[bytes, int]
     tokens: int
     types: int
 
 
-def pretrain(docs: DataFrame) -> PretrainedModel:
+def slice_bounds(sizes: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
+    """Ranges of pairs, [first, after), that hold ``most`` grams at most, or one pair of more; sizes by pair, ascending."""
+    out, held, start = [], 0, 0
+    for pair, n in sizes:
+        if held and held + n > most:
+            out.append((start, pair))
+            held, start = 0, pair
+        held += n
+    return [*out, (start, 1 << 16)]
+
+
+def _slices(grams: DataFrame, most: int) -> list[Broadcast]:
+    """The trie's slices, each fetched, built and broadcast before the next."""
+    pair = F.shiftright("gram", 8).bitwiseAND(0xFFFF)
+    sizes = sorted(tuple(r) for r in grams.groupBy(pair.alias("pair")).agg(F.count("*").alias("n")).collect())  # 65,536 at most
+
+    def fetched(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        got = df.toArrow()
+        keys, n = (got.column(c).to_numpy().astype(np.int64) for c in ("gram", "n"))
+        order = np.argsort(keys)
+        return keys[order], n[order]
+
+    low = fetched(grams.groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("gram")).agg(F.sum("n").alias("n")))  # 65,536 at most
+    out, bounds = [], slice_bounds(sizes, most)
+    for first, after in bounds:
+        pairs = np.arange(1 << 16)
+        mark = None if len(bounds) == 1 else (pairs >= first) & (pairs < after)
+        some = grams if mark is None else grams.where((pair >= first) & (pair < after))
+        out.append(grams.sparkSession.sparkContext.broadcast(build_trie(*fetched(some), low, mark)))
+    return out
+
+
+def _score_all(slices: list[Broadcast], texts: list[bytes]) -> np.ndarray:
+    """Sum of the slices' scores; of several, one is in memory at a time."""
+    score = np.zeros(len(texts))
+    for held in slices:
+        score += held.value.log10_each(texts)
+        if len(slices) > 1:
+            held.__dict__.pop("_value", None)  # read again from the worker's file when it is wanted
+    return score
+
+
+def pretrain(docs: DataFrame, slice_grams: int = SLICE_GRAMS) -> PretrainedModel:
     """Learn the byte trie and the word counts from all of ``docs`` (text; null: empty)."""
     ship(docs.sparkSession)
     partial = docs.select("text").mapInArrow(_count_batches, "gram long, word binary, n long")
     partial = staged(partial, "lm-partial")
     grams = staged(partial.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), "lm-grams")
-    for depth in range(DEPTH, 1, -1):
-        kept = grams.select(F.col("gram").bitwiseAND((1 << (8 * (depth + 1))) - 1).alias("gram"), "n")
-        rows = kept.agg(F.count_distinct(F.shiftright("gram", 8)), F.count_distinct(F.col("gram").bitwiseAND(0xFF))).first()
-        if depth == 2 or rows[0] * (rows[1] + 2) * 4 <= TABLE_BYTES:
-            break
-    got = kept.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    trie = build_trie(got.column("gram").to_numpy().astype(np.int64), got.column("n").to_numpy().astype(np.int64), depth)
+    slices = _slices(grams, slice_grams)
     words = staged(partial.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    discard(partial)
     found = words.agg(F.sum("n"), F.count("*")).first()
     texts = docs.count()
     head = {bytes(r["word"]): r["n"] for r in words.orderBy(F.desc("n"), "word").limit(HEAD).toLocalIterator()}
-    return PretrainedModel(trie, words, head, (found[0] or 0) + texts, (found[1] or 0) + bool(texts))
+    return PretrainedModel(slices, words, head, (found[0] or 0) + texts, (found[1] or 0) + bool(texts))
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, slice_grams: int = SLICE_GRAMS) -> DataFrame:
     """Score every whole text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per input row.
 
     A null text counts as empty: one end token. Repeated rows and null ids are rows like any other;
     other columns are ignored. Without training texts every byte costs the same and no token is known.
     """
     spark = docs.sparkSession
-    model = pretrain(docs.where(in_training(F.col("doc_id"))))
+    model = pretrain(docs.where(in_training(F.col("doc_id"))), slice_grams)
     texts = model.tokens - (model.words.agg(F.sum("n")).first()[0] or 0)
     whole = model.tokens + SMOOTH * (model.types + 1)
-    known = spark.sparkContext.broadcast((model.trie, {w: math.log10((n + SMOOTH) / whole) for w, n in model.head.items()}))
+    common_words = spark.sparkContext.broadcast({w: math.log10((n + SMOOTH) / whole) for w, n in model.head.items()})
+    slices = model.slices
     end = math.log10((texts + SMOOTH) / whole)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, head = known.value
+        head = common_words.value
         for part in parts:
             lowered = [t.lower() if t else b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
             tokens, common, base, rare = [], [], [], []
@@ -275,7 +344,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 common.append(len(found) + (texts > 0))
                 base.append(sum(found) + end)
                 rare.append([w for w in own if w not in head] if len(found) < len(own) else [])
-            columns = [part.column("_row"), part.column("doc_id"), part.column("held_out"), pa.array(tokens, pa.int64()), pa.array(common, pa.int64()), pa.array(base, pa.float64()), pa.array(trie.log10_each(lowered), pa.float64()), pa.array(rare, pa.list_(pa.binary()))]
+            columns = [part.column("_row"), part.column("doc_id"), part.column("held_out"), pa.array(tokens, pa.int64()), pa.array(common, pa.int64()), pa.array(base, pa.float64()), pa.array(_score_all(slices, lowered), pa.float64()), pa.array(rare, pa.list_(pa.binary()))]
             yield pa.RecordBatch.from_arrays(columns, ["_row", "doc_id", "held_out", "n_tokens", "common", "base", "score", "rare"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "text")
