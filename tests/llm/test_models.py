@@ -176,6 +176,48 @@ def test_secrets(spark, odd):
     assert secrets.scan(odd).collect() == [] == secrets.scan(odd.limit(0)).collect()
 
 
+def test_candidates_begin_at_the_value():
+    text = 'API_KEY=ghp_0123456789abcdefghij password: "hunter2!x" see eyJhbGciOiJIUzI1NiJ9x.eyJzdWIiOiIxMjM0In0.abcDEF-123 and path/to/some/module/name.py == done'
+    assert [text[a:b] for a, b in secrets.candidates(text)] == ["ghp_0123456789abcdefghij", "hunter2!x", "eyJhbGciOiJIUzI1NiJ9x.eyJzdWIiOiIxMjM0In0.abcDEF-123", "path/to/some/module/name"]
+
+
+def test_forest_learns_given_findings(spark):
+    """Labelled findings decide: here digests after 'secret' are none, and those after 'harmless' are."""
+    import random
+
+    rng, found = random.Random(1), []
+    for _ in range(400):
+        good = rng.random() < 0.5
+        front, body = ("order harmless ", "".join(rng.choice("0123456789abcdef") for _ in range(40))) if good else ("my secret = ", "-".join(str(rng.randrange(10**6)) for _ in range(4)))
+        found.append((front + body, len(front), len(front) + len(body), None, int(good)))
+    rows = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(found[300:])], "doc_id long, text string")
+    kept = {r.doc_id for r in secrets.scan(rows, forest=secrets.fit_forest(found[:300])).collect()}
+    assert kept == {i for i, f in enumerate(found[300:]) if f[4]}
+
+
+def test_large_ids_beside_null_stay(spark):
+    large = (1 << 60) + 1
+    rows = spark.createDataFrame([(large, 'password = "aB3$xY9!zQ" a@b.co'), (None, "x"), (large + 2, None)], "doc_id long, text string").coalesce(1)
+    ids = {large, None, large + 2}
+    assert {r.doc_id for r in pii.find_personal_data(rows).collect()} == ids
+    assert {r.doc_id for r in quality.score_documents(rows, quality.AdditiveModel().fit(np.zeros((0, len(quality.FEATURES))), np.zeros(0))).collect()} == ids
+    assert {r.doc_id for r in secrets.scan(rows, threshold=0).collect()} == {large}
+    assert {r.doc_id for r in ppm.score_documents(rows).collect()} == ids
+    named = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    assert {r.doc_id for r in pii.find_personal_data(named).collect()} == {str(large), None, str(large + 2)}
+
+
+def test_base_spans_by_pattern_on_documents(spark, sf):
+    """Counts and digests of the base patterns over whole documents."""
+    import hashlib
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in pii.find_personal_data(spark.read.parquet(f"{sf}/documents.parquet")).collect():
+        want = by_pattern(docs[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in want).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, k, _ in want) for i in range(4)]
+
+
 def test_rollup_commits(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b c", "s", "en"), (2, "d e", "s", "en"), (3, None, None, "de"), (4, "x", "t", None)], "doc_id long, text string, source string, lang string")
     count = lambda rows: rollups.counted(rows, "words@1")

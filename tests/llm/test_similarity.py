@@ -198,7 +198,8 @@ def test_nearest_of_odd_rows(spark):
     data = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("query_id", "rank", "score", "node", "tree", "leaf", "bunch")})
     got = ann.nearest(data, data.where("vec_id in (0, 1, 50, 51)")).orderBy("query_id", "rank").collect()
     for q in (0, 1):
-        exact = sorted(((-(1 + (q % 3) * (i % 3) + 0.25), i) for i in range(40) if i != q))[:20]
+        # The row without an id is a candidate, after others of its score.
+        exact = sorted([(-(1 + (q % 3) * (i % 3) + 0.25), i) for i in range(40) if i != q] + [(-(1.5 + q % 3), None)], key=lambda x: (x[0], x[1] is None, x[1]))[:20]
         assert [(r.vec_id, -r.score) for r in got if r.query_id == q] == [(i, pytest.approx(s)) for s, i in exact]
     assert {r.query_id for r in got} == {0, 1}
     assert ann.nearest(data.limit(0), data.limit(0)).collect() == []

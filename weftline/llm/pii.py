@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from weftline.llm.common import ship
@@ -313,17 +313,18 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     field = trained_field()
 
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             rows = []
-            for text in part["text"]:
+            for text in part.column("text").to_pylist():
                 base, added = all_spans(text, field) if text else ([], [])
                 kinds = [k for _, k, _ in base]
                 rows.append((*(kinds.count(k) for k in range(len(KINDS))), hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + added)), len(added)))
-            out = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
-            out.insert(0, "doc_id", part["doc_id"].to_numpy())
-            yield out
+            made = list(zip(*rows, strict=True)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(made, types.values(), strict=True))], ["doc_id", *types])
 
+    # Arrow passes doc_id on as it is: through pandas a long beside a null would become a double.
+    types = dict.fromkeys((f"n_{k}" for k in KINDS), pa.int64()) | {"base_sha256": pa.string(), "spans": pa.string(), "n_added": pa.int64()}
     counts = ", ".join(f"n_{k} long" for k in KINDS)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(batches, f"doc_id {kind}, {counts}, base_sha256 string, spans string, n_added long")
+    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, {counts}, base_sha256 string, spans string, n_added long")

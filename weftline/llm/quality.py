@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,7 +60,7 @@ def text_features(text: str) -> list[float]:
     ]
 
 
-def feature_matrix(texts: pd.Series) -> np.ndarray:
+def feature_matrix(texts: list[str | None]) -> np.ndarray:
     return np.array([text_features(t) if t else [0.0] * len(FEATURES) for t in texts], dtype=np.float64).reshape(-1, len(FEATURES))
 
 
@@ -163,32 +162,38 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> AdditiveModel:
-    """Learn from labelled rows outside the held-out fold. Rows with a null id, text or label don't teach; an id labelled both ways doesn't either."""
+    """Learn from labelled rows outside the held-out fold. Rows with a null id, text or label don't teach; an id labelled both ways doesn't either; of an id's several texts one teaches."""
     ship(docs.sparkSession)
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).where("quality = _most").drop("_most")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(known), "doc_id")
 
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            yield pd.DataFrame({"doc_id": part["doc_id"], "quality": part["quality"], "x": list(feature_matrix(part["text"]))})
+            x = pa.array(list(feature_matrix(part.column("text").to_pylist())), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality").cast(pa.int64()), x], ["doc_id", "quality", "x"])
 
-    got = rows.mapInPandas(batches, "doc_id long, quality int, x array<double>").toPandas().sort_values(["doc_id"], kind="stable")
-    x = np.array(got["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
-    return AdditiveModel().fit(x, got["quality"].to_numpy(dtype=np.float64))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = rows.mapInArrow(batches, f"doc_id {kind}, quality long, x array<double>")
+    # One row for each labelled id, so the bound holds however often an id is repeated.
+    got = made.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("row")).orderBy(F.xxhash64("doc_id"), "doc_id").select("row.x", "row.quality").collect()
+    x = np.array([r["x"] for r in got], dtype=np.float64).reshape(-1, len(FEATURES))
+    return AdditiveModel().fit(x, np.array([r["quality"] for r in got], dtype=np.float64))
 
 
 def score_documents(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted; one row per input row. A null text scores as an empty one; other columns are ignored."""
     ship(docs.sparkSession)
 
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            score = model.score(feature_matrix(part["text"]))
-            yield pd.DataFrame({"doc_id": part["doc_id"], "held_out": part["held_out"], "score": score, "predicted": (score >= threshold).astype(np.int32)})
+            score = model.score(feature_matrix(part.column("text").to_pylist()))
+            made = [pa.array(score, pa.float64()), pa.array(score >= threshold).cast(pa.int32())]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *made], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(batches, "doc_id long, held_out boolean, score double, predicted int")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(batches, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -198,7 +203,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            good = model.score(feature_matrix(part.column("text").to_pandas())) >= threshold
+            good = model.score(feature_matrix(part.column("text").to_pylist())) >= threshold
             yield part.filter(pa.array(good))
 
     return docs.mapInArrow(batches, docs.schema)

@@ -39,10 +39,11 @@ def _maintained(spark: SparkSession, sf_dir: str, *tokenizers: str) -> DataFrame
     rollup = rollups.TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
     for tokenizer in (*tokenizers, tokenizers[0]):
         rollup.commit(f"load-{tokenizer.partition('@')[0]}", inserts=rollups.counted(docs, tokenizer))
-    # Counts are joined, not texts.
-    poor = rollups.counted(docs, tokenizers[0]).join(labels.where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    # What is counted now moves to its new source; no text is counted again.
+    poor = rollup.current().join(labels.where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi").drop("copies")
     rollup.commit("revise-poor", revisions=poor.withColumn("source", F.lit("poor")))
-    rollup.commit("delete-toxic", deletes=labels.where("toxic = 1").select("doc_id", F.lit(tokenizers[0]).alias("tokenizer")))
+    gone = labels.where("toxic = 1").select("doc_id", F.explode(F.array(*map(F.lit, tokenizers))).alias("tokenizer"))
+    rollup.commit("delete-toxic", deletes=gone)
     return rollup.totals()
 
 

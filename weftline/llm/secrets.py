@@ -1,9 +1,11 @@
 """Secret scan: candidate tokens by pattern, false positives removed by a random forest.
 
-A candidate is a run of 16 or more token characters that holds a digit. The forest looks at its
-length, changes between character classes, dictionary coverage, the path's kind and the words beside it.
-It is trained here from generated labelled findings: keys in several formats as secrets; digests,
-identifiers, ids, long words and placeholders as false positives.
+A candidate is a run of 16 or more token characters, dotted parts included, or whatever of 8 or more is
+assigned to a word that announces a secret. Candidates begin after an equals sign or a colon, so a name
+before them is no part of them. The forest looks at a candidate's length, changes between character
+classes, dictionary coverage, the path's kind and the words beside it. It is trained from labelled
+findings: by default generated ones (keys in several formats and passwords as secrets; digests,
+identifiers, ids, long words, paths and placeholders as false positives), or those given to ``fit_forest``.
 """
 
 from __future__ import annotations
@@ -15,18 +17,18 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import ship
 
-LEAST = 16
 TREES, DEPTH, LEAF, TRIED = 40, 9, 4, 5
 THRESHOLD = 0.5
 TRAIN_FINDINGS = 4000
 
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{16,}")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{16,}(?:\.[A-Za-z0-9+/_-]{6,})*={0,2}")
+_ASSIGNED = re.compile(r"(?:secret|token|password|passwd|pwd|api[_-]?key|(?:access|private|secret|auth)[_-]key|credentials?)[\"']?\s{0,3}[:=]{1,2}\s{0,3}[\"']?([^\s\"'<>,;(){}]{8,})", re.I)
 _BEFORE = re.compile(r"([A-Za-z][A-Za-z_-]*)?(\W{0,6})$")
 _AFTER = re.compile(r"\W{0,3}([A-Za-z]+)?")
 
@@ -59,6 +61,18 @@ def path_kind(path: str | None) -> int:
     return 0 if not path else 1 if _TEST_PATH.search(path) else 2
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Start and end of each candidate, by start; assigned values first, and runs that meet none of them."""
+    out = [m.span(1) for m in _ASSIGNED.finditer(text)]
+    at = 0
+    for start, end in [m.span() for m in _RUN.finditer(text)]:
+        while at < len(out) and out[at][1] <= start:
+            at += 1
+        if at == len(out) or out[at][0] >= end:
+            out.insert(at, (start, end))
+    return out
+
+
 def finding_features(text: str, start: int, end: int, path: str | None = None) -> list[float]:
     s = text[start:end]
     n = len(s)
@@ -135,35 +149,44 @@ def generated_findings(count: int = TRAIN_FINDINGS, seed: int = 17) -> list[tupl
     secrets = (
         lambda: some(hexa, rng.choice((32, 40, 64))), lambda: some(lower + upper + digit + "+/", 40), lambda: "AKIA" + some(upper + digit, 16), lambda: "ghp_" + some(lower + upper + digit, 36),
         lambda: "sk_live_" + some(lower + upper + digit, 24), lambda: some(lower + upper + digit, rng.randint(20, 48)), lambda: "xoxb-" + some(digit, 12) + "-" + some(lower + upper + digit, 24),
+        lambda: some(lower + upper + digit + "!@#$%^&*.?", rng.randint(8, 15)), lambda: some(lower + upper, rng.randint(20, 40)), lambda: ".".join(["eyJ" + some(lower + upper + digit, 20), some(lower + upper + digit, 30), some(lower + upper + digit + "_-", 30)]),
     )
+    syllables = [w for w in DICTIONARY if len(w) < 5]
     benign = (
         lambda: some(hexa, rng.choice((32, 40, 64))), lambda: "-".join(some(hexa, n) for n in (8, 4, 4, 4, 12)), lambda: some(digit, rng.randint(16, 20)), lambda: "_".join(rng.choice(DICTIONARY) for _ in range(4)) + some(digit, 1),
         lambda: "/".join(rng.choice(DICTIONARY) for _ in range(5)) + some(digit, 2), lambda: some("x0", 1) * rng.randint(16, 40) + "0", lambda: "".join(rng.choice(DICTIONARY).title() for _ in range(4)) + some(digit, 2),
         lambda: f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}-" + "-".join(rng.choice(DICTIONARY) for _ in range(3)), lambda: "".join(rng.choice(DICTIONARY) for _ in range(6)) + some(digit, 1),
+        lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(4, 8))), lambda: "".join(some("bcdfghlmnprst", 1) + some("aeiou", 1) + some("nrstl", rng.randint(0, 1)) for _ in range(rng.randint(7, 11))).capitalize(),
+        lambda: ".".join("".join(rng.choice(DICTIONARY) for _ in range(3)) for _ in range(3)), lambda: rng.choice(("changeme", "your_password", "placeholder", "undefined", "required", "xxxxxxxx", "example123", "os.environ", "settings.token", "self.password")),
     )
     out = []
     for _ in range(count):
         good = rng.random() < 0.5
         shape = rng.randrange(len(secrets if good else benign))
+        needs = good and shape in (0, 1, 5, 7, 8)  # bare hex, letters, base64 and passwords are secrets only where a word says so
         body = (secrets if good else benign)[shape]()
         if good:  # a format of its own needs no word before it; bare hex and base64 do
-            word = rng.choice(sorted(SECRET_WORDS)) if shape in (0, 1, 5) or rng.random() < 0.6 else rng.choice(DICTIONARY)
+            word = rng.choice(sorted(SECRET_WORDS)) if needs or rng.random() < 0.6 else rng.choice(DICTIONARY)
         else:
             word = rng.choice(sorted(BENIGN_WORDS)) if shape in (0, 1) or rng.random() < 0.5 else rng.choice([*DICTIONARY, "token", "key"])
-        mark = rng.choice((' = "', "=", ": ", ":", ' "', " ") if not good or shape not in (0, 1, 5) else (' = "', "=", ": ", ' = "', ":", " = "))
+        mark = rng.choice((' = "', "=", ": ", ":", ' "', " ") if not needs else (' = "', "=", ": ", ' = "', ":", " = "))
         front = f"{rng.choice(DICTIONARY)} {word}{mark}"
         paths = (None, None, "src/config.py", "deploy/.env", "app/settings.yml") if good else (None, None, "tests/data.py", "docs/readme.md", "src/lib.py", "package.lock")
         out.append((f'{front}{body}{rng.choice((chr(34), " ", ""))} {rng.choice(DICTIONARY)}', len(front), len(front) + len(body), rng.choice(paths), int(good)))
     return out
 
 
+def fit_forest(findings: list[tuple[str, int, int, str | None, int]]) -> RandomForest:
+    """A forest from labelled findings: text, start, end, path, whether it is a secret."""
+    return RandomForest().fit(np.array([finding_features(t, s, e, p) for t, s, e, p, _ in findings], dtype=np.float64), np.array([y for *_, y in findings], dtype=np.float64))
+
+
 @lru_cache(maxsize=1)
 def trained_forest() -> RandomForest:
-    found = generated_findings()
-    return RandomForest().fit(np.array([finding_features(t, s, e, p) for t, s, e, p, _ in found], dtype=np.float64), np.array([y for *_, y in found], dtype=np.float64))
+    return fit_forest(generated_findings())
 
 
-def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, threshold: float = THRESHOLD, forest: RandomForest | None = None) -> DataFrame:
     """Secrets in every whole text of ``docs`` (doc_id, text, and path where there is one): one row per finding that stays.
 
     Returns doc_id, start, end (code points, end exclusive), length, digest (SHA-256 of the finding, which
@@ -171,22 +194,20 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     null ids are ids like any other; other columns are ignored; an empty table gives an empty result.
     """
     ship(docs.sparkSession)
-    forest = trained_forest()
+    forest = forest or trained_forest()
 
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             rows, x = [], []
-            for doc_id, text, path in zip(part["doc_id"], part["text"], part["path"], strict=True):
-                for m in _CANDIDATE.finditer(text) if text else ():
-                    s = m.group()
-                    if any(c in "0123456789" for c in s):
-                        rows.append((doc_id, m.start(), m.end(), len(s), hashlib.sha256(s.encode()).hexdigest()))
-                        x.append(finding_features(text, m.start(), m.end(), path))
+            for i, (text, path) in enumerate(zip(part.column("text").to_pylist(), part.column("path").to_pylist(), strict=True)):
+                for start, end in candidates(text) if text else ():
+                    rows.append((i, start, end, end - start, hashlib.sha256(text[start:end].encode("utf-8", "replace")).hexdigest()))
+                    x.append(finding_features(text, start, end, path))
             score = forest.score(np.array(x, dtype=np.float64).reshape(-1, len(FEATURES)))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "end", "length", "digest"])
-            out["score"] = score
-            yield out[out["score"] >= threshold]
+            at, *made = zip(*rows, strict=True) if rows else [()] * 5
+            columns = [part.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in made[:3]), pa.array(made[3], pa.string()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "end", "length", "digest", "score"]).filter(pa.array(score >= threshold))
 
     path = "path" if "path" in docs.columns else F.lit(None).cast("string").alias("path")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", path).mapInPandas(batches, f"doc_id {kind}, start long, end long, length long, digest string, score double")
+    return docs.select("doc_id", "text", path).mapInArrow(batches, f"doc_id {kind}, start long, end long, length long, digest string, score double")
