@@ -2,8 +2,10 @@
 
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from weftline.llm import decontaminate, mixing, quality, sharding
+from weftline.llm import decontaminate, mixing, quality
 from weftline.llm.common import table
 
 
@@ -25,7 +27,7 @@ def test_stages(spark, sf):
     for r in shards:
         got[r.doc_id] += 1
     assert set(got) <= clean and max(got.values()) <= 3
-    assert all(r.size == len(rows[r.doc_id].text.encode()) + sharding.ROW_OVERHEAD for r in shards)
+    assert all(tuple(r)[:-1] == tuple(rows[r.doc_id]) and 0 <= r.shard < 24 for r in shards)
     left = docs.where(docs.doc_id.isin(sorted(clean)))
     want = {r.doc_id: r.taken / r.size for r in mixing.taken_words(*mixing.mix(left)).collect()}
     assert all(got[d] in (int(want[d]), int(want[d]) + 1) for d in clean)
@@ -33,3 +35,30 @@ def test_stages(spark, sf):
     for r in shards:
         where[r.doc_id].add(r.shard)
     assert all(len(s) == 1 for s in where.values())
+
+
+ODD = [
+    (1, "one two three four five", "en", "a"), (1, "one two three four five", "en", "a"), (2, None, None, None), (None, "x y z", "en", "a"), (None, "x y z", "en", "a"), (3, "", "en", "b"), (4, "  \n ", "en", "b"), (5, "word " * 30_000, "en", "b"), ((1 << 60) + 1, "a large id beside a null one", "de", None),
+]
+
+
+def tables(spark, path, docs, labels, items):
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_odd_rows(spark, tmp_path):
+    """Without labels nothing is rejected: each different text that isn't a benchmark item stays, in one shard."""
+    sf = tables(spark, tmp_path, ODD, [], [(1, "x y z"), (None, None)])
+    rows = corpus_pipeline.run(spark, sf).collect()
+    left = {(r.doc_id, r.text) for r in rows}
+    # Rows without words come once; equal rows are one document; ids above 2**53 stay; texts without words are classes of their own.
+    assert left <= {(1, ODD[0][1]), (2, None), (4, "  \n "), (5, ODD[7][1]), ((1 << 60) + 1, ODD[8][1])}
+    assert {(2, None), (4, "  \n ")} <= left and (None, "x y z") not in left
+    assert rows[0].__fields__ == ["doc_id", "text", "lang", "source", "n_chars", "shard"]
+
+
+def test_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, tables(spark, tmp_path, [], [], [])).collect() == []
