@@ -31,8 +31,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deal what is left into shards."""
-    return sharding.shard_documents(docs)
+    """Deal what is left into shards: all columns, and the shard; copies of a text share it."""
+    return sharding.sharded(docs)
 
 
 STAGES = [
