@@ -134,6 +134,25 @@ class ByteTrie:
     left: list[np.ndarray]
     alike: float
     pairs: np.ndarray | None = None
+    quick: np.ndarray | None = None
+
+    def prepare(self, counts: np.ndarray) -> ByteTrie:
+        """Fill ``quick``: places of the longest grams by a hash; of those that fall together the commonest, others are searched."""
+        bits = max(8, int(2 * len(self.grams[DEPTH])).bit_length())
+        order = np.argsort(counts, kind="stable")
+        self.quick = np.zeros(1 << bits, np.int32)
+        self.quick[_bucket(self.grams[DEPTH][order], bits)] = order
+        return self
+
+    def longest(self, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys = self.grams[DEPTH]
+        if self.quick is None or not len(keys):
+            return _found(keys, packed)
+        at = self.quick[_bucket(packed, len(self.quick).bit_length() - 1)].astype(np.int64)
+        hit = keys[at] == packed
+        slow = np.flatnonzero(~hit)
+        at[slow], hit[slow] = _found(keys, packed[slow])
+        return at, hit
 
     def log10_each(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each text and its end, of those positions whose two bytes before are this slice's."""
@@ -160,7 +179,7 @@ class ByteTrie:
             if not len(todo) or not len(self.contexts[k]):
                 continue
             own = packed[todo] & ((1 << (8 * (k + 1))) - 1)
-            at, hit = _found(self.grams[k], own)
+            at, hit = self.longest(own) if k == DEPTH else _found(self.grams[k], own)
             entered = hit & (above >= 0)
             if entered.any():  # the chain's escapes down to here, and no further
                 out[todo[entered]] = chain[entered] - self.left[k + 1][above[entered]] - self.rest[k + 1][above[entered]] + self.seen[k][at[entered]]
@@ -175,6 +194,10 @@ class ByteTrie:
         return out
 
 
+def _bucket(packed: np.ndarray, bits: int) -> np.ndarray:
+    return ((packed.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place of each wanted key among sorted ``keys``, and whether it is there."""
     at = np.searchsorted(keys, wanted)
@@ -217,7 +240,7 @@ def build_trie(grams: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.
         d = kinds[k - 1][suffix] - kinds[k]
         trie.rest.append(np.log10(np.maximum(totals[k - 1][suffix] - gone + d, 1)))
         trie.left.append(np.where(d > 0, np.log10(np.maximum(d, 1)) - trie.rest[k], 0.0) + trie.left[k - 1][suffix])
-    return trie
+    return trie.prepare(levels[DEPTH][1])
 
 
 class AdaptivePPM:
