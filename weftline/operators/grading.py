@@ -209,8 +209,9 @@ def pattern_digest(rows: DataFrame, key: Column, value: Column, most: int = 5) -
 def stratified(rows: DataFrame, level: str, shuffled: Column, n: int | None = None) -> DataFrame:
     """Rows taken from the levels in turn, in a hashed order in each; ``turn`` counts the rounds."""
     w = Window.partitionBy(level).orderBy(shuffled)
-    out = rows.withColumn("turn", F.row_number().over(w)).orderBy("turn", level)
-    return out if n is None else out.limit(n)
+    out = rows.withColumn("turn", F.row_number().over(w))
+    # No level gives more than n of the first n, so each task keeps n of a level before they meet.
+    return out.orderBy("turn", level) if n is None else out.where(F.col("turn") <= n).orderBy("turn", level).limit(n)
 
 
 def route_feedback(items: DataFrame, kinds: Sequence[str]) -> tuple[DataFrame, DataFrame]:

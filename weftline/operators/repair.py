@@ -1,8 +1,9 @@
 """Repair and cheapening of itineraries (inventory J2-J4, J6): greedy steps per plan over candidates that Spark has ranked.
 
 Choices are made without replacement and in order, which no join expresses; so each plan meets its own
-candidates in one Python group. A group holds one plan's days and at most POOL candidates of each kind
-and city, whatever the tables' sizes.
+candidates in one Python group. A group holds one plan's days and the POOL cheapest candidates of each kind,
+city, list of cuisines and least number of nights, whatever the tables' sizes: more than a plan has cells
+to fill, so no choice is lost.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def offers(plans: DataFrame, queries: DataFrame, atlas: Atlas) -> DataFrame:
     none = F.lit(None).cast("string")
 
     def top(rows: DataFrame) -> DataFrame:
-        w = Window.partitionBy("query_id", "kind", "city").orderBy(F.col("cost").asc_nulls_last(), "cell")
+        w = Window.partitionBy("query_id", "kind", "city", "extra", "nights").orderBy(F.col("cost").asc_nulls_last(), "cell")
         return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= POOL).drop("_rn")
 
     row = lambda df, kind, cell_, cost, extra=none, nights=F.lit(0.0): df.select("query_id", F.lit(kind).alias("kind"), "city", cell_.alias("cell"), cost.cast("double").alias("cost"), extra.alias("extra"), nights.alias("nights"))

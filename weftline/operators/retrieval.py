@@ -57,9 +57,14 @@ def find_entities(entities: DataFrame, text: str, etype: str = "", limit: int =
 
 def paged(rows: DataFrame, order: Sequence[Column | str], page: int, size: int, by: Sequence[str] = ()) -> DataFrame:
     """Rows of one page with ``n`` (place) and ``total``; ``by`` pages each group by itself."""
-    total = F.count("*").over(Window.partitionBy(*by))
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return rows.withColumn("total", total).withColumn("n", n).where(F.col("n").between((page - 1) * size + 1, page * size))
+    last = page * size
+    if by:
+        total = F.count("*").over(Window.partitionBy(*by))
+        n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        return rows.withColumn("total", total).withColumn("n", n).where(F.col("n").between(last - size + 1, last))
+    # Without groups a top-k keeps the pages so far, and the count is one row: no window spans the table.
+    top = rows.orderBy(*order).limit(last).withColumn("n", F.row_number().over(Window.orderBy(*order)))
+    return top.where(F.col("n") > last - size).crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))
 
 
 def subject_matches(subject: Column, asked: str) -> Column:
@@ -70,8 +75,11 @@ def subject_matches(subject: Column, asked: str) -> Column:
 
 def least_tier(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Only the rows of the least tier."""
-    w = Window.partitionBy(*by)
-    return rows.withColumn("_least", F.min("tier").over(w)).where("tier = _least").drop("_least")
+    if by:
+        w = Window.partitionBy(*by)
+        return rows.withColumn("_least", F.min("tier").over(w)).where("tier = _least").drop("_least")
+    least = rows.agg(F.min("tier").alias("_least"))  # one row, broadcast
+    return rows.join(F.broadcast(least), F.col("tier") == F.col("_least")).drop("_least")
 
 
 def facts_by_subject(facts: DataFrame, subject: str, keywords: Sequence[str] = (), synonyms: Mapping[str, Sequence[str]] | None = None, ftype: str = "", low: str | None = None, high: str | None = None, scores: DataFrame | None = None, page: int = 1, size: int = 20) -> DataFrame:

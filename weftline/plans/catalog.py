@@ -96,9 +96,9 @@ def filter_numeric_each_op(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_quantity")
     out = None
     for op in ("<", "<=", ">", ">=", "=="):
-        n = core.filter_numeric(rows, "l_quantity", op, 25).select(F.lit(op).alias("op"))
+        n = core.filter_numeric(rows, "l_quantity", op, 25).agg(F.lit(op).alias("op"), F.count("*").alias("n"))
         out = n if out is None else out.union(n)
-    return out.groupBy("op").agg(F.count("*").alias("n"))
+    return out.where("n > 0")
 
 
 @query(r"""
@@ -433,8 +433,7 @@ def relaxation_tiers(spark, sf):
     red = text.has_text(F.col("p_name"), "red")
     tier = F.when(F.col("p_brand") == "Brand#99", 1).when(red & (F.col("p_size") > 40), 2).when(red, 3)
     rows = table(spark, sf, "part").select("p_partkey", tier.cast("long").alias("tier")).where("tier is not null")
-    least = rows.agg(F.min("tier").alias("tier"))  # one row; the join is broadcast and no window spans the table
-    return rows.join(F.broadcast(least), "tier").select("p_partkey", "tier")
+    return retrieval.least_tier(rows).select("p_partkey", "tier")
 
 
 # --- G: dates and text -------------------------------------------------------------------------------
@@ -461,16 +460,10 @@ SELECT conv_id, turn, round(CASE WHEN greatest(length(x) - 1, 0) + greatest(leng
   ELSE 2.0 * coalesce(n, 0) / (greatest(length(x) - 1, 0) + greatest(length(y) - 1, 0)) END, 6) AS f1 FROM p LEFT JOIN o USING (conv_id, turn)
 """)
 def char_bigram_f1(spark, sf):
-    """Each turn against the one before it, by counting grams, so long turns cost no more than their length."""
+    """Each turn against the one before it, row by row."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     pairs = table(spark, sf, "conversations").select("conv_id", "turn", text.folded(F.col("text")).alias("x"), text.folded(F.lag("text").over(w)).alias("y")).where("y is not null")
-    key = ["conv_id", "turn"]
-    grams = lambda c, n: pairs.select(*key, F.explode(text.char_grams(F.col(c), 2)).alias("g")).groupBy(*key, "g").agg(F.count("*").alias(n))
-    shared = grams("x", "a").join(grams("y", "b"), [*key, "g"]).groupBy(*key).agg(F.sum(F.least("a", "b")).alias("n"))
-    size = lambda c: F.greatest(F.char_length(c) - 1, F.lit(0))
-    both = size("x") + size("y")
-    f1 = F.when(both == 0, 1.0).otherwise(2.0 * F.coalesce("n", F.lit(0)) / F.greatest(both, F.lit(1)))
-    return pairs.join(shared, key, "left").select(*key, F.round(f1, 6).alias("f1"))
+    return pairs.select("conv_id", "turn", F.round(text.char_bigram_f1(F.col("x"), F.col("y")), 6).alias("f1"))
 
 
 # --- H: grading ----------------------------------------------------------------------------------------
