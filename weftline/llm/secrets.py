@@ -156,7 +156,7 @@ def generated_findings(count: int = TRAIN_FINDINGS, seed: int = 17) -> list[tupl
         lambda: some(hexa, rng.choice((32, 40, 64))), lambda: "-".join(some(hexa, n) for n in (8, 4, 4, 4, 12)), lambda: some(digit, rng.randint(16, 20)), lambda: "_".join(rng.choice(DICTIONARY) for _ in range(4)) + some(digit, 1),
         lambda: "/".join(rng.choice(DICTIONARY) for _ in range(5)) + some(digit, 2), lambda: some("x0", 1) * rng.randint(16, 40) + "0", lambda: "".join(rng.choice(DICTIONARY).title() for _ in range(4)) + some(digit, 2),
         lambda: f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}-" + "-".join(rng.choice(DICTIONARY) for _ in range(3)), lambda: "".join(rng.choice(DICTIONARY) for _ in range(6)) + some(digit, 1),
-        lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(4, 8))), lambda: "".join(some("bcdfghlmnprst", 1) + some("aeiou", 1) + some("nrstl", rng.randint(0, 1)) for _ in range(rng.randint(7, 11))).capitalize(),
+        lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(4, 8))), lambda: "".join(some("bcdfghlmnprst", 1) + some("aeiou", 1) + some("nrstl", rng.randint(0, 1)) for _ in range(rng.randint(7, 11))).capitalize(), lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(4, 8))).upper(),
         lambda: ".".join("".join(rng.choice(DICTIONARY) for _ in range(3)) for _ in range(3)), lambda: rng.choice(("changeme", "your_password", "placeholder", "undefined", "required", "xxxxxxxx", "example123", "os.environ", "settings.token", "self.password")),
     )
     out = []
