@@ -137,6 +137,19 @@ def run_diff(a: DataFrame, b: DataFrame, key: str, passed: str) -> DataFrame:
     return both.select(key, change.alias("change")).where("change is not null")
 
 
+def bigram_f1(pairs: DataFrame, key: Sequence[str], a: str, b: str) -> DataFrame:
+    """G11 over folded texts of rows told apart by ``key``: key, f1. Grams are counted by groups, so a long text costs its length and no more."""
+    from weftline.functions.text import char_grams
+
+    both = pairs.select(*key, F.explode(F.array(F.struct(F.lit(1).alias("side"), char_grams(F.col(a), 2).alias("grams")), F.struct(F.lit(0).alias("side"), char_grams(F.col(b), 2).alias("grams")))).alias("s"))
+    grams = both.select(*key, "s.side", F.explode("s.grams").alias("g")).groupBy(*key, "g").agg(F.sum("side").alias("x"), F.count("*").alias("n"))
+    shared = grams.groupBy(*key).agg(F.sum(F.least(F.col("x"), F.col("n") - F.col("x"))).alias("shared"))
+    size = lambda c: F.greatest(F.char_length(c) - 1, F.lit(0))
+    total = size(a) + size(b)
+    f1 = F.when(total == 0, 1.0).otherwise(2.0 * F.coalesce("shared", F.lit(0)) / F.greatest(total, F.lit(1)))
+    return pairs.join(shared, list(key), "left").select(*key, f1.alias("f1"))
+
+
 def sample_disputes(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """N rows in a seeded pseudorandom order."""
     return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)

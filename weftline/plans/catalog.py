@@ -460,10 +460,10 @@ SELECT conv_id, turn, round(CASE WHEN greatest(length(x) - 1, 0) + greatest(leng
   ELSE 2.0 * coalesce(n, 0) / (greatest(length(x) - 1, 0) + greatest(length(y) - 1, 0)) END, 6) AS f1 FROM p LEFT JOIN o USING (conv_id, turn)
 """)
 def char_bigram_f1(spark, sf):
-    """Each turn against the one before it, row by row."""
+    """Each turn against the one before it."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     pairs = table(spark, sf, "conversations").select("conv_id", "turn", text.folded(F.col("text")).alias("x"), text.folded(F.lag("text").over(w)).alias("y")).where("y is not null")
-    return pairs.select("conv_id", "turn", F.round(text.char_bigram_f1(F.col("x"), F.col("y")), 6).alias("f1"))
+    return grading.bigram_f1(pairs, ["conv_id", "turn"], "x", "y").select("conv_id", "turn", F.round("f1", 6).alias("f1"))
 
 
 # --- H: grading ----------------------------------------------------------------------------------------
