@@ -120,9 +120,6 @@ def test_facts(spark):
     assert sorted(r.ord for r in facts.fact_dedup(rows, "s", "t", ["ord"]).collect()) == [1, 3]
     key = spark.createDataFrame([({"Name": "Parrot's", "City": "Miami"},), ({"Name": "Italiize"},), ({"n": "99"},)], "k map<string,string>")
     assert [r.g for r in key.select(facts.grounded(F.col("k"), F.lit("Parrot's,Miami,Chinese")).alias("g")).collect()] == [True, False, True]
-    raw = spark.createDataFrame([("c", 'x {"e": [{"t": "Dish", "k": {"name": "Pho", "z": "1"}}, {"t": "No", "k": {"name": "q"}}, {"t": "Place", "k": {"name": "A"}}], "r": [{"r": "served", "h": 0, "t": 2}, {"r": "served", "h": 0, "t": 1}]}')], "chunk_id string, text string")
-    e, r, bad = facts.parse_extraction(raw, "text", ["Dish", "Place"], ["served"], {"Dish": ["name"], "Place": ["name"]})
-    assert e.count() == 2 and r.count() == 1 and bad.first().entities == 1 and e.first().key == {"name": "Pho"}
 
 
 def test_retrieval_tiers(spark):

@@ -104,3 +104,28 @@ def test_repair_and_downgrade(spark, atlas):
     cheaper = repair.budget_downgrade(plans, queries, atlas, costs).cache()
     after = {r.query_id: r.total for r in itinerary.plan_costs(cheaper, queries, atlas).collect()}
     assert after[0] == dear[0] and after[1] <= dear[1]
+
+
+def test_repair_requests_and_records(spark, atlas):
+    from weftline.operators import repair
+
+    plans, queries = batch(spark, [(GOOD, {"constraint": {"room type": "private room"}}), (GOOD, {}), ([], {})])
+    issues = spark.createDataFrame([(0, "meal.repeat", 1, "lunch", True), (1, "cost.unknown", None, None, False)], "query_id int, code string, day int, field string, blocking boolean")
+    asked = repair.repair_requests(plans, queries, issues).collect()
+    assert [r.query_id for r in asked] == [0] and '"room_type":{"required":"Private room"}' in asked[0].constraints and '"cuisine"' not in asked[0].constraints and "Space Center" in asked[0].plan and "meal.repeat" in asked[0].issues
+    assert {r.query_idx: [d.days for d in r.plan] for r in repair.plan_records(queries, plans).collect()} == {0: [1, 2, 3], 1: [1, 2, 3], 2: []}
+
+
+def test_finalised_and_model_repaired(spark, atlas):
+    """A model's sound plan replaces a faulty one, an unreadable answer nothing; the greedy steps mend it, too."""
+    from weftline.operators import repair
+
+    bad = changed(1, breakfast="Nowhere, Houston", attraction="Space Center, Houston;")
+    plans, queries = batch(spark, [(bad, {}), (GOOD, {})])
+    good = repair.plan_records(queries, plans).where("query_idx = 1").select(F.to_json("plan")).first()[0]
+    answers = spark.createDataFrame([(0, f"Fixed: {good}"), (1, "no plan")], "query_id int, answer string")
+    day = lambda p: {r.query_id: (r.breakfast, r.attraction) for r in p.where("day = 1").collect()}
+    mended = repair.model_repair(plans, queries, atlas, answers)
+    assert mended.count() == 6 and day(mended) == dict.fromkeys((0, 1), (GOOD[1][4], GOOD[1][5]))
+    final = day(repair.finalize_plans(plans, queries, atlas))
+    assert final[1] == (GOOD[1][4], GOOD[1][5]) and "Nowhere" not in final[0][0]

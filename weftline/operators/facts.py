@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.dates import weekday_sign
 from weftline.functions.text import SPACE, folded, has_text, numbers_grounded, stripped
+from weftline.schema import Schema
 
 #: The source-token and date forms, and the granularities.
 SOURCE_FORM = r"D\d+:\d+"
@@ -16,29 +18,82 @@ DATE_FORM = r"^\d{4}(-\d{2}(-\d{2})?)?(~\d{4}-\d{2}-\d{2})?$"
 GRANULARITIES = ("日", "周", "月", "年", "无")
 OTHER = "其他"
 
-ENTITY_TYPE = "struct<e:array<struct<t:string,k:map<string,string>,p:map<string,string>>>,r:array<struct<r:string,h:int,t:int>>>"
-
-
-def parse_extraction(raw: DataFrame, text: str, etypes: Sequence[str], relations: Sequence[str], keys: dict[str, Sequence[str]]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Model output in compact JSON to (entities, relations, invalid counts).
-
-    Entities: chunk_id, pos, etype, key, props; relations: chunk_id, relation, head, tail (positions).
-    Unknown types and relations, and entities without a key field, are invalid. ``raw`` has chunk_id and ``text``.
+#: The two forms of an extraction: rows of lists, or objects by name.
+FORMS = "e array<string>, r array<string>, entities array<string>, relations array<string>"
+MAP = "map<string,string>"
+
+
+def _own_keys(schema: Schema, part: str) -> Column:
+    """A map from each entity type to its key fields, or to its attributes by every name they go by."""
+    pairs = []
+    for e in schema.entities:
+        if part == "key":
+            inner = F.array(*map(F.lit, e.primary_key))
+        else:
+            names = {n: n for n in e.names} | {k: v for k, v in e.aliases.items() if k not in e.names}
+            inner = F.create_map(*(F.lit(x) for kv in names.items() for x in kv)) if names else F.create_map().cast(MAP)
+        pairs += [F.lit(e.name), inner]
+    return F.create_map(*pairs)
+
+
+def parse_extraction(raw: DataFrame, text: str, schema: Schema) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Model output in JSON, with or without a fence and words around it, to (entities, relations, counts).
+
+    Compact form: ``e`` lists [type, key, attributes] and ``r`` [relation, i, j], places among the sound
+    entities. Verbose form: ``entities`` (etype, key, properties) and ``relations`` (relation, head and tail
+    as [type, key]). Entities: chunk_id, pos, etype, key (key fields only), props (by canonical name).
+    Relations: chunk_id, relation, head, tail (places; null where a verbose end is no extracted entity),
+    head_type, head_key, tail_type, tail_key. Counts: chunk_id, invalid (unknown types and relations, no key
+    field, places out of range, broken items), failed (no JSON object). ``raw`` has chunk_id and ``text``.
     """
-    body = F.regexp_extract(F.coalesce(F.col(text), F.lit("")), r"(?s)(\{.*\})", 1)
-    parsed = raw.select("chunk_id", F.from_json(body, ENTITY_TYPE, {"mode": "PERMISSIVE"}).alias("x"))
-    ents = parsed.select("chunk_id", F.posexplode("x.e").alias("pos", "e"))
-    allowed = F.create_map(*(c for t in etypes for c in (F.lit(t), F.array(*map(F.lit, keys[t])))))
-    key = F.map_filter("e.k", lambda k, v: F.array_contains(F.coalesce(F.try_element_at(allowed, F.col("e.t")), F.array().cast("array<string>")), k) & v.isNotNull())
-    ents = ents.select("chunk_id", "pos", F.col("e.t").alias("etype"), key.alias("key"), F.col("e.p").alias("props"))
-    ok = F.coalesce(F.col("etype").isin(list(etypes)) & (F.size("key") > 0), F.lit(False))
-    rels = parsed.select("chunk_id", F.explode("x.r").alias("r")).select("chunk_id", F.col("r.r").alias("relation"), F.col("r.h").alias("head"), F.col("r.t").alias("tail"))
-    good = ents.where(ok)
-    ends = good.select("chunk_id", "pos")
-    sound = rels.where(F.col("relation").isin(list(relations)))
-    sound = sound.join(ends.withColumnRenamed("pos", "head"), ["chunk_id", "head"], "left_semi").join(ends.withColumnRenamed("pos", "tail"), ["chunk_id", "tail"], "left_semi")
-    bad = ents.where(~ok).agg(F.count("*").alias("entities"))
-    return good, sound, bad
+    answer = F.coalesce(F.col(text), F.lit(""))
+    fenced = F.regexp_extract(answer, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    body = F.regexp_extract(F.when(fenced != "", fenced).otherwise(answer), r"(?s)(\{.*\})", 1)
+    parsed = raw.select("chunk_id", F.json_object_keys(body).alias("fields"), F.from_json(body, FORMS).alias("x"))
+    compact = F.array_contains("fields", "e")
+    listed = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    strings = lambda c: F.from_json(c, "array<string>")
+    some = lambda c: F.coalesce(c, F.create_map().cast(MAP))
+    entity = lambda t, k, p: F.struct(t.alias("etype"), F.from_json(k, MAP).alias("key"), some(F.from_json(p, MAP)).alias("props"))
+    item = lambda x, i: F.get(strings(x), F.lit(i))
+    found = F.when(compact, F.transform(listed(F.col("x.e")), lambda x: entity(item(x, 0), item(x, 1), item(x, 2)))).otherwise(
+        F.transform(listed(F.col("x.entities")), lambda x: entity(*(F.get_json_object(x, f"$.{n}") for n in ("etype", "key", "properties"))))
+    )
+    keys, names = _own_keys(schema, "key"), _own_keys(schema, "attributes")
+
+    def cleaned(e: Column) -> Column:
+        own, known = F.try_element_at(keys, e["etype"]), F.try_element_at(names, e["etype"])
+        kept = F.filter(F.map_entries(e["props"]), lambda kv: F.map_contains_key(known, kv["key"]))
+        # Of two names of one attribute the later counts, as in a dictionary.
+        named = F.transform(kept, lambda kv: F.struct(F.try_element_at(known, kv["key"]).alias("key"), kv["value"].alias("value")))
+        last = F.filter(named, lambda kv, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda o: o["key"] == kv["key"]))
+        return F.struct(e["etype"].alias("etype"), F.map_filter(some(e["key"]), lambda k, v: F.coalesce(F.array_contains(own, k), F.lit(False))).alias("key"), F.map_from_entries(last).alias("props"))
+
+    known = [e.name for e in schema.entities]
+    sound = F.filter(F.transform(F.filter("found", lambda e: F.coalesce(e["etype"].isin(known) & e["key"].isNotNull(), F.lit(False))), cleaned), lambda e: F.size(e["key"]) > 0)
+    made = parsed.withColumn("found", found).withColumn("good", sound)
+    sign = lambda t, k: F.concat_ws("|", t, F.to_json(F.array_sort(F.map_entries(k))))
+    signs = F.transform("good", lambda e: sign(e["etype"], e["key"]))
+    end = lambda i: F.get("good", i)
+
+    def by_place(x: Column) -> Column:
+        head, tail = item(x, 1).try_cast("int"), item(x, 2).try_cast("int")
+        return F.struct(item(x, 0).alias("relation"), head.alias("head"), tail.alias("tail"), end(head)["etype"].alias("head_type"), end(head)["key"].alias("head_key"), end(tail)["etype"].alias("tail_type"), end(tail)["key"].alias("tail_key"))
+
+    def by_name(x: Column) -> Column:
+        side = lambda n: (item(F.get_json_object(x, f"$.{n}"), 0), F.from_json(item(F.get_json_object(x, f"$.{n}"), 1), MAP))
+        (ht, hk), (tt, tk) = side("head"), side("tail")
+        place = lambda t, k: F.nullif(F.array_position(signs, sign(t, k)), F.lit(0)).cast("int") - 1
+        return F.struct(F.get_json_object(x, "$.relation").alias("relation"), place(ht, hk).alias("head"), place(tt, tk).alias("tail"), ht.alias("head_type"), hk.alias("head_key"), tt.alias("tail_type"), tk.alias("tail_key"))
+
+    made = made.withColumn("linked", F.when(compact, F.transform(listed(F.col("x.r")), by_place)).otherwise(F.transform(listed(F.col("x.relations")), by_name)))
+    allowed = [r.name for r in schema.relations]
+    whole = lambda r: F.coalesce(r["relation"].isin(allowed) & r["head_type"].isin(known) & r["tail_type"].isin(known) & r["head_key"].isNotNull() & r["tail_key"].isNotNull(), F.lit(False))
+    made = made.withColumn("links", F.filter("linked", whole))
+    entities = made.select("chunk_id", F.posexplode("good").alias("pos", "e")).select("chunk_id", "pos", "e.*")
+    relations = made.select("chunk_id", F.explode("links").alias("r")).select("chunk_id", "r.*")
+    lost = F.size("found") - F.size("good") + F.size("linked") - F.size("links")
+    return entities, relations, made.select("chunk_id", lost.alias("invalid"), F.col("fields").isNull().alias("failed"))
 
 
 def grounded(key: Column, chunk: Column) -> Column:
@@ -136,12 +191,52 @@ def fact_ids(facts: DataFrame, conv: str, order: Sequence[str]) -> DataFrame:
     return facts.withColumn("fid", F.format_string("%s-%04d", F.col(conv).cast("string"), n))
 
 
-def entity_rollup(mentions: DataFrame) -> DataFrame:
-    """Name, first type by ord, sorted different aliases; ``mentions`` has name, etype, alias, ord."""
-    alias = F.when(F.coalesce("alias", F.lit("")) != "", F.col("alias"))
-    return mentions.groupBy("name").agg(F.min_by("etype", "ord").alias("etype"), F.array_sort(F.collect_set(alias)).alias("aliases"))
+def entity_rollup(mentions: DataFrame, speakers: DataFrame | None = None) -> DataFrame:
+    """Name, first type by ord, sorted different aliases but the name itself; ``mentions`` has name, etype, alias, ord.
+
+    With ``speakers`` (name, identity) each speaker is there as a person, and ``identity`` tells who speaks.
+    """
+    alias = F.when((F.coalesce("alias", F.lit("")) != "") & (F.col("alias") != F.col("name")), F.col("alias"))
+    rolled = mentions.groupBy("name").agg(F.min_by("etype", "ord").alias("etype"), F.array_sort(F.collect_set(alias)).alias("aliases"))
+    if speakers is None:
+        return rolled
+    people = speakers.select("name", F.lit(PERSON).alias("etype"), "identity")
+    kept = rolled.join(people, ["name", "etype"], "left")
+    added = people.join(rolled, ["name", "etype"], "left_anti").select("name", "etype", F.array().cast("array<string>").alias("aliases"), "identity")
+    return kept.unionByName(added)
+
+
+def speaker_labels(conversations: DataFrame) -> DataFrame:
+    """Name and identity of both speakers (speaker_a, speaker_b) of each sample_id."""
+    both = F.array(*(F.struct(F.col(c).alias("name"), F.lit(label).alias("identity")) for c, label in (("speaker_a", "说话人甲"), ("speaker_b", "说话人乙"))))
+    return conversations.select("sample_id", F.explode(both).alias("s")).select("sample_id", "s.*")
+
 
+def session_nodes(sessions: DataFrame) -> DataFrame:
+    """session_no, ISO date and weekday sign of sessions (session_no, session_date a date); both blank without a date."""
+    day = F.col("session_date")
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return sessions.select("session_no", blank(day.cast("string")).alias("date_iso"), blank(weekday_sign(day)).alias("weekday")).distinct()
 
+
+def annotation_facts(observations: DataFrame, events: DataFrame) -> DataFrame:
+    """Facts from a corpus's own annotations, to be added with ``unionByName``.
+
+    ``observations`` (dia_id, subject, statement) become background facts of their session, without those whose
+    dia_id names no session; ``events`` (date_iso, subject, statement) become events without a session (0).
+    """
+    texts = F.array().cast("array<string>")
+    rest = {"date_raw": F.lit(""), "value": F.lit(""), "topics": texts, "mentions": texts}
+    statement, said = F.trim("statement").alias("statement"), F.coalesce(F.trim("statement"), F.lit("")) != ""
+    place = F.regexp_extract("dia_id", r"^D(\d+):", 1).try_cast("int")
+    seen = observations.where(said & place.isNotNull()).select("subject", statement, F.lit("背景").alias("ftype"), F.lit("").alias("date_iso"), F.lit("无").alias("granularity"), F.array("dia_id").alias("sources"), place.alias("session_no"))
+    day = F.coalesce("date_iso", F.lit(""))
+    held = events.where(said).select("subject", statement, F.lit("事件").alias("ftype"), day.alias("date_iso"), F.when(day != "", "日").otherwise("无").alias("granularity"), texts.alias("sources"), F.lit(0).alias("session_no"))
+    return seen.unionByName(held).withColumns(rest)
+
+
+#: The type of persons.
+PERSON = "人物"
 #: Entity types whose mentions make edges 涉及…, and words of a positive preference.
 MENTIONED = ("人物", "地点", "组织", "物品", "活动")
 LIKES = ("喜欢", "爱", "享受", "热爱", "着迷", "痴迷")

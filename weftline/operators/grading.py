@@ -227,6 +227,13 @@ def stratified(rows: DataFrame, level: str, shuffled: Column, n: int | None = No
     return out.orderBy("turn", level) if n is None else out.where(F.col("turn") <= n).orderBy("turn", level).limit(n)
 
 
+def partition_rounds(rows: DataFrame, level: str, shuffled: Column, per_round: int = 9, rounds: int = 5) -> DataFrame:
+    """Disjoint training rounds of ``per_round`` rows with the levels in turn; ``round`` counts from 0. Fewer rows fill fewer rounds."""
+    pool = stratified(rows, level, shuffled, per_round * rounds)  # this bound makes the window below small
+    place = F.row_number().over(Window.orderBy("turn", level)) - 1
+    return pool.withColumn("round", F.floor(place / per_round).cast("int")).drop("turn")
+
+
 def route_feedback(items: DataFrame, kinds: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Items of the given target kinds, and the others."""
     mine = F.coalesce(F.col("target").isin(list(kinds)), F.lit(False))

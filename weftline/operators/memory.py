@@ -24,6 +24,16 @@ def search(store: DataFrame, query: Column, key: str, vector: str, k: int, user:
     return mine.withColumn("score", cosine(F.col(vector), query)).orderBy(F.desc("score"), key).limit(k)
 
 
+#: Payload fields that a search leaves out, as the text and its hash go by themselves.
+OWN_FIELDS = ("data", "hash")
+
+
+def search_result(found: DataFrame, key: str, text: str, payload: str) -> DataFrame:
+    """M5: id, memory, payload (a map without the text and its hash) and score of found entries, best first."""
+    rest = F.map_filter(payload, lambda k, v: ~k.isin(*OWN_FIELDS))
+    return found.select(F.col(key).alias("id"), F.col(text).alias("memory"), rest.alias("payload"), "score").orderBy(F.desc("score"), "id")
+
+
 def append(store_path: str, rows: DataFrame) -> None:
     """M2: append rows as Parquet."""
     rows.write.mode("append").parquet(store_path)

@@ -12,9 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.parsing import MEALS, filled, split_attractions
+from weftline.functions.parsing import MEALS, filled, plan_days, scalar_cell, split_attractions
 from weftline.operators.itinerary import Atlas, find_places, place_cells, plan_costs, rooms
 from weftline.operators.rules import ROOMS, dominates, routed, validate_plans
+from weftline.session import checkpointed
 
 POOL = 60
 CELLS = ["query_id", "day", "days", "current_city", "transportation", "breakfast", "attraction", "lunch", "dinner", "accommodation"]
@@ -230,10 +231,63 @@ def _report(plans: DataFrame, queries: DataFrame, atlas: Atlas) -> DataFrame:
     return out.select("query_id", F.coalesce("blocking", F.lit(0)).alias("blocking"), F.coalesce("codes", F.array().cast("array<string>")).alias("codes"), "total")
 
 
+def _adopted(plans: DataFrame, report: DataFrame, new: DataFrame, queries: DataFrame, atlas: Atlas) -> tuple[DataFrame, DataFrame]:
+    """Each query's new plan where it dominates the old one, and the reports of what stays. Lineage is cut, as all is read several times."""
+    new = checkpointed(new.select(*CELLS))
+    fresh = checkpointed(_report(new, queries, atlas))
+    better = checkpointed(dominates(fresh, report).where("better").select("query_id"))
+    pick = lambda a, b: checkpointed(a.join(better, "query_id", "left_semi").unionByName(b.join(better, "query_id", "left_anti")))
+    return pick(new, plans.select(*CELLS)), pick(fresh, report)
+
+
 def finalize_plans(plans: DataFrame, queries: DataFrame, atlas: Atlas) -> DataFrame:
     """Repaired and then cheapened plans, each step kept only where it dominates what was there."""
+    report = checkpointed(_report(plans, queries, atlas))
     for step in (lambda p: local_repair(p, queries, atlas), lambda p: budget_downgrade(p, queries, atlas, plan_costs(p, queries, atlas))):
-        new = step(plans).persist()
-        better = dominates(_report(new, queries, atlas), _report(plans, queries, atlas)).where("better").select("query_id")
-        plans = new.join(better, "query_id", "left_semi").unionByName(plans.select(*CELLS).join(better, "query_id", "left_anti"))
+        plans, report = _adopted(plans, report, step(plans), queries, atlas)
     return plans
+
+
+#: How a repair prompt states the costs, and how many issues it lists.
+COST_RULE = "flights Price x people; meals AverageCost x people; hotels price x ceil(people/occupancy) per night; self-driving int(km x 0.05) x ceil(people/5); taxi int(km) x ceil(people/4)"
+ISSUES = 40
+
+
+def constraint_json(queries: DataFrame) -> DataFrame:
+    """query_id and ``constraints``: JSON of what a plan must keep, the absent left out."""
+    wish = lambda k: F.nullif(F.try_element_at("constraint", F.lit(k)), F.lit(""))
+    allowed = F.create_map(*(F.lit(x) for kv in ROOMS.items() for x in kv))
+    room = F.when(wish("room type") == "not shared room", "not 'Shared room'").otherwise(F.coalesce(F.try_element_at(allowed, F.lower(wish("room type"))), wish("room type")))
+    outside = F.concat(F.lit("each must appear in the Cuisines of at least one chosen restaurant OUTSIDE "), "org")
+    body = F.struct(
+        F.when(F.size("cuisines") > 0, F.struct(F.col("cuisines").alias("required"), outside.alias("rule"))).alias("cuisine"),
+        F.when(wish("room type").isNotNull(), F.struct(room.alias("required"))).alias("room_type"),
+        F.when(wish("house rule").isNotNull(), F.struct(F.concat(F.lit("No "), wish("house rule")).alias("forbidden_substring"))).alias("house_rule"),
+        F.when(wish("transportation").isNotNull(), F.struct(wish("transportation").alias("ban"))).alias("transportation"),
+        F.struct(F.col("budget").alias("max"), F.lit(COST_RULE).alias("formula")).alias("budget"),
+        F.struct(F.col("visiting_city_number").alias("distinct_cities_besides_org")).alias("city_count"),
+    )
+    return queries.select("query_id", F.to_json(body).alias("constraints"))
+
+
+def plan_records(queries: DataFrame, plans: DataFrame) -> DataFrame:
+    """One record for each query: query_idx and ``plan``, an array of its days in order, empty where there is no plan."""
+    day = F.struct("day", F.struct(*CELLS[2:]).alias("cells"))
+    made = plans.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(day)), lambda x: x["cells"]).alias("plan"))
+    kind = made.schema["plan"].dataType.simpleString()
+    return queries.select("query_id").join(made, "query_id", "left").select(F.col("query_id").alias("query_idx"), F.coalesce("plan", F.from_json(F.lit("[]"), kind)).alias("plan"))
+
+
+def repair_requests(plans: DataFrame, queries: DataFrame, issues: DataFrame) -> DataFrame:
+    """What a model needs to repair a plan with blocking ``issues`` (of ``validate_plans``): query_id, constraints, plan and issues (40 at most), as JSON."""
+    listed = issues.where("blocking").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("code", "day", "field"))).alias("issues"))
+    records = plan_records(queries, plans).select(F.col("query_idx").alias("query_id"), F.to_json("plan").alias("plan"))
+    return constraint_json(queries).join(records, "query_id").join(listed, "query_id").select("query_id", "constraints", "plan", F.to_json(F.slice("issues", 1, ISSUES)).alias("issues"))
+
+
+def model_repair(plans: DataFrame, queries: DataFrame, atlas: Atlas, answers: DataFrame) -> DataFrame:
+    """Plans with a model's ``answers`` (query_id, answer text) in their place where those dominate; unreadable ones change nothing."""
+    rows = answers.select("query_id", F.posexplode(plan_days(F.col("answer"))).alias("day", "cells"))
+    cell = lambda c: scalar_cell(F.try_element_at("cells", F.lit(c))).alias(c)
+    new = rows.select("query_id", "day", F.coalesce(F.try_element_at("cells", F.lit("days")).try_cast("int"), F.col("day") + 1).alias("days"), *map(cell, CELLS[3:]))
+    return _adopted(plans, checkpointed(_report(plans, queries, atlas)), new, queries, atlas)[0]

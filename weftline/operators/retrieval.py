@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from weftline.functions.dates import date_in_range, resolve_relative_udf
 from weftline.functions.text import any_keyword, has_text, terms
 from weftline.operators.core import GraphStore, traverse_relations
+from weftline.operators.grading import REFUSAL, REFUSAL_OPENINGS
 
 
 def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
@@ -120,14 +121,22 @@ def search_facts(facts: DataFrame, posted: DataFrame, weights: DataFrame, keywor
     return found.orderBy("rank")
 
 
-def timeline(facts: DataFrame, low: str | None = None, high: str | None = None, subject: str = "", keywords: Sequence[str] = ()) -> DataFrame:
-    """dated facts in an inclusive range, by date and fid."""
+def timeline(facts: DataFrame, low: str | None = None, high: str | None = None, subject: str = "", keywords: Sequence[str] = (), scores: DataFrame | None = None) -> DataFrame:
+    """dated facts of a subject in an inclusive range, by date and fid.
+
+    With keywords, facts that contain one, or that ``scores`` (fid, score, of the keywords as one text) ranks above 0;
+    the best score first, then the earliest date.
+    """
     kept = facts.where((F.coalesce("date_iso", F.lit("")) != "") & date_in_range(F.col("date_iso"), low, high))
     if subject:
-        kept = kept.where(subject_matches(F.col("subject"), subject))
-    if keywords:
-        kept = kept.where(any_keyword(F.col("statement"), keywords))
-    return kept.orderBy("date_iso", "fid")
+        kept = kept.where(F.col("subject") == subject)
+    if not keywords:
+        return kept.orderBy("date_iso", "fid")
+    hit = F.exists(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.coalesce("statement", F.lit("")), k))
+    if scores is None:
+        return kept.where(hit).orderBy("date_iso", "fid")
+    ranked = kept.join(scores.select("fid", "score"), "fid", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return ranked.where(hit | (F.col("score") > 0)).orderBy(F.desc(F.round("score", 9)), "date_iso", "fid")
 
 
 def topic_histogram(rows: DataFrame, topics: Column) -> DataFrame:
@@ -141,9 +150,26 @@ def facts_by_topic(facts: DataFrame, topic: str, subject: str = "") -> DataFrame
     return facts.where(hit & ((F.col("subject") == subject) if subject else F.lit(True)))
 
 
-def fact_line(fid: Column, subject: Column, statement: Column, day: Column) -> Column:
-    """one line of text for a fact."""
-    return F.concat(F.lit("["), fid, F.lit("] "), subject, F.lit(": "), statement, F.when(F.coalesce(day, F.lit("")) != "", F.concat(F.lit(" ("), day, F.lit(")"))).otherwise(""))
+def with_anchor(facts: DataFrame, sessions: DataFrame) -> DataFrame:
+    """add ``anchor``, the date of the session (session_no, session_date) of a fact's first source; blank if there is none."""
+    number = F.regexp_extract(F.coalesce(F.get("sources", F.lit(0)), F.lit("")), r"^D(\d+):", 1).try_cast("int")
+    dated = sessions.groupBy(F.col("session_no").alias("_no")).agg(F.max(F.col("session_date").cast("string")).alias("anchor"))
+    return facts.withColumn("_no", number).join(dated, "_no", "left").drop("_no").withColumn("anchor", F.coalesce("anchor", F.lit("")))
+
+
+def fact_line(fid: Column, subject: Column, statement: Column, ftype: Column, day: Column, granularity: Column, raw: Column, sources: Column, anchor: Column) -> Column:
+    """one line of text for a fact; a date phrase of its own comes with the day that it counts from."""
+    day, granularity, raw, anchor = (F.coalesce(c, F.lit("")) for c in (day, granularity, raw, anchor))
+    phrase = F.when(raw != "", F.concat(F.lit("原文:"), raw))
+    when = F.when(day != "", F.concat(day, F.lit("("), F.concat_ws("|", granularity, phrase), F.lit(")"))).otherwise(F.coalesce(phrase, F.lit("无日期")))
+    base = F.when((raw != "") & (anchor != ""), F.concat(F.lit("锚:"), anchor))
+    return F.concat_ws("｜", F.concat(F.lit("["), fid, F.lit("] "), subject), statement, ftype, when, base, F.concat(F.lit("出处:"), F.array_join(sources, ";")))
+
+
+def rendered(lines: Sequence[str], total: int) -> str:
+    """a head with the count, and lines; the head says how to see the rest."""
+    more = f"，显示第1-{len(lines)}条，可用 页 参数翻页" if total > len(lines) else ""
+    return f"（共{total}条{more}）\n" + ("\n".join(lines) or "（无结果）")
 
 
 #: Chinese words and their near synonyms.
@@ -179,6 +205,28 @@ def enumerate_elements(found: DataFrame, by: Sequence[str], element: str, order:
 #: Question kinds by their marks, the first that fits; categories by their words, 活动 by default.
 QUESTION_KINDS = (("列举", "有哪些|哪些|都有什么|什么活动|什么作品|什么书|参加过什么"), ("时间", "什么时候|哪天|哪一年|几月|何时|哪一次"))
 CATEGORIES = (("活动", "活动|爱好|运动|兴趣"), ("书", "书|著作|读物"), ("作品", "作品|画|陶罐|碗|创作"), ("宠物", "宠物|猫|狗"))
+#: The entity type of each category's elements (活动 for others), the types of facts that may name one, and how much of a statement tells and names it.
+CATEGORY_TYPES = {"书": "物品", "作品": "物品", "宠物": "物品"}
+ELEMENT_FACTS, TOLD, NAMED = ("事件", "计划"), 12, 20
+
+
+def enumerate_category(facts: DataFrame, edges: DataFrame, entities: DataFrame, subject: str, category: str = "活动") -> DataFrame:
+    """``element`` and its first fact, for all a subject has of a category, by date and fid.
+
+    Elements are entities of the category's type that the subject's facts (or those of a subject whose name holds
+    its name) touch, and then events and plans that hold a word of the category, unless they are an entity's first fact.
+    """
+    etype = CATEGORY_TYPES.get(category, "活动")
+    mine = facts.where(F.contains("subject", F.lit(subject)) if subject else F.lit(False))
+    named = entities.where(F.col("etype") == etype).select(F.col("name").alias("dst")).where("dst != ''").distinct()
+    touched = edges.where(F.col("relation").isin("涉及活动", "涉及物品")).join(named, "dst", "left_semi").select(F.col("src").alias("fid"), F.col("dst").alias("element")).distinct()
+    by_entity = enumerate_elements(mine.join(touched, "fid"), [], "element", ["fid"])
+    words = dict(CATEGORIES).get(category, category)
+    worded = mine.where(F.col("ftype").isin(*ELEMENT_FACTS) & F.exists(F.split(F.lit(words), r"\|"), lambda w: F.contains(F.col("statement"), w)))
+    worded = worded.join(by_entity.select("fid"), "fid", "left_anti").withColumn("_told", F.substring("statement", 1, TOLD))
+    worded = worded.join(by_entity.select(F.col("element").alias("_told")), "_told", "left_anti")
+    by_words = enumerate_elements(worded, [], "_told", ["fid"]).withColumn("element", F.substring("statement", 1, NAMED)).drop("_told")
+    return by_entity.unionByName(by_words).orderBy(F.coalesce("date_iso", F.lit("")), "fid", "element")
 
 
 def question_kind(question: Column) -> Column:
@@ -204,20 +252,61 @@ def answer_context(collected: DataFrame, lexical: DataFrame, most: int = 45, mor
     return top.select("fid", "score").unionByName(rest.select("fid", "score"))
 
 
-def consensus(votes: DataFrame) -> DataFrame:
-    """the answer for each question of ``votes`` (question, answer, norm, refused, evidence).
+def consensus(votes: DataFrame, picks: DataFrame | None = None) -> DataFrame:
+    """one of the candidates of each question of ``votes`` (question, ord, answer, norm, refused, evidence: a number).
 
-    A refusal wins with two votes; else a normalised majority; else the non-refusal with most evidence.
+    Two refusals leave only refusals to choose from. Then the first candidate whose normalised text occurs twice;
+    else the one that a model picks (``picks``: question, pick, an ord), if it may be chosen; else a
+    non-refusal with most evidence, the first of equals. Returns question, ord, answer, refused, n (candidates alike).
     """
-    groups = votes.groupBy("question", "refused", F.when(~F.col("refused"), F.col("norm")).alias("norm")).agg(F.count("*").alias("n"), F.max("evidence").alias("evidence"), F.max_by("answer", F.struct("evidence", "answer")).alias("answer"))
-    tier = F.when(F.col("refused") & (F.col("n") >= 2), 1).when(~F.col("refused") & (F.col("n") >= 2), 2).when(~F.col("refused"), 3).otherwise(4)
-    w = Window.partitionBy("question").orderBy(tier, F.desc("n"), F.desc("evidence"), "norm")
-    return groups.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("question", "answer", "refused", "n")
+    asked = Window.partitionBy("question")
+    pool = votes.withColumn("_refusals", F.count_if("refused").over(asked)).where((F.col("_refusals") < 2) | F.col("refused"))
+    pool = pool.withColumn("n", F.count("*").over(Window.partitionBy("question", "norm")))
+    pool = pool.join(picks.select("question", "pick"), "question", "left") if picks is not None else pool.withColumn("pick", F.lit(None).cast("int"))
+    tier = F.when((F.col("n") > 1) & (F.coalesce("norm", F.lit("")) != ""), 1).when(F.col("ord") == F.col("pick"), 2).when(~F.col("refused"), 3).otherwise(4)
+    best = asked.orderBy(tier, F.when(tier > 2, -F.col("evidence")), "ord")
+    return pool.withColumn("_rn", F.row_number().over(best)).where("_rn = 1").select("question", "ord", "answer", "refused", "n")
+
+
+def people_asked(question: Column, people: Column) -> Column:
+    """those of the known people whom a question names, in their order."""
+    return F.filter(people, lambda p: (p != "") & F.contains(question, p))
+
+
+def refusal_recheck(top_score: Column, top_subject: Column, asked: Column) -> Column:
+    """whether a refusal is asked again: a top score of 60, or of 110 unless the top fact is about the first person asked for."""
+    bound = F.coalesce(F.contains(top_subject, F.get(asked, F.lit(0))), F.lit(False))
+    return F.coalesce(top_score >= F.when(bound, 60).otherwise(110), F.lit(False))
 
 
-def refusal_gate(top_score: Column, subject_matched: Column, single_person: Column, evidence_matched: Column) -> Column:
-    """keep a refusal below a score of 60, or of 110 without a subject match, or if a single person's evidence isn't theirs."""
-    return (top_score < 60) | (~subject_matched & (top_score < 110)) | (single_person & ~evidence_matched)
+def subject_doubt(question: Column, asked: Column, subjects: Column) -> Column:
+    """whether evidence is about someone else: one person is asked for, in no list and no yes-or-no question, and no subject holds the name."""
+    single = (F.size(asked) == 1) & (question_kind(question) != "列举") & ~F.contains(question, F.lit("吗"))
+    return single & ~F.exists(subjects, lambda s: F.contains(F.coalesce(s, F.lit("")), F.get(asked, F.lit(0))))
+
+
+def gated_answers(rows: DataFrame, retry: Column | None = None, confirmed: Column | None = None) -> DataFrame:
+    """answer, evidence and subjects after all gates, and ``refused``.
+
+    ``rows``: question, answer, evidence (ids), subjects (of the evidence), people (known), top_score and top_subject (of
+    the question's best fact). A refusal that passes ``refusal_recheck`` becomes ``retry``, a struct of answer, evidence
+    and subjects, if that has evidence and isn't a refusal. Any opening of a refusal becomes the standard one, without
+    evidence. An answer under ``subject_doubt`` is refused unless ``confirmed``. Without the model's columns refusals and doubts stand.
+    """
+    asked = people_asked(F.col("question"), F.coalesce("people", F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    refuses = lambda c: F.startswith(F.coalesce(c, F.lit("")), F.lit(REFUSAL))
+    kept = F.struct("answer", *(F.coalesce(c, none).alias(c) for c in ("evidence", "subjects")))
+    if retry is not None:
+        again = refuses(F.col("answer")) & refusal_recheck(F.col("top_score"), F.col("top_subject"), asked) & (F.size(retry["evidence"]) > 0) & ~refuses(retry["answer"])
+        kept = F.when(F.coalesce(again, F.lit(False)), retry).otherwise(kept)
+    empty = F.struct(F.lit(REFUSAL).alias("answer"), none.alias("evidence"), none.alias("subjects"))
+    opening = F.exists(F.array(*map(F.lit, REFUSAL_OPENINGS)), lambda o: F.startswith(F.coalesce("_kept.answer", F.lit("")), o))
+    clean = F.when(~refuses(F.col("_kept.answer")) & opening, empty).otherwise(F.col("_kept"))
+    doubt = ~refuses(F.col("_kept.answer")) & (F.size("_kept.evidence") > 0) & subject_doubt(F.col("question"), asked, F.col("_kept.subjects"))
+    sure = F.lit(False) if confirmed is None else F.coalesce(confirmed, F.lit(False))
+    done = rows.withColumn("_kept", kept).withColumn("_kept", clean).withColumn("_kept", F.when(F.coalesce(doubt, F.lit(False)) & ~sure, empty).otherwise(F.col("_kept")))
+    return done.withColumns({c: F.col(f"_kept.{c}") for c in ("answer", "evidence", "subjects")}).withColumn("refused", refuses(F.col("answer"))).drop("_kept")
 
 
 def evidence_ids(line: Column, pool: Column) -> Column:
@@ -229,26 +318,45 @@ class ToolBox:
     """facts (fid, subject, statement, ftype, date_iso, topics), entities (name, etype, aliases), edges and sessions
     (session_no, session_date) of one conversation, with its lexical index, and the nine tools by name."""
 
-    def __init__(self, facts: DataFrame, entities: DataFrame, edges: DataFrame) -> None:
-        self.facts, self.edges = facts, edges
+    def __init__(self, facts: DataFrame, entities: DataFrame, edges: DataFrame, sessions: DataFrame | None = None) -> None:
+        self.facts, self.edges = facts if sessions is None else with_anchor(facts, sessions), edges
         w = Window.partitionBy("name").orderBy(F.monotonically_increasing_id().desc())
         self.entities = entities.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")  # the last of a name counts
+        self.names = self.entities.select("name").union(facts.select(F.col("subject"))).where("name != ''").distinct()
+        self.aliases = self.entities.select(F.posexplode("aliases").alias("ord", "alias"), F.col("name").alias("canonical")).where("trim(alias) != ''").withColumn("alias", F.trim("alias"))
         named = edges.where(F.startswith("relation", F.lit("涉及"))).groupBy(F.col("src").alias("fid")).agg(F.array_join(F.array_sort(F.collect_set("dst")), "").alias("_names"))
         texts = facts.join(named, "fid", "left").select("fid", F.concat_ws("", "statement", "subject", F.concat_ws("", "topics"), "_names").alias("text"))
         self.posted = postings(texts, "fid", F.col("text"))
         self.weights = idf(self.posted, texts)
         self.tools = {
             "查找实体": lambda text, etype="": find_entities(self.entities, text, etype),
-            "按主体查事实": lambda subject, keywords=(), **k: facts_by_subject(self.facts, subject, keywords, **k),
-            "获取相关事实": lambda entity, page=1: related_facts(self.facts, self.edges, entity, page),
-            "检索事实": lambda keywords, subject="": search_facts(self.facts, self.posted, self.weights, keywords, subject=subject, limit=25),
-            "查询时间线": lambda low=None, high=None, subject="", keywords=(): timeline(self.facts, low, high, subject, keywords),
+            "按主体查事实": lambda subject, keywords=(), **k: facts_by_subject(self.facts, self.resolve(subject), keywords, **k),
+            "获取相关事实": lambda entity, page=1: related_facts(self.facts, self.edges, self.resolve(entity), page),
+            "检索事实": lambda keywords, subject="": search_facts(self.facts, self.posted, self.weights, keywords, subject=self.resolve(subject), limit=25),
+            "查询时间线": lambda low=None, high=None, subject="", keywords=(): timeline(self.facts, low, high, self.resolve(subject), keywords, self.scored(keywords) if keywords else None),
             "计算日期": self.compute_date,
             "列出主题": lambda: topic_histogram(self.facts, F.col("topics")),
-            "按主题查事实": lambda topic, subject="": facts_by_topic(self.facts, topic, subject),
+            "按主题查事实": lambda topic, subject="": facts_by_topic(self.facts, topic, self.resolve(subject)),
             "遍历关系": self.walk,
         }
 
+    def resolve(self, name: str) -> str:
+        """a known name or subject as it is, else the name that it is an alias of."""
+        if not name:
+            return name
+        one = self.facts.sparkSession.createDataFrame([(name,)], "name string")
+        return resolve_name(one, self.names, self.aliases).first()["resolved"]
+
+    def scored(self, keywords: Sequence[str]) -> DataFrame:
+        """fid and score of the keywords as one text."""
+        one = self.facts.sparkSession.createDataFrame([(0, " ".join(keywords))], "query_id int, text string")
+        return lexical_scores(self.posted, self.weights, one, "fid").select("fid", "score")
+
+    def lines(self, rows: DataFrame, limit: int = 25) -> str:
+        """the first rows as text; facts need granularity, date_raw and sources, and the box its sessions."""
+        line = fact_line(*(F.col(c) for c in ("fid", "subject", "statement", "ftype", "date_iso", "granularity", "date_raw", "sources", "anchor")))
+        return rendered([r[0] for r in rows.select(line).limit(limit).collect()], rows.count())
+
     def compute_date(self, anchor: str, expression: str) -> DataFrame:
         """the date that an expression means, seen from an ISO anchor."""
         one = self.facts.sparkSession.createDataFrame([(anchor, expression)], "anchor string, expression string")

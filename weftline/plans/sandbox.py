@@ -10,12 +10,14 @@ import ast
 import json
 import math
 import threading
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.core import OPERATOR_REGISTRY, GraphStore
@@ -128,6 +130,16 @@ class FunctionCatalog:
         return cls({p["name"]: Published(**p) for p in json.loads(Path(path).read_text())})
 
 
+def compile_function(catalog: FunctionCatalog, name: str, write: Callable[[str], str], store: GraphStore, rounds: int = 3, **arguments) -> bool:
+    """Ask ``write`` for a function's source, showing it what failed, until a trial has rows or the rounds are over."""
+    failed = ""
+    for _ in range(rounds):
+        if catalog.publish(name, write(failed), store, **arguments):
+            return True
+        failed = catalog.functions[name].failed
+    return False
+
+
 def sample_arguments(rows: DataFrame, columns: list[str]) -> dict[str, object]:
     """A value of each column, for trials."""
     one = rows.select(*columns).dropna().first()
@@ -170,7 +182,58 @@ def run_tools(choose: Callable[[list[dict]], str], tools: dict[str, Callable[...
     return past
 
 
+def keyed_requests(requests: DataFrame) -> DataFrame:
+    """Requests (role, model, messages) with ``request_id``, the hash of their JSON."""
+    return requests.withColumn("request_id", F.sha2(F.to_json(F.struct("role", "model", "messages")), 256))
+
+
 def cache_misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """Requests (role, model, messages) not in the cache, by the hash of their JSON; each once."""
-    keyed = requests.withColumn("request_id", F.sha2(F.to_json(F.struct("role", "model", "messages")), 256)).dropDuplicates(["request_id"])
-    return keyed.join(cache.select("request_id"), "request_id", "left_anti")
+    return keyed_requests(requests).dropDuplicates(["request_id"]).join(cache.select("request_id"), "request_id", "left_anti")
+
+
+def within_budget(misses: DataFrame, ledger: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """Misses with ``allowed``: whether the calls of a namespace, those in the ledger first, keep to the limit of its longest known prefix."""
+    used = ledger.groupBy("namespace").agg(F.count("*").alias("_used"))
+    limit = F.lit(None).cast("long")
+    for prefix, most in sorted(limits.items(), key=lambda kv: len(kv[0])):
+        limit = F.when(F.startswith("namespace", F.lit(prefix)), F.lit(most)).otherwise(limit)
+    place = F.row_number().over(Window.partitionBy("namespace").orderBy("request_id"))
+    counted = misses.join(used, "namespace", "left").withColumn("_place", place + F.coalesce("_used", F.lit(0)))
+    return counted.withColumn("allowed", F.coalesce(F.col("_place") <= limit, F.lit(True))).drop("_used", "_place")
+
+
+CALLED = "request_id string, namespace string, role string, model string, content string, prompt_tokens long, completion_tokens long, error string"
+
+
+def call_models(misses: DataFrame, call: Callable[[str, str, str], tuple[str, int, int]], attempts: int = 5, wait: float = 1.0) -> DataFrame:
+    """``call(role, model, messages)`` gives content and both token counts of each request.
+
+    An error is retried after ``wait`` seconds, doubled each time and 60 at most, and the last one is kept in ``error``.
+    The rows are both ledger and cache: only those with content belong in the cache. As a task may run twice, write them
+    once and read them back; the number of partitions bounds the calls at a time.
+    """
+
+    def one(role: str, model: str, messages: str) -> tuple[str | None, int, int, str | None]:
+        for k in range(attempts):
+            try:
+                return (*call(role, model, messages), None)
+            except Exception as e:  # noqa: BLE001  the service's error is the row's outcome
+                error = str(e)[:500]
+                if k + 1 < attempts:
+                    time.sleep(min(60.0, wait * 2**k))
+        return None, 0, 0, error
+
+    def batches(parts):
+        for part in parts:
+            got = [one(*r) for r in zip(part["role"], part["model"], part["messages"], strict=True)]
+            made = pd.DataFrame(got, columns=["content", "prompt_tokens", "completion_tokens", "error"], index=part.index)
+            yield pd.concat([part[["request_id", "namespace", "role", "model"]], made], axis=1)
+
+    return misses.select("request_id", "namespace", "role", "model", "messages").mapInPandas(batches, CALLED)
+
+
+def answered(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """Requests with ``content`` from the cache (request_id, content); null where there is none, and a blank one counts as none."""
+    filled = cache.where(F.trim("content") != "").groupBy("request_id").agg(F.max("content").alias("content"))
+    return keyed_requests(requests).join(filled, "request_id", "left")

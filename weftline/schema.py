@@ -250,3 +250,32 @@ def merge_schema(base: Schema, more: Schema) -> Schema:
     out.entities += [e for e in more.entities if base.entity(e.name) is None]
     out.relations = base.relations + [r for r in more.relations if base.relation(r.name) is None]
     return base if out.validate() else out
+
+
+#: The conversation schema's entity types (keys first), what a fact may touch, and relations between entities.
+SKELETON_ENTITIES = {
+    "人物": ("姓名", "别名", "身份"), "地点": ("名称", "类别"), "组织": ("名称", "类别"), "物品": ("名称", "类别"), "活动": ("名称", "类别"), "主题": ("名称",),
+    "会话": ("序号", "日期", "星期"), "原子事实": ("编号", "陈述", "主体", "类型", "日期", "日期粒度", "日期原文", "数值", "主题", "出处"),
+}
+SKELETON_FACT_RELATIONS = {"归属于": "人物", "涉及人物": "人物", "涉及地点": "地点", "涉及组织": "组织", "涉及物品": "物品", "涉及活动": "活动", "属于主题": "主题", "记录于": "会话"}
+SKELETON_RELATIONS = {"亲属": "人物", "朋友": "人物", "同事": "人物", "伴侣": "人物", "居住于": "地点", "就职于": "组织", "就读于": "组织", "喜爱": "活动"}
+SKELETON_NUMBERS = ("序号",)
+
+
+def skeleton() -> dict:
+    """The conversation schema as a dictionary: facts point at what they touch, people at each other and at what they do."""
+    fact, person = "原子事实", "人物"
+    kind = lambda n: {"name": n, "dtype": "int" if n in SKELETON_NUMBERS else "string"}
+    entities = {e: {"primary_key": [names[0]], "attributes": [kind(n) for n in names]} for e, names in SKELETON_ENTITIES.items()}
+    relations = {r: {"domain": start, "range": end} for start, ends in ((fact, SKELETON_FACT_RELATIONS), (person, SKELETON_RELATIONS)) for r, end in ends.items()}
+    owner = next(iter(SKELETON_FACT_RELATIONS))
+    axioms = [{"kind": "disjoint", "classes": list(entities)}, {"kind": "domain", "relation": owner, "class": fact}, {"kind": "range", "relation": owner, "class": person}]
+    return {"meta": {"version": "skeleton-v1"}, "entity_types": entities, "relation_types": relations, "axioms": axioms}
+
+
+def load_skeleton(text: str | None = None) -> Schema:
+    """The conversation schema, or that of a YAML text, checked; raises SchemaError with all that is wrong."""
+    schema = Schema.from_dict(skeleton()) if text is None else Schema.from_yaml(text)
+    if errors := schema.validate():
+        raise SchemaError("; ".join(errors))
+    return schema

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", app: str = "weftline", **conf: str) -> SparkSession:
@@ -24,3 +26,15 @@ def local_session(cores: int | str = "*", app: str = "weftline", **conf: str) ->
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """The rows from ``spark.checkpoint.dir``, without their lineage. Unset, a local session takes a folder of its own; a cluster must set it."""
+    spark = rows.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+    return rows.checkpoint()

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.functions.dates import cn_date, parse_session_datetime
+
 #: Texts that stand for a missing value.
 MISSING = ("", "nan", "NaN", "NA", "None", "null")
 
@@ -128,6 +130,51 @@ def load_turns(spark: SparkSession, path: str) -> DataFrame:
     return turns.select("sample_id", "session_no", "session_date", "seq", "t.*").where(F.coalesce(F.trim("text"), F.lit("")) != "")
 
 
+def load_speakers(spark: SparkSession, path: str) -> DataFrame:
+    """sample_id, speaker_a, speaker_b of conversation files."""
+    raw = spark.read.schema("sample_id string, conversation map<string,string>").json(path, multiLine=True)
+    return raw.select("sample_id", *(F.coalesce(F.try_element_at("conversation", F.lit(c)), F.lit("")).alias(c) for c in ("speaker_a", "speaker_b")))
+
+
+QA = "array<struct<question:string,category:int,answer:string,adversarial_answer:string,evidence:array<string>>>"
+
+
+def load_questions(spark: SparkSession, path: str) -> DataFrame:
+    """Questions of conversation files: sample_id, idx, question, category, answer, adversarial_answer, evidence (empty if none)."""
+    raw = spark.read.schema(f"sample_id string, qa {QA}").json(path, multiLine=True)
+    asked = raw.select("sample_id", F.posexplode("qa").alias("idx", "q")).select("sample_id", "idx", "q.*")
+    return asked.withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
+
+
+def _by_speaker(spark: SparkSession, path: str, part: str) -> DataFrame:
+    """sample_id, entry, said (speaker to JSON) of a part of conversation files that goes by session."""
+    raw = spark.read.schema(f"sample_id string, {part} map<string,map<string,string>>").json(path, multiLine=True)
+    return raw.select("sample_id", F.explode(part).alias("entry", "said"))
+
+
+def load_observations(spark: SparkSession, path: str) -> DataFrame:
+    """sample_id, dia_id, subject, statement of bundled observations; items without a text or an id are left out."""
+    rows = _by_speaker(spark, path, "observation").select("sample_id", F.explode("said").alias("subject", "items"))
+    item = rows.select("sample_id", "subject", F.explode(F.from_json("items", "array<string>")).alias("item")).withColumn("item", F.from_json("item", "array<string>"))
+    seen = item.select("sample_id", F.get("item", F.lit(1)).alias("dia_id"), "subject", F.get("item", F.lit(0)).alias("statement"))
+    return seen.where((F.coalesce("dia_id", F.lit("")) != "") & (F.coalesce("statement", F.lit("")) != ""))
+
+
+def load_events(spark: SparkSession, path: str) -> DataFrame:
+    """sample_id, date_iso, subject, statement of bundled event summaries; the date, English or Chinese, is blank if it can't be read."""
+    rows = _by_speaker(spark, path, "event_summary")
+    stamp = F.try_element_at("said", F.lit("date"))
+    dated = rows.withColumn("date_iso", F.coalesce(F.coalesce(parse_session_datetime(stamp), cn_date(stamp)).cast("string"), F.lit("")))
+    each = dated.select("sample_id", "date_iso", F.explode("said").alias("subject", "items")).where("subject != 'date'")
+    events = each.select("sample_id", "date_iso", "subject", F.explode(F.from_json("items", "array<string>")).alias("statement"))
+    return events.where(F.coalesce(F.trim("statement"), F.lit("")) != "")
+
+
+def session_by_no(turns: DataFrame, session_no: int) -> DataFrame:
+    """The turns of one session, in order; none if there is no such session."""
+    return turns.where(F.col("session_no") == session_no).orderBy("sample_id", "seq")
+
+
 def turns_by_dia(turns: DataFrame, ids: DataFrame) -> DataFrame:
     """Turns of the given ids."""
     return turns.join(ids.select("dia_id").distinct(), "dia_id", "left_semi")
