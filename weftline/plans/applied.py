@@ -406,3 +406,64 @@ def lookup_counts(spark, sf):
     s = ontology.store(spark, sf, ("Part", "Nation"))
     count = lambda etype, field, value: core.lookup_entities(s, etype, {field: value}, limit=None).agg(F.lit(etype).alias("etype"), F.count("*").alias("n"))
     return count("Part", "p_name", "red").union(count("Nation", "n_name", "1"))
+
+
+# --- Conversations: sessions, annotations, answers ------------------------------------------------------
+
+
+@query("SELECT o_orderkey AS session_no, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date_iso, substring('一二三四五六日', CAST(isodow(CAST(o_orderdate AS DATE)) AS INTEGER), 1) AS weekday FROM orders")
+def session_nodes(spark, sf):
+    """A node for each session with its ISO date and weekday sign."""
+    return facts.session_nodes(table(spark, sf, "orders").select(F.col("o_orderkey").alias("session_no"), F.to_date("o_orderdate").alias("session_date")))
+
+
+@query("""
+SELECT role AS subject, trim(text, ' ') AS statement, '背景' AS ftype, '无' AS granularity, 'D' || conv_id || ':' || turn AS source, CAST(conv_id AS BIGINT) AS session_no FROM conversations WHERE turn % 2 = 0 AND trim(coalesce(text, ''), ' ') <> ''
+UNION ALL SELECT role, trim(text, ' '), '事件', '日', NULL, 0 FROM conversations WHERE turn % 2 = 1 AND trim(coalesce(text, ''), ' ') <> ''
+""")
+def annotation_facts(spark, sf):
+    """Observations and dated events as facts."""
+    rows = table(spark, sf, "conversations").select("turn", F.col("role").alias("subject"), F.col("text").alias("statement"), F.format_string("D%d:%d", "conv_id", "turn").alias("dia_id"), F.lit("2024-01-01").alias("date_iso"))
+    made = facts.annotation_facts(rows.where("turn % 2 = 0"), rows.where("turn % 2 = 1"))
+    return made.select("subject", "statement", "ftype", "granularity", F.get("sources", F.lit(0)).alias("source"), *big("session_no"))
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 5 = 0 THEN CAST(event_id % 3 AS DOUBLE) ELSE 0.0 END AS score FROM events
+WHERE strftime(ts, '%Y-%m-%d') >= '2024-01-10' AND (contains(event_type, 'click') OR (event_id % 5 = 0 AND event_id % 3 > 0))
+""")
+def timeline_scored(spark, sf):
+    """dated rows that hold a keyword or that the index ranks, with their scores."""
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("fid"), F.col("event_type").alias("statement"), F.date_format("ts", "yyyy-MM-dd").alias("date_iso"))
+    scores = rows.where("fid % 5 = 0").select("fid", (F.col("fid") % 3).cast("double").alias("score"))
+    return retrieval.timeline(rows, "2024-01-10", None, keywords=["click"], scores=scores).select(F.col("fid").alias("event_id"), "score")
+
+
+@query("""
+WITH v AS (SELECT event_id // 3 AS question, event_id % 3 AS ord, event_type AS norm, event_type = 'view' AS refused, event_id % 7 AS evidence FROM events),
+p AS (SELECT *, count(*) FILTER (refused) OVER (PARTITION BY question) AS nr FROM v),
+q AS (SELECT *, count(*) OVER (PARTITION BY question, norm) AS n FROM p WHERE nr < 2 OR refused),
+r AS (SELECT *, CASE WHEN n > 1 THEN 1 WHEN NOT refused THEN 3 ELSE 4 END AS tier FROM q)
+SELECT CAST(question AS BIGINT) AS question, CAST(ord AS BIGINT) AS ord, norm AS answer, refused, n FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY tier, CASE WHEN tier > 2 THEN -evidence ELSE 0 END, ord) AS rn FROM r) WHERE rn = 1
+""")
+def consensus(spark, sf):
+    """three events are the candidates of a question, and a view is a refusal."""
+    kind, n = F.col("event_type"), F.col("event_id")
+    votes = table(spark, sf, "events").select(F.floor(n / 3).cast("long").alias("question"), (n % 3).alias("ord"), kind.alias("answer"), kind.alias("norm"), (kind == "view").alias("refused"), (n % 7).alias("evidence"))
+    return retrieval.consensus(votes).select("question", *big("ord"), "answer", "refused", *big("n"))
+
+
+@query("SELECT event_id, event_id % 150 >= CASE WHEN event_type = 'click' THEN 60 ELSE 110 END AS again FROM events")
+def refusal_recheck(spark, sf):
+    """refusals that are asked again, by the best fact's score and subject."""
+    asked = retrieval.people_asked(F.lit("who made the click"), F.array(F.lit("click"), F.lit("view")))
+    return table(spark, sf, "events").select("event_id", retrieval.refusal_recheck(F.col("event_id") % 150, F.col("event_type"), asked).alias("again"))
+
+
+@query("""
+WITH t AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY doc_id) AS turn FROM labels), p AS (SELECT *, row_number() OVER (ORDER BY turn, quality) AS place FROM t)
+SELECT doc_id, (place - 1) // 9 AS round FROM p WHERE place <= 45
+""")
+def partition_rounds(spark, sf):
+    """Five training rounds of nine rows, with the levels in turn."""
+    return grading.partition_rounds(table(spark, sf, "labels").select("doc_id", "quality"), "quality", F.col("doc_id")).select("doc_id", *big("round"))
