@@ -24,9 +24,9 @@ def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
 
 def idf(posted: DataFrame, docs: DataFrame) -> DataFrame:
     """term, df, idf = ln(1 + N / df), twice for single characters and three times for pairs."""
-    n = docs.count()
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    return df.select("term", "df", (F.log(1 + F.lit(n) / F.col("df")) * F.when(F.char_length("term") == 1, 2).otherwise(3)).alias("idf"))
+    n = docs.agg(F.count("*").alias("_n"))  # one row, broadcast; nothing runs while the plan is built
+    df = posted.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n))
+    return df.select("term", "df", (F.log(1 + F.col("_n") / F.col("df")) * F.when(F.char_length("term") == 1, 2).otherwise(3)).alias("idf"))
 
 
 def lexical_scores(posted: DataFrame, weights: DataFrame, queries: DataFrame, key: str) -> DataFrame:
@@ -37,9 +37,10 @@ def lexical_scores(posted: DataFrame, weights: DataFrame, queries: DataFrame, ke
 
 def lexical_search(scores: DataFrame, key: str, limit: int = 20, cap: int = 20) -> DataFrame:
     """scores over their maximum, best first, ties by key; never more than ``cap``."""
-    best = F.max("score").over(Window.partitionBy("query_id"))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key)
-    return scores.withColumn("rank", F.row_number().over(w)).withColumn("relative", F.col("score") / best).where(F.col("rank") <= min(limit, cap))
+    # The rank is cut first, so that tasks keep few rows of a query before they meet; the best is among them.
+    front = scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= min(limit, cap))
+    return front.withColumn("relative", F.col("score") / F.max("score").over(Window.partitionBy("query_id")))
 
 
 def resolve_name(names: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
