@@ -35,3 +35,9 @@ def word_hashes(words: list[str]) -> np.ndarray:
     starts = np.concatenate([[0], ends[:-1] + 1])
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(raw.astype(np.uint64) * _power("up", BASE, len(raw)))])
     return mix64((sums[ends] - sums[starts]) * _power("down", INVERSE, len(raw))[starts] + (ends - starts).astype(np.uint64))
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash for each span ``values[start:end]`` of code points or bytes; equal spans hash alike wherever they stand."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values.astype(np.uint64) * _power("up", BASE, len(values)))])
+    return mix64((sums[ends] - sums[starts]) * _power("down", INVERSE, len(values) + 1)[starts] + (ends - starts).astype(np.uint64))
