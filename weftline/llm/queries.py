@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import ann, decontaminate, mixing, neardup, pii, ppm, quality, rollups, secrets, sharding
+from weftline.llm import align, ann, collocations, decontaminate, mixing, neardup, pii, ppm, quality, rollups, secrets, sharding, toxicity
 from weftline.llm.common import shared_dir, table
 
 
@@ -73,6 +73,19 @@ def op10_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.linked_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_rp_forest": op1_rp_forest,
     "op2_pii_spans": op2_pii_spans,
@@ -85,6 +98,9 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_benchmark_overlaps": op9_benchmark_overlaps,
     "op10_ppm_scores": op10_ppm_scores,
+    "op11_toxicity": op11_toxicity,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_collocations": op13_collocations,
 }
 
 #: Streams, blocks, epochs, ranks and the draw of shards by the same rules.
@@ -202,4 +218,24 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard, ro
   CAST(NULL AS INT) AS grown_shard FROM c JOIN p USING (g)
 """
 
-ORACLES: dict[str, str] = {"op5_lpt_shards": _SHARD_SQL, "op9_benchmark_overlaps": _OVERLAP_SQL, "op8_source_mix": _MIX_SQL, "token_rollup_words": _ROLLUP_SQL}
+#: All n-grams are counted at once; no pivots are needed.
+_COLLOCATION_SQL = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) AS ks(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS s FROM f WHERE k > 1 AND f >= 10),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+scored AS (SELECT cuts.lang, cuts.k, cuts.phrase, a, cut, l.f AS l, r.f AS r, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = array_to_string(s[1:cut], ' ') JOIN f r ON r.lang = cuts.lang AND r.phrase = array_to_string(s[cut + 1:], ' ')),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS first FROM scored),
+inner_ AS (SELECT lang, unnest([array_to_string(s[1:2], ' '), array_to_string(s[2:3], ' ')]) AS phrase, a FROM c WHERE k = 3),
+longer AS (SELECT lang, phrase, max(a) AS longer FROM inner_ GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN longer USING (lang, phrase) WHERE first = 1 AND (longer IS NULL OR 100 * longer < 50 * a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op13_collocations": _COLLOCATION_SQL, "op5_lpt_shards": _SHARD_SQL, "op9_benchmark_overlaps": _OVERLAP_SQL, "op8_source_mix": _MIX_SQL, "token_rollup_words": _ROLLUP_SQL}
