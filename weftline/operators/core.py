@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import any_keyword, has_text, to_num, tokens
+from weftline.session import checkpointed
 
 
 @dataclass
@@ -24,12 +25,20 @@ class GraphStore:
     views: dict[str, DataFrame]
     edges: DataFrame
     extras: dict[str, DataFrame] = field(default_factory=dict)
+    #: The same edges laid out by their target, where there are such (weftline.operators.storage).
+    edges_by_dst: DataFrame | None = None
 
     def view(self, etype: str) -> DataFrame:
         if etype not in self.views:
             raise KeyError(f"no entity type {etype!r}; there are {sorted(self.views)}")
         return self.views[etype]
 
+    def steps(self, end: str, relation: str | None = None) -> DataFrame:
+        """node_id, next_id: the edges seen from one ``end`` (src or dst), of one relation if given."""
+        edges = self.edges_by_dst if end == "dst" and self.edges_by_dst is not None else self.edges
+        other = "dst" if end == "src" else "src"
+        return (edges if relation is None else edges.where(F.col("relation") == relation)).select(F.col(end).alias("node_id"), F.col(other).alias("next_id"))
+
     def all_nodes(self) -> DataFrame:
         """__id__ and __type__ of every node."""
         return reduce(DataFrame.unionByName, (v.select("__id__", "__type__") for v in self.views.values()))
@@ -63,20 +72,29 @@ def traverse_relations(store: GraphStore, starts: DataFrame, relation: str | Non
     """A3: nodes within ``max_hops`` of each of ``starts`` (start_id): start_id, node_id, __type__, hops (least).
 
     A start is returned only if a cycle leads back to it. ``relation`` None walks any. An unknown
-    direction or start gives nothing. One equi-join with the edges of the relation for each hop.
+    direction or start gives nothing. Each hop joins the edges with the nodes that the hop before has
+    found for the first time, and no other; the walk ends when there are none. Beyond one hop the new
+    nodes of a hop are checkpointed; a single hop stays lazy.
     """
-    edges = store.edges if relation is None else store.edges.where(F.col("relation") == relation)
     steps = {"out": [("src", "dst")], "in": [("dst", "src")], "both": [("src", "dst"), ("dst", "src")]}.get(direction, [])
-    schema = starts.select("start_id", F.col("start_id").alias("node_id"), F.lit(0).alias("hops"))
-    if not steps:
-        return schema.limit(0).withColumn("__type__", F.lit("")).select("start_id", "node_id", "__type__", "hops")
-    pairs = reduce(DataFrame.union, (edges.select(F.col(a).alias("node_id"), F.col(b).alias("next_id")) for a, b in steps)).distinct()
-    found, front = None, schema
+    front = starts.select("start_id", F.col("start_id").alias("node_id")).distinct()
+    if not steps or max_hops < 1:
+        return front.limit(0).select("start_id", "node_id", F.lit("").alias("__type__"), F.lit(0).alias("hops"))
+    found: DataFrame | None = None
     for hop in range(1, max_hops + 1):
-        front = front.join(pairs, "node_id").select("start_id", F.col("next_id").alias("node_id")).distinct().withColumn("hops", F.lit(hop))
-        found = front if found is None else found.union(front)
-    least = found.groupBy("start_id", "node_id").agg(F.min("hops").alias("hops"))
-    return least.join(store.all_nodes().withColumnRenamed("__id__", "node_id"), "node_id", "left").select("start_id", "node_id", "__type__", "hops")
+        reached = [front.join(store.steps(a, relation), "node_id").select("start_id", F.col("next_id").alias("node_id")) for a, _ in steps]
+        new = reduce(DataFrame.union, reached).distinct()
+        if found is not None:
+            new = new.join(found, ["start_id", "node_id"], "left_anti")
+        new = new.withColumn("hops", F.lit(hop))
+        if hop < max_hops:
+            new = checkpointed(new)
+            if new.isEmpty():
+                break
+            front = new.where("node_id != start_id").select("start_id", "node_id")  # a start has been walked from
+        found = new if found is None else found.unionByName(new)
+    found = new if found is None else found
+    return found.join(store.all_nodes().withColumnRenamed("__id__", "node_id"), "node_id", "left").select("start_id", "node_id", "__type__", "hops")
 
 
 def project_properties(rows: DataFrame, props: Sequence[str]) -> DataFrame:
@@ -95,7 +113,7 @@ def filter_categorical(rows: DataFrame, name: str, values: Sequence[str], mode:
 
 def filter_relation_connected(rows: DataFrame, store: GraphStore, via: str, target_etype: str = "", target_filter: Mapping[str, object] | None = None) -> DataFrame:
     """Rows with an out edge ``via`` to a target of the type whose fields contain the texts; each row once."""
-    edges = store.edges.where(F.col("relation") == via)
+    edges = store.steps("dst", via).toDF("dst", "src")
     if target_etype:
         targets = substring_filter(store.view(target_etype), target_filter).select(F.col("__id__").alias("dst"))
     elif target_filter:
