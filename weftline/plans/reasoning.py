@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from weftline.operators import axioms, core
-from weftline.plans import ontology
+from weftline.operators.lexindex import LexicalIndex
+from weftline.plans import catalog, ontology
 from weftline.plans.catalog import query
 from weftline.schema import Schema
+from weftline.session import shared_folder
 from weftline.sources.tables import table
 
 #: Customers and suppliers are parties and nations and regions places; hosts is located_in seen from the place. Things and entities are the same.
@@ -110,3 +114,26 @@ def traverse_ten_hops(spark, sf):
     starts = customer.where("c_mktsegment = 'BUILDING'").select(key("Customer", F.col("c_custkey")).alias("start_id")).union(nation.select(key("Nation", n)))
     store = core.GraphStore({e: ontology.view(spark, sf, e) for e in ("Nation", "Region")}, edges)
     return core.traverse_relations(store, starts, "to", "out", 10).select("start_id", "node_id", F.col("hops").cast("long").alias("hops"))
+
+
+_TERMS = "list_concat(list_transform(range(1, length(t) + 1), lambda i: t[i:i]), list_transform(range(1, length(t)), lambda i: t[i:i+1]))"
+
+
+@query(rf"""
+WITH docs AS (SELECT conv_id * 1000 + turn AS key, regexp_replace(coalesce(text, ''), '[\s\p{{Z}}]+', '', 'g') AS t FROM conversations),
+p AS (SELECT DISTINCT key, unnest({_TERMS}) AS term FROM docs),
+w AS (SELECT term, ln(1 + (SELECT count(*) FROM docs) / count(*)) * CASE WHEN length(term) = 1 THEN 2 ELSE 3 END AS idf FROM p GROUP BY term),
+q AS (SELECT item_id AS query_id, regexp_replace(text, '[\s\p{{Z}}]+', '', 'g') AS t FROM benchmark),
+qt AS (SELECT DISTINCT query_id, unnest({_TERMS}) AS term FROM q),
+s AS (SELECT query_id, key, sum(idf) AS score FROM p JOIN w USING (term) JOIN qt USING (term) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, key) AS rank FROM s)
+SELECT query_id, key, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM r WHERE rank <= 20
+""")
+def lexical_index_topk(spark, sf):
+    """Every benchmark item's 20 nearest turns, from an index of all turns that is stored in two batches."""
+    turns = table(spark, sf, "conversations").withColumn("key", F.col("conv_id") * 1000 + F.col("turn"))
+    index = LexicalIndex(spark, f"{shared_folder(spark)}/lexical-{uuid.uuid4().hex}")
+    index.add("even", turns.where("conv_id % 2 = 0"), "key", "text")
+    index.add("odd", turns.where("conv_id % 2 <> 0"), "key", "text")
+    found = index.search(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+    return found.hits.select("query_id", F.col("key").cast("long").alias("key"), *catalog.big("rank"), F.round("score", 6).alias("score"))

@@ -38,3 +38,13 @@ def checkpointed(rows: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
     return rows.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: ``spark.checkpoint.dir``, or in a local session without it a folder of its own."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named:
+        checkpointed(spark.range(0))
+        named = context.getCheckpointDir()
+    return str(named)
