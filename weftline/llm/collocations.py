@@ -6,9 +6,10 @@ fragment: the word and up to two words on either side, rewritten so that it ends
 than the pivot and before any word too rare for a candidate. Fragments travel to their pivot, equal
 ones of a batch as one row with a count; there the n-grams that hold the pivot are counted, and no other.
 
-"Rarest" is told by a table of BUCKETS hashed counts, which has the same size for every corpus. Words
-that share a bucket only make fragments longer; counts stay exact, as any one order of words gives
-every n-gram just one pivot. Pivots of many occurrences are dealt over several tasks.
+"Rarest" is told by a table of BUCKETS hashed counts of the words that are frequent enough; it has the
+same size for every corpus. Words that share a bucket only make fragments longer; counts stay exact, as
+any one order of words gives every n-gram just one pivot. Pivots of many occurrences are dealt over
+several tasks.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,6 @@ from weftline.llm.wordhash import mix64, word_hashes
 
 #: Fixed values of the task: least count, share of a phrase's occurrences inside a longer candidate that drops it, rows for each language.
 LEAST, INSIDE, TOP = 10, 50, 2_000
-LONGEST = 3
 BUCKETS = 1 << 22
 #: Occurrences of a pivot that one task takes at most, about.
 PIVOT_ROWS = 200_000
@@ -42,15 +43,17 @@ def language(lang: Column) -> Column:
     return F.coalesce(lang, F.lit("und"))
 
 
-def _by_language(part: pa.RecordBatch) -> Iterator[tuple[str, list[list[bytes]]]]:
-    """Languages of a batch with pieces of words, in slices of bounded size."""
+def _by_language(part: pa.RecordBatch) -> Iterator[tuple[str, list[bytes], list[int]]]:
+    """Languages of a batch in slices of bounded size: all words, and the number of words of each piece."""
     langs, texts = part.column("lang").to_pylist(), part.column("text").to_pylist()
     for some in slices(texts):
         held: dict[str, list[bytes]] = {}
         for lang, text in zip(langs[some], texts[some], strict=True):
             held.setdefault(lang, []).append((text or "").encode().translate(_PLAIN))
         for lang, plain in held.items():
-            yield lang, [words for piece in b"\n".join(plain).split(b"\n") if (words := piece.split())]
+            whole = b"\n".join(plain)
+            if words := whole.split():  # what parts pieces is white space here, too
+                yield lang, words, [len(p.split()) for p in whole.split(b"\n")]
 
 
 def _buckets(lang: str, words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,10 +68,8 @@ def count_words(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for lang, pieces in _by_language(part):
-                counts: Counter[bytes] = Counter()
-                for words in pieces:
-                    counts.update(words)
+            for lang, every, _ in _by_language(part):
+                counts = Counter(every)
                 words = list(counts)
                 made = [pa.array([lang] * len(words), pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(_buckets(lang, words, buckets)[0]), pa.array(list(counts.values()), pa.int64())]
                 yield pa.RecordBatch.from_arrays(made, ["lang", "word", "bucket", "n"])
@@ -77,21 +78,26 @@ def count_words(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return rows.mapInArrow(batches, "lang string, word string, bucket long, n long").groupBy("lang", "word", "bucket").agg(F.sum("n").alias("n"))
 
 
-def _fragments(lang: str, pieces: list[list[bytes]], weights: np.ndarray, least: int) -> Iterator[tuple[int, bytes, bytes, int, int]]:
-    """(place of the pivot, pivot, fragment, times, pivot's weight) of a language's pieces."""
-    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    flat = pa.array([w for words in pieces for w in words], pa.binary()).dictionary_encode()
-    code, names = flat.indices.to_numpy().astype(np.int64), flat.dictionary.to_pylist()
-    bucket, hashes = _buckets(lang, names, len(weights))
-    weight = weights[bucket].astype(np.int64)
-    # A word's rank is its place among the batch's words from rare to frequent; any two words stand alike in every batch.
-    order = sorted(range(len(names)), key=lambda i: (weight[i], hashes[i], names[i]))
+def _ranks(weight: np.ndarray, hashes: np.ndarray, names: list[bytes], least: int) -> np.ndarray:
+    """Places of a batch's words from rare to frequent, -1 for those too rare. Any two words stand alike in every batch."""
+    order = np.lexsort((hashes, weight))
+    if ((np.diff(weight[order]) == 0) & (hashes[order][1:] == hashes[order][:-1])).any():
+        order = np.array(sorted(range(len(names)), key=lambda i: (weight[i], hashes[i], names[i])))
     rank = np.empty(len(names), np.int64)
     rank[order] = np.arange(len(names))
     rank[weight < least] = -1
+    return rank
+
+
+def _fragments(lang: str, words: list[bytes], lengths: list[int], weights: np.ndarray, least: int, pivot_rows: int) -> list[pa.Array]:
+    """key, at, fragment, n of a language's words, laid out in pieces."""
+    flat = pa.array(words, pa.binary()).dictionary_encode()
+    code, names = flat.indices.to_numpy().astype(np.int64), flat.dictionary.to_pylist()
+    bucket, hashes = _buckets(lang, names, len(weights))
+    weight = weights[bucket].astype(np.int64)
     n = len(code)
-    r = np.concatenate([[-1, -1], rank[code], [-1, -1]])  # two cut places on either side
-    piece = np.concatenate([[-1, -1], np.repeat(np.arange(len(pieces)), lengths), [-1, -1]])
+    r = np.concatenate([[-1, -1], _ranks(weight, hashes, names, least)[code], [-1, -1]])  # two cut places on either side
+    piece = np.concatenate([[-1, -1], np.repeat(np.arange(len(lengths)), lengths), [-1, -1]])
     here = np.arange(n) + 2
     own, same = r[here], lambda k: piece[here + k] == piece[here]
     left1 = same(-1) & (r[here - 1] > own)  # a word as rare on the left would own the n-gram itself
@@ -101,56 +107,62 @@ def _fragments(lang: str, pieces: list[list[bytes]], weights: np.ndarray, least:
     at = np.flatnonzero((own >= 0) & (left + right > 0))
     left, right = left[at], right[at]
     padded = np.concatenate([[-1, -1], code, [-1, -1]]) + 1
-    spots = [np.where((k >= -left) & (k <= right), padded[at + 2 + k], 0) for k in range(-2, 3)]
-    order = np.lexsort(spots)
-    spots = np.stack(spots)[:, order]
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(spots) != 0).any(0)])) if len(at) else np.zeros(0, np.int64)
-    times = np.diff(np.concatenate([new, [len(at)]]))
-    for spot, count in zip(spots[:, new].T.tolist(), times.tolist(), strict=True):
-        pivot = spot[2] - 1
-        yield (spot[0] > 0) + (spot[1] > 0), names[pivot], b" ".join(names[c - 1] for c in spot if c), count, int(weight[pivot])
-
-
-def fragments(docs: DataFrame, words: DataFrame, least: int = LEAST, buckets: int = BUCKETS, pivot_rows: int = PIVOT_ROWS) -> DataFrame:
-    """lang, pivot, at, fragment, salt, n: the fragments of ``docs`` by pivot. ``words`` is count_words, staged; ``buckets`` numbers of it are broadcast."""
+    spots = np.stack([np.where((k >= -left) & (k <= right), padded[at + 2 + k], 0) for k in range(-2, 3)])
+    # Equal fragments of the batch as one row; a hash sorts them, and is checked.
+    named = np.concatenate([np.zeros(1, np.uint64), hashes])
+    mark = np.zeros(len(at), np.uint64)
+    for spot in spots:
+        mark = mix64(mark + named[spot] + np.uint64(0x9E3779B97F4A7C15))
+    _, first, inverse, times = np.unique(mark, return_index=True, return_inverse=True, return_counts=True)
+    if (spots != spots[:, first[inverse]]).any():
+        _, first, times = np.unique(spots, axis=1, return_index=True, return_counts=True)
+    spots, mark, left = spots[:, first], mark[first], left[first]
+    pivot = spots[2] - 1
+    tasks = (weight[pivot] // pivot_rows + 1).astype(np.uint64)
+    key = mix64(hashes[pivot] + (mark % tasks) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(1) & ~np.uint64(1) | (tasks == 1).astype(np.uint64)
+    texts = flat.dictionary.cast(pa.string())
+    parts = [texts.take(pa.array(spot - 1, mask=spot == 0)) for spot in spots]
+    return [pa.array(key.astype(np.int64)), pa.array(left.astype(np.int32)), pc.binary_join_element_wise(*parts, " ", null_handling="skip"), pa.array(times.astype(np.int64))]
+
+
+def fragments(docs: DataFrame, words: DataFrame, least: int = LEAST, pivot_rows: int = PIVOT_ROWS, buckets: int = BUCKETS) -> DataFrame:
+    """lang, key, at, fragment, n: the fragments of ``docs`` and the pivot's place in them. ``words`` is count_words, staged; ``buckets`` numbers of it are broadcast.
+
+    ``key`` stands for the pivot. It is odd if the pivot's fragments are all under one key; those of a
+    pivot of more than ``pivot_rows`` occurrences are dealt over several even keys.
+    """
     spark = docs.sparkSession
     ship(spark)
-    found = words.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
+    found = words.where(F.col("n") >= least).groupBy("bucket").agg(F.max("n").alias("n")).toArrow()
     weights = np.zeros(buckets, np.int32)
     weights[found.column("bucket").to_numpy()] = np.minimum(found.column("n").to_numpy(), (1 << 31) - 1)
     shared = spark.sparkContext.broadcast(weights)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for lang, pieces in _by_language(part):
-                rows = list(_fragments(lang, pieces, shared.value, least)) if pieces else []
-                if rows:
-                    at, pivot, text, times, weight = zip(*rows, strict=True)
-                    tasks = np.array(weight) // pivot_rows + 1
-                    salt = word_hashes([t.decode().replace(" ", "\x00") for t in text]) % tasks.astype(np.uint64)
-                    texts = [pa.array(x, pa.binary()).cast(pa.string()) for x in (pivot, text)]
-                    made = [pa.array([lang] * len(rows), pa.string()), texts[0], pa.array(at, pa.int32()), texts[1], pa.array(salt.astype(np.int64)), pa.array(times, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(made, ["lang", "pivot", "at", "fragment", "salt", "n"])
+            for lang, every, lengths in _by_language(part):
+                made = _fragments(lang, every, lengths, shared.value, least, pivot_rows)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(made[0]), pa.string()), *made], ["lang", "key", "at", "fragment", "n"])
 
     rows = docs.select(language(F.col("lang")).alias("lang"), "text").where("text is not null")
-    return rows.mapInArrow(batches, "lang string, pivot string, at int, fragment string, salt long, n long")
+    return rows.mapInArrow(batches, "lang string, key long, at int, fragment string, n long")
 
 
-def owned_phrases(parts: DataFrame) -> DataFrame:
-    """lang, phrase, k, a: n-grams of fragments that hold the pivot. One shuffle by pivot; the parts of a salted pivot meet in a second, of sums."""
-    split = F.split("fragment", " ")
-    routed = parts.repartition("lang", "pivot", "salt").select("lang", "pivot", "salt", "at", "n", split.alias("w"))
+def owned_phrases(parts: DataFrame, least: int = LEAST) -> DataFrame:
+    """lang, phrase, a: n-grams of fragments that hold the pivot, ``least`` or more.
 
-    def grams_of(k: int) -> Column:
-        """The n-grams of ``k`` words that hold the pivot's place."""
-        low, high = F.greatest(F.col("at") - (k - 1), F.lit(0)), F.least(F.col("at"), F.size("w") - k)
-        gram = lambda s: F.struct(F.lit(k).alias("k"), F.array_join(F.slice("w", s + 1, k), " ").alias("phrase"))
-        return F.when(low <= high, F.transform(F.sequence(low, high), gram))
-
-    none = F.array().cast("array<struct<k:int,phrase:string>>")
-    grams = routed.select("lang", "pivot", "salt", "n", F.inline(F.concat(*(F.coalesce(grams_of(k), none) for k in range(2, LONGEST + 1)))))
-    mined = grams.groupBy("lang", "pivot", "salt", "phrase", "k").agg(F.sum("n").alias("n"))
-    return mined.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("a"))
+    One shuffle by the pivot's key, where counts are whole; only the phrases of a pivot that is dealt
+    over several keys meet in a second.
+    """
+    w = F.split("fragment", " ")
+    word = lambda k: F.get(w, F.col("at") + k)  # noqa: E731  null beyond the fragment
+    routed = parts.repartition("lang", "key").select("lang", "key", "n", "at", *(word(k).alias(f"w{k + 2}") for k in range(-2, 3)))
+    gram = lambda first, *more: F.concat(F.col(first), *(x for name in more for x in (F.lit(" "), F.col(name))))  # noqa: E731  null if a word is
+    grams = F.array(gram("w1", "w2"), gram("w2", "w3"), gram("w0", "w1", "w2"), gram("w1", "w2", "w3"), gram("w2", "w3", "w4"))
+    mined = routed.select("lang", "key", "n", F.explode(F.array_compact(grams)).alias("phrase")).groupBy("lang", "key", "phrase").agg(F.sum("n").alias("a"))
+    whole = F.col("key").bitwiseAND(F.lit(1)) == 1
+    dealt = mined.where(~whole).groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    return mined.where(whole & (F.col("a") >= least)).select("lang", "phrase", "a").unionByName(dealt)
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -166,7 +178,8 @@ def collocations(docs: DataFrame, least: int = LEAST, inside: int = INSIDE, top:
     empty table gives no rows.
     """
     words = staged(count_words(docs, buckets), "words")
-    found = staged(owned_phrases(fragments(docs, words, least, buckets, pivot_rows)).where(F.col("a") >= least), "phrases")
+    found = owned_phrases(fragments(docs, words, least, pivot_rows, buckets), least)
+    found = staged(found.withColumn("k", F.size(F.split("phrase", " "))), "phrases")
     known = words.where(F.col("n") >= least).select("lang", F.col("word").alias("part"), F.col("n").alias("f"))
     pairs = found.where("k = 2").select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"))
     w = F.split("phrase", " ")
