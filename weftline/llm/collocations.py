@@ -161,8 +161,9 @@ def owned_phrases(parts: DataFrame, least: int = LEAST) -> DataFrame:
     grams = F.array(gram("w1", "w2"), gram("w2", "w3"), gram("w0", "w1", "w2"), gram("w1", "w2", "w3"), gram("w2", "w3", "w4"))
     mined = routed.select("lang", "key", "n", F.explode(F.array_compact(grams)).alias("phrase")).groupBy("lang", "key", "phrase").agg(F.sum("n").alias("a"))
     whole = F.col("key").bitwiseAND(F.lit(1)) == 1
+    mined = staged(mined.where(~whole | (F.col("a") >= least)), "mined")
     dealt = mined.where(~whole).groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
-    return mined.where(whole & (F.col("a") >= least)).select("lang", "phrase", "a").unionByName(dealt)
+    return mined.where(whole).select("lang", "phrase", "a").unionByName(dealt)
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
