@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from weftline.functions.dates import answer_equivalent_udf, cn_num, extract_digits, normalize_answer_udf
+from weftline.functions.dates import answer_digits, normalized_answer, numeral, same_answer
+from weftline.functions.text import stripped
 
 #: The standard refusal and openings that count as one.
 REFUSAL = "对话中未提及该信息"
@@ -41,17 +39,10 @@ def is_clean_refusal(answer: Column) -> Column:
     return opens & (F.regexp_count(rest, F.lit(r"\d")) <= 4)
 
 
-@F.pandas_udf(T.StringType())
-def _counted_digits(answer: pd.Series) -> pd.Series:
+def _counted_digits(answer: Column) -> Column:
     """Digits of an answer, or of the Chinese numeral that opens it."""
-    def one(a):
-        d = extract_digits(a)
-        if not d and (m := re.match("[零一二两三四五六七八九十]{1,3}", str(a or "").strip())):
-            n = cn_num(m[0])
-            d = "" if n is None else str(n)
-        return d
-
-    return answer.map(one)
+    opening = numeral(F.regexp_extract(stripped(F.coalesce(answer, F.lit(""))), "^([零一二两三四五六七八九十]{1,3})", 1))
+    return F.coalesce(F.nullif(answer_digits(answer), F.lit("")), opening.cast("string"), F.lit(""))
 
 
 def deterministic_grade(rows: DataFrame) -> DataFrame:
@@ -60,7 +51,7 @@ def deterministic_grade(rows: DataFrame) -> DataFrame:
     A null gold asks for a refusal; the trap's text makes it wrong. Category 5 with a gold needs the gold
     in front; a whole-number gold needs its digits; anything else the sure equivalence of G9.
     """
-    norm = rows.withColumns({"_p": normalize_answer_udf("answer"), "_g": normalize_answer_udf("gold"), "_t": normalize_answer_udf("trap"), "_same": answer_equivalent_udf("gold", "answer"), "_digits": _counted_digits("answer")})
+    norm = rows.withColumns({"_p": normalized_answer("answer"), "_g": normalized_answer("gold"), "_t": normalized_answer("trap"), "_same": same_answer("gold", "answer"), "_digits": _counted_digits(F.col("answer"))})
     asked = F.col("gold").isNull()
     grade = (
         F.when(F.col("answer").isNull(), "wrong")

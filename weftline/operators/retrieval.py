@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.dates import date_in_range, resolve_relative_udf
+from weftline.functions.dates import date_in_range, relative_date
 from weftline.functions.text import any_keyword, has_text, terms
 from weftline.operators.core import GraphStore, traverse_relations
 from weftline.operators.grading import REFUSAL, REFUSAL_OPENINGS
@@ -361,7 +361,7 @@ class ToolBox:
     def compute_date(self, anchor: str, expression: str) -> DataFrame:
         """the date that an expression means, seen from an ISO anchor."""
         one = self.facts.sparkSession.createDataFrame([(anchor, expression)], "anchor string, expression string")
-        return one.select("anchor", "expression", resolve_relative_udf(F.to_date("anchor"), F.col("expression")).alias("r")).select("anchor", "expression", "r.*")
+        return one.select("anchor", "expression", relative_date(F.to_date("anchor"), F.col("expression")).alias("r")).select("anchor", "expression", "r.*")
 
     def walk(self, start: str, relation: str = "", direction: str = "out", hops: int = 1) -> DataFrame:
         """up to 40 nodes within one or two hops; an empty relation is any."""

@@ -234,7 +234,7 @@ def resolve_relative(spark, sf):
     n = (F.col("o_orderkey") % 9 + 1).cast("string")
     kind = F.col("o_orderkey") % 4
     said = F.when(kind == 0, "去年").when(kind == 1, F.concat(n, F.lit("个月前"))).when(kind == 2, F.concat(n, F.lit("个周末前"))).otherwise(F.concat(n, F.lit("9999999999个月前")))
-    rows = table(spark, sf, "orders").select("o_orderkey", dates.resolve_relative_udf(F.to_date("o_orderdate"), said).alias("r"))
+    rows = table(spark, sf, "orders").select("o_orderkey", dates.relative_date(F.to_date("o_orderdate"), said).alias("r"))
     return rows.select("o_orderkey", "r.value", "r.granularity")
 
 
@@ -243,7 +243,7 @@ def normalize_answer(spark, sf):
     """Dates in digits, no marks or space, lower case."""
     day = F.to_date("o_orderdate")
     said = F.concat(F.year(day).cast("string"), F.lit(" 年 "), F.month(day).cast("string"), F.lit("月"), F.dayofmonth(day).cast("string"), F.lit("日。（OK！）"))
-    return table(spark, sf, "orders").select("o_orderkey", dates.normalize_answer_udf(said).alias("answer"))
+    return table(spark, sf, "orders").select("o_orderkey", dates.normalized_answer(said).alias("answer"))
 
 
 @query("SELECT o_orderkey, o_orderkey % 5 <> 0 AS same FROM orders")
@@ -252,7 +252,7 @@ def answer_equivalent(spark, sf):
     year = F.year(F.to_date("o_orderdate"))
     gold = F.concat(year.cast("string"), F.lit("年"))
     answer = F.concat((year + F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(0)).cast("string"), F.lit("年3月"))
-    return table(spark, sf, "orders").select("o_orderkey", dates.answer_equivalent_udf(gold, answer).alias("same"))
+    return table(spark, sf, "orders").select("o_orderkey", dates.same_answer(gold, answer).alias("same"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey % 20 AS BIGINT) END AS nights FROM orders")
