@@ -245,3 +245,15 @@ def test_byte_pairs_in_pieces_are_the_same(spark):
     assert [t for p in rollups.pieces(text) for t in encoding.encode_ordinary(p)] == encoding.encode_ordinary(text)
     rows = rollups.counted(spark.createDataFrame([(1, "one two", "s", "en"), (2, None, "s", "en")], "doc_id long, text string, source string, lang string"), "byte_bpe_50k@1").collect()
     assert [r.tokens for r in sorted(rows)] == [2, 0]
+
+
+def test_rollup_of_text_ids_and_many_copies(spark, tmp_path):
+    docs = spark.createDataFrame([("d1", "a b", "s", "en")] * 5 + [(None, "x", "s", "en")] * 3 + [("d2", None, "s", None)], "doc_id string, text string, source string, lang string")
+    rollup = rollups.TokenRollup(spark, f"file://{tmp_path}/r", "string")
+    assert rollup.commit("a", inserts=rollups.counted(docs, "words@1"))
+    assert {tuple(r) for r in rollup.totals().collect()} == {("s", "en", "words@1", 8, 13), ("s", None, "words@1", 1, 0)}
+    rollup.commit("b", deletes=spark.createDataFrame([("d1", "words@1"), (None, "words@1"), ("none", "words@1")], "doc_id string, tokenizer string"))
+    assert {tuple(r) for r in rollup.totals().collect()} == {("s", None, "words@1", 1, 0)}
+    assert spark.read.parquet(f"file://{tmp_path}/r/entries/b").count() == 2
+    rollup.commit("c", revisions=rollups.counted(docs.where("doc_id = 'd1'").withColumn("source", F.lit("t")), "words@1"))
+    assert ("t", "en", "words@1", 5, 10) in {tuple(r) for r in rollup.totals().collect()}

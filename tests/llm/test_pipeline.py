@@ -5,7 +5,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftline.llm import decontaminate, mixing, quality
+from weftline.llm import decontaminate, mixing, neardup, quality, sharding
 from weftline.llm.common import table
 
 
@@ -62,3 +62,22 @@ def test_odd_rows(spark, tmp_path):
 
 def test_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, tables(spark, tmp_path, [], [], [])).collect() == []
+
+
+def test_internal_names_as_columns(spark):
+    """Columns named like the stages' own, in any case, come out as they went in."""
+    names = ("_key", "_group", "_n", "_times", "_mixed", "_copy", "_rows", "_hit", "_taken", "_size", "_KEY_", "group", "size", "n", "rows", "shards", "node", "hash", "class_id", "words", "item", "score")
+    docs = spark.createDataFrame([(1, "one two three four", "en", "s"), (1, "one two three four", "en", "s"), (2, "other words stand here", "en", "s"), (3, None, "en", None), (4, "held item text", "en", "s")], "doc_id long, text string, lang string, source string")
+    docs = docs.withColumn("n_chars", F.lit(1).cast("long")).withColumns({c: F.concat(F.lit(c), F.lit("-"), F.col("doc_id")) for c in names})
+    items = spark.createDataFrame([(1, "held item text")], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    made = {
+        "quality": (quality.keep_good(docs, labels), {1, 2, 3, 4}), "near": (neardup.keep_one(docs), {1, 2, 3, 4}), "leaks": (decontaminate.drop_contaminated(docs, items), {1, 2, 3}),
+        "mix": (mixing.mixed_documents(docs), None), "shards": (sharding.sharded(docs), {1, 2, 3, 4}),
+    }
+    for name, (out, ids) in made.items():
+        assert out.columns == [*docs.columns, *(["shard"] if name == "shards" else [])], name
+        rows = out.collect()
+        assert all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in names), name
+        assert ids is None or {r.doc_id for r in rows} == ids, name
+    assert "shard" in made["shards"][0].columns and sharding.sharded(docs.withColumn("SHARD", F.lit(7))).columns.count("shard") == 1

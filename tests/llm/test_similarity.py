@@ -203,3 +203,43 @@ def test_nearest_of_odd_rows(spark):
         assert [(r.vec_id, -r.score) for r in got if r.query_id == q] == [(i, pytest.approx(s)) for s, i in exact]
     assert {r.query_id for r in got} == {0, 1}
     assert ann.nearest(data.limit(0), data.limit(0)).collect() == []
+
+
+def evenly(words, every):
+    return [f"new{i}" if i % every == every - 1 else w for i, w in enumerate(words)]
+
+
+def clustered(words, rng):
+    most = neardup.most_edits(len(words))
+    at = rng.randrange(len(words) - most)
+    return [f"new{i}" if at <= i < at + most else w for i, w in enumerate(words)]
+
+
+def scattered(words, rng):
+    spots = set(rng.sample(range(len(words)), neardup.most_edits(len(words))))
+    return [f"new{i}" if i in spots else w for i, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("n", [15, 24, 25, 60, 199, 200, 250, 1000, 3000])
+def test_keys_shared_at_the_threshold(n):
+    """Similar pairs share a key wherever the edits stand; evenly spaced ones are the hardest for windows."""
+    rng = random.Random(n)
+    tries = 40 if n < 1000 else 12
+    for edit, least in ((lambda w: evenly(w, 5), 0.99), (lambda w: clustered(w, rng), 0.95), (lambda w: scattered(w, rng), 0.95)):
+        met = 0
+        for t in range(tries):
+            words = [f"w{t}x{rng.randrange(10**6)}" for _ in range(n)]
+            other = edit(words)
+            assert neardup.similar(" ".join(words), " ".join(other))
+            met += bool(np.isin(neardup.candidate_keys(word_hashes(words)), neardup.candidate_keys(word_hashes(other))).any())
+        assert met / tries >= (least if n >= 20 else 0.95), (n, met, tries)
+
+
+def test_every_fifth_word_replaced(spark):
+    rng = random.Random(8)
+    rows = []
+    for p in range(20):
+        words = [f"w{p}x{rng.randrange(10**6)}" for _ in range(250)]
+        rows += [(2 * p, " ".join(words)), (2 * p + 1, " ".join(evenly(words, 5)))]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(40)}

@@ -86,6 +86,21 @@ def spread_join(rows: DataFrame, keyed: DataFrame, key: str, count: str) -> Data
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores after it until no column of ``df`` has that name in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def columns(df: DataFrame, names: list[str]) -> list[Column]:
+    """Columns by their very names, also those with dots."""
+    return [df[f"`{c}`"] for c in names]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import staged
+from weftline.llm.common import free, staged
 
 #: Fixed masks: least and most tokens of an item, offsets of the inspected tokens.
 CLASSES = (
@@ -150,5 +150,6 @@ def find_overlaps(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item; rows are told apart by doc_id, null or not, and text."""
     key = F.struct(docs["doc_id"].alias("id"), F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")).alias("md5"))
-    hits = find_overlaps(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hits, key == hits["_hit"], "left_anti")
+    (hit,) = free(docs, "_hit")
+    hits = find_overlaps(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(hit)).distinct()
+    return docs.join(hits, key == hits[hit], "left_anti")

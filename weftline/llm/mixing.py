@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import discard, prefix_sum, spread_join, staged
+from weftline.llm.common import columns, discard, free, prefix_sum, spread_join, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order, repeating.
@@ -159,11 +159,13 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     The chance is a hash of doc_id and text, so reruns agree, and sums of sizes stay near the targets. Rows
     without tokens come once. All columns stay; a text moves only in one join, by doc_id and text.
     """
-    key = lambda df: F.struct(df["doc_id"].alias("id"), F.md5(F.coalesce(df["text"], F.lit("")).cast("binary")).alias("md5"))
-    spans, slots = mix(docs.select(key(docs).alias("doc_id"), "text", "source"))
-    taken = taken_words(spans, slots).groupBy(F.col("doc_id").alias("_mixed")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"), F.count("*").alias("_rows"))
-    chance = F.pmod(F.xxhash64(F.lit(SEED), "_mixed.id", "_mixed.md5"), F.lit(1 << 20)) / (1 << 20)
-    times = F.when(F.col("_size") == 0, 1).otherwise(F.floor(F.col("_taken") / F.greatest("_size", F.lit(1)) + chance)).cast("int")
-    copies = staged(taken.select("_mixed", times.alias("_times"), "_rows").where("_times > 0"), "mix-copies")
-    joined = spread_join(docs.withColumn("_mixed", key(docs)), copies, "_mixed", "_rows")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    key = F.struct(docs["doc_id"].alias("id"), F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")).alias("md5"))
+    spans, slots = mix(docs.select(key.alias("doc_id"), "text", "source"))
+    mixed, times, rows, copy = free(docs, "_mixed", "_times", "_rows", "_copy")
+    taken = taken_words(spans, slots).groupBy(F.col("doc_id").alias(mixed)).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"), F.count("*").alias(rows))
+    chance = F.pmod(F.xxhash64(F.lit(SEED), f"{mixed}.id", f"{mixed}.md5"), F.lit(1 << 20)) / (1 << 20)
+    often = F.when(F.col("_size") == 0, 1).otherwise(F.floor(F.col("_taken") / F.greatest("_size", F.lit(1)) + chance)).cast("int")
+    copies = staged(taken.select(mixed, often.alias(times), rows).where(F.col(times) > 0), "mix-copies")
+    joined = spread_join(docs.withColumn(mixed, key), copies, mixed, rows)
+    out = joined.withColumn(copy, F.explode(F.sequence(F.lit(1), times)))
+    return out.select(*columns(out, docs.columns))

@@ -6,12 +6,13 @@ k-mers in the same order, which follows edit similarity more closely than a set
 a key meet in a bucket, and links are verified by alignment over words: a link is a similarity of
 SIMILARITY or more.
 
-Windows are five words. Of a shorter text every window may hold a changed word, so texts under 200
-words have windows of three, and those under 25 of two; lengths of the classes overlap by as much as
-those of similar texts may differ, so each similar pair has a class in common. Texts of up to EXACT
-words have no sketches but exact keys: all that is left of them after as many deletions as a similar
-text may differ by, so of two such texts no link is lost. With scattered substitutions at the threshold
-itself two longer texts share a sketch with probability 0.95 or more; README has the measured curve.
+Windows are three words: a changed word spoils three of them at most, so wherever a fifth of the words
+is changed two fifths of the windows stay, a Jaccard of a quarter, and two such texts share none of 96
+sketches of two windows with probability (1 - 1/16)**96 = 0.002. Five words give no such bound: with every fifth
+word changed each window holds one, and all links of that kind were lost. Texts under 25 words have
+windows of two; lengths of the classes overlap by as much as those of similar texts may differ, so each
+similar pair has a class in common. Texts of up to EXACT words have no sketches but exact keys: all that is
+left of them after as many deletions as a similar text may differ by, so of two such texts no link is lost.
 
 In each bucket, cut by overlapping length classes, every text is compared with one hub, the least.
 Buckets of one hub are one group. Of a group that its hub leaves in several components, the rest is
@@ -34,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import BROADCAST_ROWS, discard, ship, spread_join, staged
+from weftline.llm.common import BROADCAST_ROWS, discard, free, ship, spread_join, staged
 from weftline.llm.components import components
 from weftline.llm.wordhash import mix64, word_hashes
 
 ORDER = 2
 #: Least and most words of a text, words of a window, sketches.
-CLASSES = ((12, 24, 2, 48), (20, 199, 3, 48), (160, 1 << 62, 5, 96))
+CLASSES = ((12, 24, 2, 48), (20, 1 << 62, 3, 96))
 #: Texts of up to this many words have exact keys.
 EXACT = 14
 #: Ranks of k-mers held at once.
@@ -412,17 +413,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each near-duplicate class: that of its least doc_id and the text it names; of equal rows, one."""
-    classes = staged(near_duplicates(docs), "nd-kept")
-    key = lambda doc_id, md5: F.struct(doc_id.alias("id"), md5.alias("md5")).alias("_key")
+    classes = staged(near_duplicates(docs.select("doc_id", "text")), "nd-kept")
+    (name,) = free(docs, "_key")
+    key = lambda doc_id, md5: F.struct(doc_id.alias("id"), md5.alias("md5")).alias(name)
     stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_md5") == F.col("class_md5"))
     counted = classes.groupBy(key(F.col("doc_id"), F.col("text_md5")), stays.alias("stays")).agg(F.count("*").alias("rows"))
     counted = staged(counted.where("not stays or rows > 1"), "nd-gone")
-    gone, repeated = counted.where("not stays").select("_key"), counted.where("stays").select("_key")
+    gone, repeated = counted.where("not stays").select(name), counted.where("stays").select(name)
     few = counted.count() <= BROADCAST_ROWS
     near = F.broadcast if few else (lambda df: df)
     mine = key(docs["doc_id"], F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))
-    left = docs.join(near(gone), mine == F.col("_key"), "left_anti")
+    left = docs.join(near(gone), mine == F.col(name), "left_anti")
     if repeated.isEmpty():
         return left
-    once = left.join(near(repeated), mine == F.col("_key"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(near(repeated), mine == F.col("_key"), "left_anti").unionByName(once)
+    once = left.join(near(repeated), mine == F.col(name), "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(near(repeated), mine == F.col(name), "left_anti").unionByName(once)

@@ -26,7 +26,7 @@ from weftline.llm.mixing import WORD
 #: Where the public tokenizers' vocabulary files are on driver and executors.
 VOCABULARIES = "/opt/tokenizers"
 KEYS = ["source", "lang", "tokenizer"]
-ENTRY = "doc_id long, source string, lang string, tokenizer string, sign int, tokens long"
+ENTRY = "source string, lang string, tokenizer string, sign int, tokens long"
 DELTA = "source string, lang string, tokenizer string, docs long, tokens long"
 
 #: The pattern that splits a text before byte pairs are merged.
@@ -65,7 +65,7 @@ def counted(docs: DataFrame, tokenizer: str, folder: str = VOCABULARIES) -> Data
     other names are byte-pair vocabularies in ``folder``. A null or empty text has 0 tokens.
     """
     name = tokenizer.partition("@")[0]
-    head = [F.col("doc_id").cast("long"), "source", "lang", F.lit(tokenizer).alias("tokenizer")]
+    head = ["doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer")]
     if name == "words":
         return docs.select(*head, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"))
     ship(docs.sparkSession)
@@ -76,14 +76,17 @@ def counted(docs: DataFrame, tokenizer: str, folder: str = VOCABULARIES) -> Data
             tokens = [sum(len(encoding.encode_ordinary(p)) for p in pieces(t)) if t else 0 for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", *KEYS)), pa.array(tokens, pa.int64())], ["doc_id", *KEYS, "tokens"])
 
-    return docs.select(*head, "text").mapInArrow(batches, "doc_id long, source string, lang string, tokenizer string, tokens long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select(*head, "text").mapInArrow(batches, f"doc_id {kind}, source string, lang string, tokenizer string, tokens long")
 
 
 class TokenRollup:
     """Totals under a folder that driver and executors share."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
+    def __init__(self, spark: SparkSession, path: str, id_type: str = "long") -> None:
+        """``id_type`` is the type of doc_id in all that is committed."""
         self.spark, self.path = spark, path.rstrip("/")
+        self.entry = f"doc_id {id_type}, {ENTRY}"
 
     def _has(self, path: str) -> bool:
         place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -102,7 +105,7 @@ class TokenRollup:
 
     def current(self) -> DataFrame:
         """doc_id, source, lang, tokenizer, tokens, copies of the documents counted now."""
-        net = self._read("entries", ENTRY).groupBy("doc_id", *KEYS, "tokens").agg(F.sum("sign").alias("copies"))
+        net = self._read("entries", self.entry).groupBy("doc_id", *KEYS, "tokens").agg(F.sum("sign").alias("copies"))
         return net.where("copies > 0")
 
     def commit(self, batch: str, inserts: DataFrame | None = None, deletes: DataFrame | None = None, revisions: DataFrame | None = None) -> bool:
@@ -124,13 +127,13 @@ class TokenRollup:
             keys = (gone[0] if len(gone) == 1 else gone[0].unionByName(gone[1])).distinct().toDF("_doc", "_tokenizer")
             now = self.current()
             old = now.join(keys, now["doc_id"].eqNullSafe(keys["_doc"]) & now["tokenizer"].eqNullSafe(keys["_tokenizer"]), "left_semi")
-            # Copies of a document are taken back one entry each.
-            signed.append(old.withColumn("sign", F.explode(F.array_repeat(F.lit(-1), F.col("copies").cast("int")))).select(*columns))
-        entries = signed[0] if signed else self.spark.createDataFrame([], ENTRY)
+            # All copies of a document are taken back by one entry.
+            signed.append(old.withColumn("sign", (-F.col("copies")).cast("int")).select(*columns))
+        entries = signed[0] if signed else self.spark.createDataFrame([], self.entry)
         for more in signed[1:]:
             entries = entries.unionByName(more)
         entries.write.mode("overwrite").parquet(f"{self.path}/entries/{batch}")
-        kept = self.spark.read.schema(ENTRY).parquet(f"{self.path}/entries/{batch}")
+        kept = self.spark.read.schema(self.entry).parquet(f"{self.path}/entries/{batch}")
         deltas = kept.groupBy(*KEYS).agg(F.sum("sign").alias("docs"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
         deltas.write.mode("overwrite").parquet(f"{self.path}/deltas/{batch}")
         return True

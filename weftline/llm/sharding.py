@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import BROADCAST_ROWS, prefix_sum, shared_dir, spread_join, staged
+from weftline.llm.common import BROADCAST_ROWS, columns, free, prefix_sum, shared_dir, spread_join, staged
 
 #: Bytes that a row costs besides its text.
 ROW_OVERHEAD = 8
@@ -136,5 +136,7 @@ def sharded(docs: DataFrame, shards: int = 24) -> DataFrame:
     """``docs`` with all its columns and ``shard``, in place of a column of that name; texts move once, to meet their group's shard."""
     group = text_group(docs["text"])
     placed = group_shards(staged(docs.select(group.alias("group"), row_size(docs["text"]).alias("size")), "shard-rows"), shards)
-    kept = [c for c in docs.columns if c != "shard"]
-    return spread_join(docs.select(*kept, group.alias("_group")), placed.withColumnRenamed("group", "_group").withColumnRenamed("n", "_n"), "_group", "_n").select(*kept, "shard")
+    kept = [c for c in docs.columns if c.lower() != "shard"]
+    own, n = free(docs, "_group", "_n")
+    joined = spread_join(docs.select(*columns(docs, kept), group.alias(own)), placed.withColumnsRenamed({"group": own, "n": n}), own, n)
+    return joined.select(*columns(joined, [*kept, "shard"]))
