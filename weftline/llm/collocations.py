@@ -34,6 +34,8 @@ BUCKETS = 1 << 22
 PIVOT_ROWS = 200_000
 #: Runs that a language's candidates are ranked in first.
 RUNS = 64
+#: Characters whose words and fragments are counted together before they leave a task.
+CHARS = 1 << 22
 
 # A-Z to lower case, the ends of pieces to line feeds, tabs to spaces; other bytes stay.
 _PLAIN = bytes(10 if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -46,7 +48,7 @@ def language(lang: Column) -> Column:
 def _by_language(part: pa.RecordBatch) -> Iterator[tuple[str, list[bytes], list[int]]]:
     """Languages of a batch in slices of bounded size: all words, and the number of words of each piece."""
     langs, texts = part.column("lang").to_pylist(), part.column("text").to_pylist()
-    for some in slices(texts):
+    for some in slices(texts, CHARS):
         held: dict[str, list[bytes]] = {}
         for lang, text in zip(langs[some], texts[some], strict=True):
             held.setdefault(lang, []).append((text or "").encode().translate(_PLAIN))
@@ -90,7 +92,7 @@ def _ranks(weight: np.ndarray, hashes: np.ndarray, names: list[bytes], least: in
 
 
 def _fragments(lang: str, words: list[bytes], lengths: list[int], weights: np.ndarray, least: int, pivot_rows: int) -> list[pa.Array]:
-    """key, at, fragment, n of a language's words, laid out in pieces."""
+    """key, at, right, fragment, n of a language's words, laid out in pieces."""
     flat = pa.array(words, pa.binary()).dictionary_encode()
     code, names = flat.indices.to_numpy().astype(np.int64), flat.dictionary.to_pylist()
     bucket, hashes = _buckets(lang, names, len(weights))
@@ -116,17 +118,17 @@ def _fragments(lang: str, words: list[bytes], lengths: list[int], weights: np.nd
     _, first, inverse, times = np.unique(mark, return_index=True, return_inverse=True, return_counts=True)
     if (spots != spots[:, first[inverse]]).any():
         _, first, times = np.unique(spots, axis=1, return_index=True, return_counts=True)
-    spots, mark, left = spots[:, first], mark[first], left[first]
+    spots, mark, left, right = spots[:, first], mark[first], left[first], right[first]
     pivot = spots[2] - 1
     tasks = (weight[pivot] // pivot_rows + 1).astype(np.uint64)
     key = mix64(hashes[pivot] + (mark % tasks) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(1) & ~np.uint64(1) | (tasks == 1).astype(np.uint64)
     texts = flat.dictionary.cast(pa.string())
     parts = [texts.take(pa.array(spot - 1, mask=spot == 0)) for spot in spots]
-    return [pa.array(key.astype(np.int64)), pa.array(left.astype(np.int32)), pc.binary_join_element_wise(*parts, " ", null_handling="skip"), pa.array(times.astype(np.int64))]
+    return [pa.array(key.astype(np.int64)), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), pc.binary_join_element_wise(*parts, " ", null_handling="skip"), pa.array(times.astype(np.int64))]
 
 
 def fragments(docs: DataFrame, words: DataFrame, least: int = LEAST, pivot_rows: int = PIVOT_ROWS, buckets: int = BUCKETS) -> DataFrame:
-    """lang, key, at, fragment, n: the fragments of ``docs`` and the pivot's place in them. ``words`` is count_words, staged; ``buckets`` numbers of it are broadcast.
+    """lang, key, at, right, fragment, n: the fragments of ``docs`` and how many words stand before and after the pivot. ``words`` is count_words, staged; ``buckets`` numbers of it are broadcast.
 
     ``key`` stands for the pivot. It is odd if the pivot's fragments are all under one key; those of a
     pivot of more than ``pivot_rows`` occurrences are dealt over several even keys.
@@ -142,10 +144,10 @@ def fragments(docs: DataFrame, words: DataFrame, least: int = LEAST, pivot_rows:
         for part in parts:
             for lang, every, lengths in _by_language(part):
                 made = _fragments(lang, every, lengths, shared.value, least, pivot_rows)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(made[0]), pa.string()), *made], ["lang", "key", "at", "fragment", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(made[0]), pa.string()), *made], ["lang", "key", "at", "right", "fragment", "n"])
 
     rows = docs.select(language(F.col("lang")).alias("lang"), "text").where("text is not null")
-    return rows.mapInArrow(batches, "lang string, key long, at int, fragment string, n long")
+    return rows.mapInArrow(batches, "lang string, key long, at int, right int, fragment string, n long")
 
 
 def owned_phrases(parts: DataFrame, least: int = LEAST) -> DataFrame:
@@ -154,11 +156,12 @@ def owned_phrases(parts: DataFrame, least: int = LEAST) -> DataFrame:
     One shuffle by the pivot's key, where counts are whole; only the phrases of a pivot that is dealt
     over several keys meet in a second.
     """
-    w = F.split("fragment", " ")
-    word = lambda k: F.get(w, F.col("at") + k)  # noqa: E731  null beyond the fragment
-    routed = parts.repartition("lang", "key").select("lang", "key", "n", "at", *(word(k).alias(f"w{k + 2}") for k in range(-2, 3)))
-    gram = lambda first, *more: F.concat(F.col(first), *(x for name in more for x in (F.lit(" "), F.col(name))))  # noqa: E731  null if a word is
-    grams = F.array(gram("w1", "w2"), gram("w2", "w3"), gram("w0", "w1", "w2"), gram("w1", "w2", "w3"), gram("w2", "w3", "w4"))
+    routed = parts.repartition("lang", "key")
+    at, right = F.col("at"), F.col("right")
+    cut = lambda text, n: F.call_function("substring_index", text, F.lit(" "), n)
+    gram = lambda start, k, ok: F.when(ok, cut(cut(F.col("fragment"), start + k), F.lit(-k)))
+    pairs = gram(at - 1, 2, at >= 1), gram(at, 2, right >= 1)
+    grams = F.array(*pairs, gram(at - 2, 3, at >= 2), gram(at - 1, 3, (at >= 1) & (right >= 1)), gram(at, 3, right >= 2))
     mined = routed.select("lang", "key", "n", F.explode(F.array_compact(grams)).alias("phrase")).groupBy("lang", "key", "phrase").agg(F.sum("n").alias("a"))
     whole = F.col("key").bitwiseAND(F.lit(1)) == 1
     mined = staged(mined.where(~whole | (F.col("a") >= least)), "mined")

@@ -68,11 +68,11 @@ def inputs(texts: list[str | None], slots: np.ndarray) -> tuple[np.ndarray, np.n
     return keys // size, keys % size, np.log2(1.0 + count)
 
 
-def slices(texts: list[str | None]) -> Iterator[slice]:
-    """Runs of texts of about CHARS characters, a longer text alone."""
+def slices(texts: list[str | None], chars: int = CHARS) -> Iterator[slice]:
+    """Runs of texts of about ``chars`` characters, a longer text alone."""
     start, held = 0, 0
     for i, t in enumerate(texts):
-        if held and held + len(t or "") > CHARS:
+        if held and held + len(t or "") > chars:
             yield slice(start, i)
             start, held = i, 0
         held += len(t or "") + 1
