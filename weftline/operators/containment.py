@@ -45,3 +45,29 @@ def containing(asked: DataFrame, names: DataFrame, part: str, whole: str, within
     rare = rare.where("_rare.n > 0").select(*within, part, F.col("_rare._gram").alias("_gram"))
     met = rare.join(index, keys).where(F.contains(F.col(whole), F.col(part))).drop("_gram")
     return ask.join(met, [*within, part])
+
+
+def match_entities(asked: DataFrame, entities: DataFrame) -> DataFrame:
+    """F7 for a batch: query_id, name, etype of entities whose name or an alias holds the asked text in any case, once each.
+
+    ``asked`` has query_id and text, ``entities`` name, etype and aliases (array). An empty text asks for nothing here.
+    """
+    ask = asked.select("query_id", F.lower("text").alias("_part"))
+    spelt = F.explode(F.array_distinct(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda x: F.lower(x))))
+    names = entities.select("name", "etype", spelt.alias("_whole")).distinct()
+    return containing(ask, names, "_part", "_whole").select("query_id", "name", "etype").distinct()
+
+
+def match_subjects(asked: DataFrame, subjects: DataFrame) -> DataFrame:
+    """F8 for a batch: query_id, subject of subjects that equal the asked text, hold it, or lie in it in any case, once each.
+
+    A text of two characters or fewer can't hold a subject, as ``retrieval.subject_matches`` has it; empty
+    texts and subjects only match their equals. ``asked`` has query_id and text, ``subjects`` subject.
+    """
+    ask = asked.select("query_id", F.col("text"), F.lower("text").alias("_asked"))
+    have = subjects.select("subject").distinct().withColumn("_subject", F.lower("subject"))
+    same = ask.join(have, ask["text"] == have["subject"]).select("query_id", "subject")
+    over = containing(ask, have, "_asked", "_subject").select("query_id", "subject")
+    # The other way round: each subject is looked up among the asked texts.
+    under = containing(have, ask.where(F.char_length("text") > 2), "_subject", "_asked").select("query_id", "subject")
+    return same.union(over).union(under).distinct()

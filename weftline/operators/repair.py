@@ -248,26 +248,28 @@ def finalize_plans(plans: DataFrame, queries: DataFrame, atlas: Atlas) -> DataFr
     return plans
 
 
-#: How a repair prompt states the costs, and how many issues it lists.
-COST_RULE = "flights Price x people; meals AverageCost x people; hotels price x ceil(people/occupancy) per night; self-driving int(km x 0.05) x ceil(people/5); taxi int(km) x ceil(people/4)"
+#: What a repair request says of prices, and how many issues it lists.
+PRICES = "per traveller: flights and meals; per room and night: lodging; per vehicle (car for 5, taxi for 4) and whole kilometre: taxis, cars a twentieth of that"
 ISSUES = 40
 
 
 def constraint_json(queries: DataFrame) -> DataFrame:
     """query_id and ``constraints``: JSON of what a plan must keep, the absent left out."""
     wish = lambda k: F.nullif(F.try_element_at("constraint", F.lit(k)), F.lit(""))
-    allowed = F.create_map(*(F.lit(x) for kv in ROOMS.items() for x in kv))
-    room = F.when(wish("room type") == "not shared room", "not 'Shared room'").otherwise(F.coalesce(F.try_element_at(allowed, F.lower(wish("room type"))), wish("room type")))
-    outside = F.concat(F.lit("each must appear in the Cuisines of at least one chosen restaurant OUTSIDE "), "org")
-    body = F.struct(
-        F.when(F.size("cuisines") > 0, F.struct(F.col("cuisines").alias("required"), outside.alias("rule"))).alias("cuisine"),
-        F.when(wish("room type").isNotNull(), F.struct(room.alias("required"))).alias("room_type"),
-        F.when(wish("house rule").isNotNull(), F.struct(F.concat(F.lit("No "), wish("house rule")).alias("forbidden_substring"))).alias("house_rule"),
-        F.when(wish("transportation").isNotNull(), F.struct(wish("transportation").alias("ban"))).alias("transportation"),
-        F.struct(F.col("budget").alias("max"), F.lit(COST_RULE).alias("formula")).alias("budget"),
-        F.struct(F.col("visiting_city_number").alias("distinct_cities_besides_org")).alias("city_count"),
-    )
-    return queries.select("query_id", F.to_json(body).alias("constraints"))
+    known = F.create_map(*(F.lit(x) for kv in ROOMS.items() for x in kv))
+    one = lambda **parts: F.struct(*(v.alias(k) for k, v in parts.items()))
+    given = lambda test, **parts: F.when(test, one(**parts))
+    room, rule, travel = wish("room type"), wish("house rule"), wish("transportation")
+    barred = F.when(room == "not shared room", F.lit(ROOMS["shared room"]))
+    limits = {
+        "cuisines_to_taste": given(F.size("cuisines") > 0, each_of=F.col("cuisines"), not_in=F.col("org")),
+        "room_type": given(room.isNotNull(), required=F.when(barred.isNull(), F.coalesce(F.try_element_at(known, F.lower(room)), room)), barred=barred),
+        "lodging_must_allow": rule,
+        "travel_without": F.regexp_replace(travel, "^no ", ""),
+        "money": one(at_most=F.col("budget"), counted=F.lit(PRICES)),
+        "cities_to_visit": F.col("visiting_city_number"),
+    }
+    return queries.select("query_id", F.to_json(one(**limits)).alias("constraints"))
 
 
 def plan_records(queries: DataFrame, plans: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from weftline.operators import axioms, core
+from weftline.operators.containment import match_entities, match_subjects
 from weftline.operators.lexindex import LexicalIndex
 from weftline.plans import catalog, ontology
 from weftline.plans.catalog import query
@@ -137,3 +138,24 @@ def lexical_index_topk(spark, sf):
     index.add("odd", turns.where("conv_id % 2 <> 0"), "key", "text")
     found = index.search(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
     return found.hits.select("query_id", F.col("key").cast("long").alias("key"), *catalog.big("rank"), F.round("score", 6).alias("score"))
+
+
+_ASKED = "SELECT row_number() OVER (ORDER BY text) AS query_id, text FROM (SELECT DISTINCT substr(upper(p_name), 3, 6) AS text FROM part UNION SELECT DISTINCT p_type FROM part UNION SELECT DISTINCT p_name || ' of ' || p_brand FROM part)"
+
+
+def _asked_names(spark, sf):
+    part = table(spark, sf, "part")
+    return spark.sql(_ASKED.replace("FROM part", "FROM {part}"), part=part).select(F.col("query_id").cast("long").alias("query_id"), "text")
+
+
+@query(f"WITH a AS ({_ASKED}), e AS (SELECT DISTINCT p_name AS name, p_type AS alias FROM part) SELECT DISTINCT query_id, name, 'part' AS etype FROM a JOIN e ON contains(lower(name), lower(text)) OR contains(lower(alias), lower(text))")
+def match_entities_batch(spark, sf):
+    """parts whose name or type holds each of many asked texts."""
+    entities = table(spark, sf, "part").groupBy(F.col("p_name").alias("name")).agg(F.collect_set("p_type").alias("aliases")).withColumn("etype", F.lit("part"))
+    return match_entities(_asked_names(spark, sf), entities)
+
+
+@query(f"WITH a AS ({_ASKED}), s AS (SELECT DISTINCT p_name AS subject FROM part) SELECT DISTINCT query_id, subject FROM a JOIN s ON subject = text OR contains(lower(subject), lower(text)) OR (length(text) > 2 AND subject <> '' AND contains(lower(text), lower(subject)))")
+def match_subjects_batch(spark, sf):
+    """F8: parts' names that hold each of many asked texts, or lie in them."""
+    return match_subjects(_asked_names(spark, sf), table(spark, sf, "part").select(F.col("p_name").alias("subject")))
