@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.parsing import MEALS, amount, filled, first_flight_number, place_city, place_name, route_from, route_to, strip_paren, transport_mode
 from weftline.functions.text import stripped
+from weftline.operators.containment import containing
 from weftline.schema import Schema
 from weftline.sources.tables import dropna
 
@@ -29,11 +30,13 @@ class Atlas:
 
 def fidelity_gate(rows: DataFrame, reference: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows whose name lies in a reference name of the same city, reference values over their own where not empty; and the count dropped."""
-    ref = reference.select(F.col("city").alias("_city"), F.col("name").alias("_name"), "ord", *(F.col(c).cast("string").alias(f"_{c}") for c in columns))
-    met = rows.alias("r").join(ref.alias("f"), (F.col("r.city") == F.col("f._city")) & F.contains(F.lower("f._name"), F.lower("r.name")))
-    first = met.groupBy(*(F.col(f"r.{c}") for c in rows.columns)).agg(F.min_by(F.struct(*(f"f._{c}" for c in columns)), F.col("f.ord")).alias("_ref"))
-    merged = first.select(*(F.coalesce(F.nullif(F.col(f"_ref._{c}"), F.lit("")), F.col(c).cast("string")).alias(c) if c in columns else F.col(c) for c in rows.columns))
-    dropped = rows.join(met.select("r.name", "r.city").distinct(), ["name", "city"], "left_anti").agg(F.count("*").alias("dropped"))
+    ref = reference.select("city", F.lower("name").alias("_whole"), "ord", *(F.col(c).cast("string").alias(f"_{c}") for c in columns))
+    asked = rows.select("name", "city").distinct().withColumn("_part", F.lower("name"))
+    met = containing(asked, ref, "_part", "_whole", ["city"])
+    first = met.groupBy("name", "city").agg(F.min_by(F.struct(*(f"_{c}" for c in columns)), "ord").alias("_ref"))
+    joined = rows.join(first, ["name", "city"])
+    merged = joined.select(*(F.coalesce(F.nullif(F.col(f"_ref._{c}"), F.lit("")), F.col(c).cast("string")).alias(c) if c in columns else F.col(c) for c in rows.columns)).distinct()
+    dropped = rows.join(first.select("name", "city"), ["name", "city"], "left_anti").agg(F.count("*").alias("dropped"))
     return merged, dropped
 
 
@@ -55,15 +58,18 @@ def find_places(cells: DataFrame, places: DataFrame, keep: list[str]) -> DataFra
     """Add ``found`` (struct of ``keep``, null if there is none) to cells that have ``name`` and ``city``.
 
     An exact name and city without regard to case come first (the last such row), then the first row of
-    the very city whose name contains the cell's. The join is on the city; names are compared within it.
+    the very city whose name contains the cell's. What is equal is joined by equality; only the rest is
+    looked up by q-grams, so a city of many places spreads over many tasks.
     """
     ask = cells.select("name", "city").where((F.col("name") != "-") & (F.col("city") != "-") & (F.col("name") != "")).distinct()
-    have = places.select(F.lower("city").alias("_lower"), F.col("city").alias("_city"), F.lower("name").alias("_name"), "ord", F.struct(*keep).alias("row"))
-    met = ask.join(have, F.lower(ask["city"]) == have["_lower"])
-    exact = F.col("_name") == F.lower("name")
-    tier = F.when(exact, F.struct(F.lit(1).alias("tier"), (-F.col("ord")).alias("ord"))).when((F.col("_city") == F.col("city")) & F.contains("_name", F.lower("name")), F.struct(F.lit(2).alias("tier"), F.col("ord")))
-    best = met.withColumn("tier", tier).where("tier is not null").groupBy("name", "city").agg(F.min_by("row", "tier").alias("found"))
-    return cells.join(best, ["name", "city"], "left")
+    ask = ask.withColumns({"_part": F.lower("name"), "_in": F.lower("city")})
+    row = F.struct(*keep)
+    exact = places.groupBy(F.lower("name").alias("_part"), F.lower("city").alias("_in")).agg(F.max_by(row, "ord").alias("found"))
+    met = ask.join(exact, ["_part", "_in"], "left")
+    rest = met.where("found is null").select("name", "city", "_part")
+    inside = containing(rest, places.select("city", F.lower("name").alias("_whole"), "ord", row.alias("row")), "_part", "_whole", ["city"])
+    first = inside.groupBy("name", "city").agg(F.min_by("row", "ord").alias("found"))
+    return cells.join(met.where("found is not null").select("name", "city", "found").union(first), ["name", "city"], "left")
 
 
 def covered_cities(atlas: Atlas, state: str | None = None) -> DataFrame:

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import itinerary, rules
+from weftline.operators.core import GraphStore
 from weftline.operators.itinerary import Atlas
+from weftline.plans import views
 from weftline.plans.catalog import query
 from weftline.sources.tables import table
 
@@ -245,3 +247,128 @@ def reported_costs(spark, sf):
     """The costs that validation finds in its one pass."""
     made = tables(spark, sf)
     return rules.plan_reports(made["plans"], trips(made), atlas(made)).where("costs is not null").select("query_id", "costs.total", "costs.unknown")
+
+
+# --- I: reference tables ------------------------------------------------------------------------------
+
+
+@query(_sql("flights", then=" SELECT number, count(*) AS routes, min(origin || '>' || dest) AS first FROM (SELECT DISTINCT number, origin, dest FROM flights) GROUP BY number"))
+def flight_routes(spark, sf):
+    """The different routes of each flight number."""
+    rows = itinerary.reference_routes(tables(spark, sf)["flights"])
+    return rows.select("number", F.size("routes").cast("long").alias("routes"), F.concat_ws(">", F.col("routes")[0]["origin"], F.col("routes")[0]["dest"]).alias("first"))
+
+
+#: What a reader might have made of the restaurants: names cut short or wrong, some without a cost.
+_READ = "SELECT CASE WHEN s_suppkey % 5 = 0 THEN 'Grill ' || s_name WHEN s_suppkey % 5 < 3 THEN upper(substr(s_name, 4, 12)) ELSE s_name END AS name, n_name AS city, '?' AS cuisines, CASE WHEN s_suppkey % 2 = 0 THEN '1' END AS cost FROM {supplier} JOIN {nations} ON s_nationkey = n_nationkey"
+
+
+@query(_sql("nations", "restaurants", then=f""", r AS ({_READ.format(supplier='supplier', nations='nations')}),
+met AS (SELECT r.name, r.city, arg_min(f.cuisines, ord) AS cuisines, CAST(arg_min(f.cost, ord) AS VARCHAR) AS cost FROM (SELECT DISTINCT name, city FROM r) r JOIN restaurants f ON f.city = r.city AND contains(lower(f.name), lower(r.name)) GROUP BY ALL)
+SELECT DISTINCT r.name, r.city, met.cuisines, met.cost, (SELECT count(*) FROM r WHERE (name, city) NOT IN (SELECT (name, city) FROM met)) AS dropped FROM r JOIN met USING (name, city)"""))
+def gated_restaurants(spark, sf):
+    """Restaurants that the reference knows, with its values, and how many it doesn't."""
+    made = tables(spark, sf)
+    read = spark.sql(_READ, supplier=made["supplier"], nations=made["nations"])
+    merged, dropped = itinerary.fidelity_gate(read, made["restaurants"], ["cuisines", "cost"])
+    return merged.join(F.broadcast(dropped))
+
+
+@query(_sql("flights", then=", r AS (SELECT number, CASE WHEN ord % 3 = 0 THEN dest ELSE origin END AS origin, dest FROM flights) SELECT r.* FROM r WHERE (number, origin, dest) IN (SELECT (number, origin, dest) FROM flights)"))
+def gated_flights(spark, sf):
+    """Flights that the reference has on the very route."""
+    flights = tables(spark, sf)["flights"]
+    return itinerary.gate_flights(flights.select("number", F.when(F.col("ord") % 3 == 0, F.col("dest")).otherwise(F.col("origin")).alias("origin"), "dest"), flights)
+
+
+@query(_sql("flights", then=" SELECT origin, dest, arg_max(number, ord) AS number FROM flights GROUP BY origin, dest"))
+def last_flights(spark, sf):
+    """I4: the last flight of each route."""
+    return itinerary.last_of(tables(spark, sf)["flights"], ["origin", "dest"], "ord").select("origin", "dest", "number")
+
+
+_LINKS = "SELECT origin || ' (' || substr(dest, 1, 2) || ')' AS origin, ' ' || dest AS destination, CASE WHEN km > 300 THEN '1 day 2 hours' WHEN valid THEN '2 hours' ELSE '' END AS duration, CASE WHEN km > 700 THEN 'far' ELSE '1,' || CAST(CAST(floor(100 + km) AS INT) AS STRING) || ' km' END AS distance, CAST(km * 2 AS INT) AS ord FROM {ground}"
+
+
+@query(_sql("ground", then=f", d AS ({_LINKS.format(ground='ground')}) SELECT trim(split_part(origin, '(', 1)) AS origin, trim(destination) AS dest, TRY_CAST(replace(replace(distance, ' km', ''), ',', '') AS DOUBLE) AS km, duration <> '' AND distance <> 'far' AND NOT contains(duration, 'day') AS valid FROM d"))
+def ground_links(spark, sf):
+    """Distances and validity read from text."""
+    return itinerary.ground_matrix(spark.sql(_LINKS, ground=tables(spark, sf)["ground"]))
+
+
+@query(_sql(*_ALL, then=f"{_LAID} SELECT DISTINCT name, city, cuisines, cost FROM eaten"))
+def known_meals(spark, sf):
+    """What the reference has of every place where a plan eats."""
+    made = tables(spark, sf)
+    cells = itinerary.place_cells(made["plans"].join(made["trips"].select("query_id", F.col("days").alias("_n")), "query_id").where("day < _n"), itinerary.MEALS)
+    return itinerary.find_places(cells.select("name", "city"), made["restaurants"], ["cuisines", "cost"]).select("name", "city", "found.cuisines", "found.cost").distinct()
+
+
+@query(_sql("cities", then=" SELECT name, state, covered FROM cities WHERE covered AND state = 'ASIA'"))
+def covered_in_state(spark, sf):
+    """Covered cities of a state."""
+    return itinerary.covered_cities(atlas(tables(spark, sf)), "ASIA")
+
+
+# --- K: the functions that users call -----------------------------------------------------------------
+
+
+def _store(spark, sf) -> GraphStore:
+    """The tables as typed views with located_in edges; every seventh place has none."""
+    made = tables(spark, sf)
+    named = lambda df, etype, **columns: df.select(F.concat(F.lit(f"{etype}::"), F.col("ord").cast("string")).alias("__id__"), F.lit(etype).alias("__type__"), F.col("ord").cast("long").alias("ord"), *(c.alias(n) for n, c in columns.items()))
+    c = F.col
+    views_ = {
+        "Flight": named(made["flights"], "Flight", **{"Flight Number": c("number"), "FlightDate": F.concat(F.lit("2022-03-0"), (c("ord") % 9 + 1).cast("string")), "Price": c("price").cast("string"), "DepTime": F.lit("08:00"), "ArrTime": F.lit("09:00"), "OriginCityName": c("origin"), "DestCityName": c("dest")}),
+        "Restaurant": named(made["restaurants"], "Restaurant", **{"Name": c("name"), "City": c("city"), "Cuisines": c("cuisines"), "Average Cost": c("cost").cast("string"), "Aggregate Rating": (c("ord") % 5).cast("string")}),
+        "Accommodation": named(made["accommodations"], "Accommodation", **{"NAME": c("name"), "city": c("city"), "room type": c("room_type"), "price": c("price").cast("string"), "minimum nights": c("min_nights").cast("string"), "review rate number": (c("ord") % 6).cast("string"), "house_rules": c("house_rules"), "maximum occupancy": c("occupancy").cast("string")}),
+        "City": made["cities"].select(F.concat(F.lit("City::"), "name").alias("__id__"), F.lit("City").alias("__type__"), F.substring("name", 8, 9).cast("long").alias("ord"), F.concat("name", F.lit(", "), F.substring("state", 1, 2)).alias("label"), "name", "state"),
+    }
+    where = lambda df, etype: df.where("ord % 7 <> 0").select(F.concat(F.lit(f"{etype}::"), F.col("ord").cast("string")).alias("src"), F.lit("located_in").alias("relation"), F.concat(F.lit("City::"), "city").alias("dst"))
+    return GraphStore(views_, where(made["restaurants"], "Restaurant").union(where(made["accommodations"], "Accommodation")))
+
+
+@query(_sql("flights", then="""
+, f AS (SELECT *, '2022-03-0' || (ord % 9 + 1) AS day, CASE WHEN contains(origin, 'NATION_2') AND contains(dest, 'NATION_1') AND ord % 9 = 4 THEN 1 WHEN contains(origin, 'NATION_2') AND contains(dest, 'NATION_1') THEN 2 ELSE 3 END AS tier FROM flights WHERE contains(origin, 'NATION_2') OR contains(dest, 'NATION_1'))
+SELECT 'Flight::' || ord AS __id__, number AS "Flight Number", price, day AS "FlightDate" FROM f WHERE tier = (SELECT min(tier) FROM f) AND price <= 200 ORDER BY price, ord LIMIT 50"""))
+def flights_on_a_day(spark, sf):
+    """K1: the cheapest flights between two cities on a day."""
+    rows = views.search_flights(_store(spark, sf), "NATION_2", "NATION_1", "2022-03-05", 200.0)
+    return rows.select("__id__", "Flight Number", F.col("Price").cast("double").alias("price"), "FlightDate")
+
+
+@query(_sql("restaurants", then=" SELECT name, cost, ord % 5 AS rating FROM restaurants WHERE city = 'NATION_3' AND ord % 7 <> 0 AND len(list_intersect(list_transform(string_split(lower(cuisines), ','), lambda x: trim(x)), ['pizza', 'mexican'])) >= 1 AND cost <= 45"))
+def restaurants_of_a_city(spark, sf):
+    """K2: a city's restaurants by cuisine and cost."""
+    rows, _ = views.find_restaurants(_store(spark, sf), " nation_3 ", ["Pizza", "Mexican"], 45.0)
+    return rows.select(F.col("Name").alias("name"), F.col("Average Cost").cast("double").alias("cost"), F.col("Aggregate Rating").cast("long").alias("rating"))
+
+
+@query(_sql("accommodations", then=", k AS (SELECT * FROM accommodations WHERE city = 'NATION_4' AND ord % 7 <> 0 AND price <= 90 AND occupancy >= 2 AND ord % 6 >= 2 AND contains(lower(room_type), 'private')) SELECT name, price FROM k ORDER BY price, ord LIMIT 50"))
+def lodging_of_a_city(spark, sf):
+    """K3: a city's lodging by price, review, room and occupancy."""
+    rows, _, _ = views.find_accommodations(_store(spark, sf), "NATION_4", 90.0, 2.0, "private", 2)
+    return rows.select(F.col("NAME").alias("name"), F.col("price").cast("double").alias("price"))
+
+
+@query(_sql("cities", then=" SELECT name FROM cities WHERE state = 'ASIA'"))
+def cities_of_a_state(spark, sf):
+    """K5: the cities that name a state's code."""
+    store = _store(spark, sf)
+    store.views["City"] = store.view("City").withColumn("name", F.col("label"))
+    return views.cities_in_state(store, "ASIA", "AS")
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, CAST(p_retailprice AS DOUBLE) AS price, l_linenumber AS n FROM lineitem JOIN part ON p_partkey = l_partkey),
+s AS (SELECT l_orderkey, round(sum(price) FILTER (n % 3 = 0) * 2, 2) AS flights, round(sum(price) FILTER (n % 3 = 1) * 2, 2) AS meals, sum(floor(price * 0.05)) FILTER (n % 3 = 2) AS ground FROM l GROUP BY l_orderkey)
+SELECT l_orderkey, round(coalesce(flights, 0.0) + coalesce(meals, 0.0) + coalesce(ground, 0.0), 2) AS total, round(coalesce(flights, 0.0) + coalesce(meals, 0.0) + coalesce(ground, 0.0), 2) <= 2000.01 AS within FROM s
+""")
+def order_budgets(spark, sf):
+    """K7, K8: an order's lines as a trip for two: every third a flight, a meal or a drive; whether it stays in a budget."""
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    of = lambda k: F.array_sort(F.collect_list(F.when(F.col("l_linenumber") % 3 == k, F.col("p_retailprice").cast("double"))))
+    lists = rows.groupBy("l_orderkey").agg(of(0).alias("flights"), of(1).alias("meals"), of(2).alias("legs"))
+    none = F.array().cast("array<struct<price:double,nights:int,occupancy:int>>")
+    total = views.trip_cost(F.col("flights"), F.col("meals"), none, F.col("legs"), F.lit(2))["total"]
+    return lists.select("l_orderkey", total.alias("total")).select("l_orderkey", "total", views.check_budget(F.col("total"), F.lit(2000.0))["within"].alias("within"))
