@@ -44,10 +44,14 @@ def tokens(value: Column, separators: str = "[;,]") -> Column:
 
 
 def char_grams(value: Column, n: int) -> Column:
-    """All windows of n code points, repeats kept; empty for shorter texts and null."""
+    """All windows of n code points, repeats kept; empty for shorter texts and null. Linear: nothing that reads the whole text stands in a lambda, where it would run once for each window."""
     text = F.coalesce(value, F.lit(""))
     last = F.char_length(text) - n + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    chars = F.split(text, "")
+    grams = chars
+    for i in range(1, n):
+        grams = F.zip_with(grams, F.slice(chars, i + 1, F.char_length(text)), lambda a, b: F.concat(a, b))
+    return F.when(last >= 1, F.slice(grams, 1, last)).otherwise(F.array().cast("array<string>"))
 
 
 def terms(value: Column) -> Column:

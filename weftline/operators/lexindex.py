@@ -17,13 +17,19 @@ its blocks, and pruning is by terms: a query's rarest terms are read first, and
 full by looking into the other terms' blocks. From the k-th best of these scores follows which of the
 remaining terms can still bring a document into the first k on their own, with all that are commoner;
 only those are read, too, and every skipped document is one that can't reach the k-th score.
+
+Postings of a block meet the queries that look for documents there, and running sums over the block's
+documents give the scores; what leaves a block for a query is its own first k, ties included.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +43,10 @@ PLACES = 256
 AHEAD = 4
 #: Different terms of all queries up to which they are named to the reader, so that files and row groups are skipped.
 NAMED = 2_000
+#: Queries that meet one copy of a block's postings.
+QUERY_SHARE = 256
+#: A hair below a k-th score, so that ties by key and rounding are decided with all documents at hand.
+HAIR = 1e-6
 
 
 def _place(term: Column) -> Column:
@@ -48,6 +58,45 @@ def weight(term: Column, df: Column, n: Column) -> Column:
     return F.log(1 + n / df) * F.when(F.char_length(term) == 1, 2).otherwise(3)
 
 
+def _block_scores(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of each query the documents of one block that hold a sought term and no done one, with whole scores: those that can be among the first k. A row without a document says how many postings were looked into."""
+
+    def scored(asked: pa.Table, posted: pa.Table) -> pa.Table:
+        lists = posted.column("docs").combine_chunks()
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+        spots = np.split(lists.flatten().to_numpy(zero_copy_only=False) & ((1 << BLOCK_BITS) - 1), ends[:-1]) if len(ends) else []
+        held = dict(zip(posted.column("term").to_pylist(), spots, strict=True))
+        rows, docs, scores, looked = [], [], [], []
+        low = asked.column("block")[0].as_py() << BLOCK_BITS if asked.num_rows else 0
+        for row, q in enumerate(asked.select(["terms", "idfs", "seek", "done", "least"]).to_pylist()):
+            score, count, wanted = np.zeros(1 << BLOCK_BITS), np.zeros(1 << BLOCK_BITS, np.int64), np.zeros(1 << BLOCK_BITS, bool)
+            here = [(held[t], *x) for t, *x in zip(q["terms"], q["idfs"], q["seek"], q["done"], strict=True) if t in held]
+            for at, idf, seek, _ in here:
+                # Summed from the largest on, so that a score doesn't depend on the order of rows.
+                score[at] += idf
+                count[at] += 1
+                if seek:
+                    wanted[at] = True
+            for at, _, _, done in here:
+                if done:
+                    wanted[at] = False
+            found = np.flatnonzero(wanted)
+            if len(found):
+                total = int(count[found].sum())
+                bound = -np.inf if q["least"] is None else q["least"]
+                if len(found) > k:
+                    bound = max(bound, np.partition(score[found], -k)[-k])
+                found = found[score[found] >= bound - HAIR]
+                rows += [row] * (len(found) + 1)
+                docs += [*(found + low).tolist(), None]
+                scores += [*score[found].tolist(), None]
+                looked += [0] * len(found) + [total]
+        some = asked.select(["query_id", "batch"]).take(pa.array(rows, pa.int64()))
+        return some.append_column("doc", pa.array(docs, pa.int64())).append_column("score", pa.array(scores, pa.float64())).append_column("looked", pa.array(looked, pa.int64()))
+
+    return scored
+
+
 @dataclass
 class Found:
     """``hits``: query_id, key, score, rank, relative. ``read``: query_id, postings of all its terms, those read to find documents, and blocks looked into to score them."""
@@ -113,29 +162,29 @@ class LexicalIndex:
         })
         told = checkpointed(told)
         postings = self._read("postings").where(some).select("batch", "place", "term", "block", "docs")
-        first = told.where(F.col("before") < AHEAD * k)
-        one = checkpointed(self._scored(self._documents(first, postings), told, postings))
-        worst = one.withColumn("_rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("_rn") == k).select("query_id", F.col("score").alias("least"))
-        # A hair below the k-th score, so that ties by key and rounding are decided with all documents at hand.
-        more = told.where(F.col("before") >= AHEAD * k).join(worst, "query_id", "left").where(F.col("least").isNull() | (F.col("tail") >= F.col("least") - 1e-6)).drop("least")
-        rest = self._documents(more, postings).join(one.select("query_id", "batch", "doc"), ["query_id", "batch", "doc"], "left_anti")
-        both = checkpointed(one.union(self._scored(rest, told, postings)))
-        keyed = both.where("score > 0").join(self._read("docs").select("batch", "doc", "key"), ["batch", "doc"])
+        early = F.col("before") < AHEAD * k
+        one = checkpointed(self._scored(told.withColumns({"seek": early, "done": F.lit(False), "least": F.lit(None).cast("double")}), postings, k))
+        worst = one.where("doc is not null").withColumn("_rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("_rn") == k).select("query_id", F.col("score").alias("least"))
+        reaches = ~early & (F.col("least").isNull() | (F.col("tail") >= F.col("least") - HAIR))
+        later = checkpointed(told.join(worst, "query_id", "left").withColumns({"seek": reaches, "done": early}))
+        both = checkpointed(one.unionByName(self._scored(later, postings, k)))
+        keyed = both.where("doc is not null").join(self._read("docs").select("batch", "doc", "key"), ["batch", "doc"])
         hits = lexical_search(keyed.select("query_id", "key", "score"), "key", k, k)
-        read = first.unionByName(more).groupBy("query_id").agg(F.sum("df").alias("read"))
         looked = both.groupBy("query_id").agg(F.sum("looked").alias("looked"))
-        cost = told.groupBy("query_id").agg(F.sum("df").alias("postings")).join(read, "query_id", "left").join(looked, "query_id", "left")
+        cost = later.groupBy("query_id").agg(F.sum("df").alias("postings"), F.sum(F.when(F.col("seek") | F.col("done"), F.col("df"))).alias("read")).join(looked, "query_id", "left")
         return Found(hits, cost.na.fill(0))
 
-    def _documents(self, told: DataFrame, postings: DataFrame) -> DataFrame:
-        """query_id, batch, doc: the documents that hold a term of ``told``."""
-        return postings.join(told.select("query_id", "place", "term"), ["place", "term"]).select("query_id", "batch", F.explode("docs").alias("doc")).distinct()
-
-    def _scored(self, documents: DataFrame, told: DataFrame, postings: DataFrame) -> DataFrame:
-        """query_id, batch, doc, score, looked: whole scores, from the blocks that can hold the documents."""
-        spot = documents.withColumn("block", F.shiftright("doc", BLOCK_BITS)).groupBy("query_id", "batch", "block").agg(F.array_sort(F.collect_list("doc")).alias("_wanted"))
-        need = spot.join(told.select("query_id", "place", "term", "idf"), "query_id")
-        met = need.join(postings, ["batch", "place", "term", "block"]).select("query_id", "batch", "idf", F.explode(F.array_intersect("_wanted", "docs")).alias("doc"))
-        # Summed from the largest on, so that a score doesn't depend on the order of rows.
-        score = F.aggregate(F.array_sort(F.collect_list("idf"), lambda a, b: F.when(a > b, -1).when(a < b, 1).otherwise(0)), F.lit(0.0), lambda s, x: s + x)
-        return met.groupBy("query_id", "batch", "doc").agg(score.alias("score"), F.count("*").alias("looked"))
+    def _scored(self, told: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+        """query_id, batch, doc, score, looked of the documents that hold a term with ``seek`` and none with ``done``, as ``_block_scores`` says."""
+        kind = told.schema["query_id"].dataType.simpleString()
+        sought = told.where("seek").select("query_id", "place", "term")
+        there = checkpointed(postings.select("batch", "place", "term", "block").join(sought, ["place", "term"]).select("query_id", "batch", "block").distinct())
+        by_idf = F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("less"), "term", "seek", "done")))
+        whole = told.groupBy("query_id").agg(by_idf.alias("all"), F.max("least").alias("least"))
+        whole = whole.select("query_id", F.col("all.term").alias("terms"), F.transform("all.less", lambda x: -x).alias("idfs"), F.col("all.seek").alias("seek"), F.col("all.done").alias("done"), "least")
+        shares = -(-told.select("query_id").distinct().count() // QUERY_SHARE) or 1
+        asked = there.join(whole, "query_id").withColumn("share", F.pmod(F.xxhash64("query_id"), F.lit(shares)))
+        posted = postings.join(told.select("place", "term").distinct(), ["place", "term"], "left_semi").join(there.select("batch", "block").distinct(), ["batch", "block"], "left_semi")
+        posted = posted.select("batch", "block", "term", "docs", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("share"))
+        by = ["batch", "block", "share"]
+        return asked.groupBy(*by).cogroup(posted.groupBy(*by)).applyInArrow(_block_scores(k), f"query_id {kind}, batch string, doc long, score double, looked long")
