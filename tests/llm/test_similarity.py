@@ -243,3 +243,27 @@ def test_every_fifth_word_replaced(spark):
         rows += [(2 * p, " ".join(words)), (2 * p + 1, " ".join(evenly(words, 5)))]
     got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i - i % 2 for i in range(40)}
+
+
+def test_keys_are_shuffled_once(spark):
+    """Shared keys are found by one shuffle of the buckets (before: one to count, one to join), hot keys among them."""
+    rows = [(n, 5, n % 7) for n in range(3000)] + [(n, 5, 1000 + n) for n in range(3000)] + [(7, 5, -1), (8, 5, -1)]
+    found = neardup._shared(spark.createDataFrame(rows, "node long, n_words int, key long"))
+    assert sorted(map(tuple, found.collect())) == sorted([r for r in rows if r[2] < 1000])
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+
+
+def test_a_hot_hub_s_pairs_carry_ids_alone(spark, monkeypatch):
+    """What is read twice for hot hubs is ids; bags are joined once (before: the join with bags ran twice). Ends are listed without expanding pairs."""
+    bag = lambda n: bytes([n % 3 * 4] + [1] * (neardup.BAG - 1))
+    bags = spark.createDataFrame([(n, 20, bytearray(bag(n))) for n in range(1300)], "node long, n_words int, bag binary")
+    pairs = [(0, n) for n in range(1, 1300)] + [(1, n) for n in range(2, 50)]
+    given_pairs = spark.createDataFrame(pairs, "hub long, member long")
+    asked = []
+    spread = neardup.spread_join
+    monkeypatch.setattr(neardup, "spread_join", lambda rows, *rest: asked.append(rows.columns) or spread(rows, *rest))
+    near = sorted(map(tuple, neardup._near_pairs(given_pairs, bags).collect()))
+    assert near == sorted((a, b) for a, b in pairs if abs(a % 3 - b % 3) * 4 <= 4)
+    assert asked == [["hub", "member"]]
+    ends = neardup._ends(given_pairs)
+    assert {r.node for r in ends.collect()} == set(range(1300)) and "Generate" not in ends._jdf.queryExecution().sparkPlan().toString()

@@ -32,7 +32,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import BROADCAST_ROWS, discard, free, ship, spread_join, staged
@@ -338,8 +338,16 @@ def _texts(plain: DataFrame, some: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.where("copies = 1").select("node", "text").unionByName(once)
 
 
+def _shared(buckets: DataFrame) -> DataFrame:
+    """Rows of ``buckets`` (node, n_words, key) whose key another node has. Neighbours in the order of keys tell, so rows are shuffled once and no group is counted first."""
+    by_key = Window.partitionBy("key").orderBy("node")
+    beside = buckets.withColumns({"_before": F.lag("node").over(by_key), "_after": F.lead("node").over(by_key)})
+    return beside.where("_before is not null or _after is not null").drop("_before", "_after")
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("hub", "member")).alias("node"))
+    """(node) of ``pairs``: hubs, few for many pairs, and members; a node may come twice."""
+    return pairs.select(F.col("hub").alias("node")).distinct().unionByName(pairs.select(F.col("member").alias("node")).distinct())
 
 
 def _bags(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -352,7 +360,8 @@ def _near_pairs(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     """``pairs`` (hub, member) without those that bags of words rule out, so fewer texts are sent."""
     hubs = pairs.groupBy(F.col("hub").alias("node")).agg(F.count("*").alias("n")).join(bags, "node")
     hubs = staged(hubs.select(F.col("node").alias("hub"), F.col("n_words").alias("hub_words"), F.col("bag").alias("hub_bag"), "n"), "nd-hubs")
-    with_bags = spread_join(pairs.join(bags.withColumnRenamed("node", "member"), "member"), hubs, "hub", "n")
+    # Members come last: the join with hubs reads its rows twice if a hub is hot, so nothing but ids may stand before it.
+    with_bags = spread_join(pairs, hubs, "hub", "n").join(bags.withColumnRenamed("node", "member"), "member")
     near = staged(with_bags.mapInArrow(_near_batches, "hub long, member long"), "nd-near")
     discard(hubs)
     return near
@@ -382,8 +391,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     else:
         mine = staged(mine.join(more, "row", "left_anti"), "nd-mine")
     buckets = mine.select(F.col("row").alias("node"), "n_words", F.explode("keys").alias("key"))
-    several = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    shared = staged(buckets.join(several, "key"), "nd-shared")
+    shared = staged(_shared(buckets), "nd-shared")
     size_class = F.floor(F.log("n_words") / float(np.log(1 / SIMILARITY)))
     cut = shared.select("node", "key", size_class.alias("c")).select("node", F.explode(F.array(F.xxhash64("key", "c"), F.xxhash64("key", F.col("c") + 1))).alias("key"))
     hubs = cut.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
