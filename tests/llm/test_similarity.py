@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -267,3 +268,43 @@ def test_a_hot_hub_s_pairs_carry_ids_alone(spark, monkeypatch):
     assert asked == [["hub", "member"]]
     ends = neardup._ends(given_pairs)
     assert {r.node for r in ends.collect()} == set(range(1300)) and "Generate" not in ends._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_members_of_open_groups_are_joined_once(spark):
+    """Open groups are told by one join that lists their members (before: three joins, one for the groups and two for their blocks), without hubs."""
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (5, 6), (7, 8), (7, 9)], "hub long, member long")
+    roots = spark.createDataFrame([(1, 1), (2, 1), (7, 7), (8, 7), (9, 7)], "node long, root long")
+    found = neardup._open_groups(pairs, roots)
+    assert sorted(map(tuple, found.collect())) == [(1, 2, 1, False, 1, 1), (1, 3, 3, True, 1, 1), (1, 4, 4, True, 1, 1)]
+    known = spark.createDataFrame([(n, n) for n in range(10)], "node long, what long")
+    plan = neardup._blocks(found, known)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") == 1  # with what is known
+
+
+def test_block_aligns_few_unlike_pairs(monkeypatch):
+    """Long texts of one vocabulary pass the bag of BAG counts though a fourth of their words differ; the wide bag rules most of them out before they are aligned, and no similar pair."""
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(700)]
+    texts = [" ".join(w if rng.random() > 0.13 else f"n{rng.randrange(10**6)}" for w in base) for _ in range(40)]
+    texts.append(" ".join(w if i % 10 else f"x{i}" for i, w in enumerate(texts[0].split())))
+    n = len(texts)
+    t = pa.table({"key": [0] * n, "node": range(n), "root": range(n), "minor": [True] * n, "keys": [[0]] * n, "text": texts, "row": [0] * n, "col": [0] * n})
+    t = pa.concat_tables([t.append_column("row_side", pa.array([side] * n)) for side in (True, False)])
+    aligned, align = [], neardup.banded_distance
+    monkeypatch.setattr(neardup, "banded_distance", lambda *a: aligned.append(1) or align(*a))
+    links = set(map(tuple, (sorted(r.values()) for r in neardup._block_links(t).to_pylist())))
+    bags = [neardup.word_bag(word_hashes(x.split())).astype(int) for x in texts]
+    passed = sum(max(np.maximum(a - b, 0).sum(), np.maximum(b - a, 0).sum()) <= 140 for i, a in enumerate(bags) for b in bags[:i])
+    assert (0, n - 1) in links and all(neardup.similar(texts[a], texts[b]) for a, b in links)
+    assert passed > 200 and len(aligned) < passed / 4
+
+
+def test_components_stop_at_stars(spark, monkeypatch):
+    """Stars are told as such: one step and no second one to see that nothing changes."""
+    import weftline.llm.components as module
+
+    steps = []
+    staged = module.staged
+    monkeypatch.setattr(module, "staged", lambda df, name: steps.append(name) or staged(df, name))
+    rows = {r.node: r.root for r in module.components(spark.createDataFrame([(1, n) for n in range(2, 30)] + [(40, 50)], "a long, b long")).collect()}
+    assert rows == dict.fromkeys(range(1, 30), 1) | {40: 40, 50: 40} and len(steps) == 2

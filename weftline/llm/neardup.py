@@ -50,6 +50,8 @@ RANKS = 1 << 20
 SIMILARITY = 0.8
 #: Counts in a bag of words; members of an open group that a block holds.
 BAG, BLOCK = 256, 1024
+#: Counts in the wider bag that pairs of a block must pass before they are aligned.
+WIDE_BITS = 12
 #: Rows of a batch that are Python objects at a time.
 SLICE = 256
 #: Members that meet one copy of a hub's text in a task.
@@ -203,6 +205,11 @@ def word_bag(h: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=BAG), 255).astype(np.uint8)
 
 
+def wide_bag(h: np.ndarray) -> np.ndarray:
+    """As word_bag, of 2**WIDE_BITS counts."""
+    return np.minimum(np.bincount((h >> np.uint64(64 - WIDE_BITS)).astype(np.int64), minlength=1 << WIDE_BITS), 65535).astype(np.uint16)
+
+
 def _meetings(t: pa.Table, bags: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Each row of a block with the columns of another root whose bags are near enough, and the edits that they may have."""
     node, side, minor = (np.array(t.column(c).to_pylist()) for c in ("node", "row_side", "minor"))
@@ -213,15 +220,19 @@ def _meetings(t: pa.Table, bags: np.ndarray, sizes: np.ndarray) -> Iterator[tupl
         met = cols[(kind[cols] != kind[r]) & (~minor[cols] | (node[cols] > node[r]))]
         most = ((1 - SIMILARITY) * np.maximum(sizes[met], sizes[r]) + 1e-9).astype(np.int64)
         met, most = met[sizes[met] - sizes[r] <= most], most[sizes[met] - sizes[r] <= most]
-        more = bags[met] - bags[r]
-        above = np.maximum(more, 0).sum(axis=1)
-        near = np.maximum(above, above - more.sum(axis=1)) <= most
+        near = _apart(bags, met, r) <= most
         yield int(r), met[near], most[near]
 
 
+def _apart(bags: np.ndarray, met: np.ndarray, r: int) -> np.ndarray:
+    """What bag ``r`` and each of ``met`` have more than the other, on the side where that is more."""
+    common = np.minimum(bags[met], bags[r]).sum(axis=1, dtype=np.int64)
+    return np.maximum(bags[met].sum(axis=1, dtype=np.int64), bags[r].sum(dtype=np.int64)) - common
+
+
 def _block_hopes(t: pa.Table) -> pa.RecordBatch:
     """Members of one block that are near to another component by their bags."""
-    bags = np.frombuffer(b"".join(t.column("bag").to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16)
+    bags = np.frombuffer(b"".join(t.column("bag").to_pylist()), np.uint8).reshape(-1, BAG)
     found = {i for r, met, _ in _meetings(t, bags, t.column("n_words").to_numpy().astype(np.int64)) if len(met) for i in (r, *met.tolist())}
     some = t.take(pa.array(sorted(found), pa.int64())).combine_chunks()
     return pa.RecordBatch.from_arrays([some.column(c).combine_chunks().cast(pa.int64()) for c in ("key", "node")], ["key", "node"])
@@ -239,13 +250,14 @@ def _block_links(t: pa.Table) -> pa.RecordBatch:
         return i
 
     # Words are split again for near pairs only, so a block's words aren't held together.
-    sizes, bags = np.zeros(len(text), np.int64), np.zeros((len(text), BAG), np.int16)
+    sizes, bags, wide = np.zeros(len(text), np.int64), np.zeros((len(text), BAG), np.uint8), np.zeros((len(text), 1 << WIDE_BITS), np.uint16)
     for i, x in enumerate(text):
-        w = x.lower().split()
-        sizes[i], bags[i] = len(w), word_bag(word_hashes(w))
+        h = word_hashes(x.lower().split())
+        sizes[i], bags[i], wide[i] = len(h), word_bag(h), wide_bag(h)
     found = []
     for r, met, most in _meetings(t, bags, sizes):
-        for m, k in zip(met.tolist(), most.tolist(), strict=True):
+        near = _apart(wide, met, r) <= most  # of texts of many words, BAG counts leave most unlike pairs
+        for m, k in zip(met[near].tolist(), most[near].tolist(), strict=True):
             a, b = find(root[r]), find(root[m])
             if a != b and min(keys[r] & keys[m]) == key[r] and banded_distance(text[r].lower().split(), text[m].lower().split(), k) <= k:
                 up[a] = b
@@ -275,23 +287,34 @@ def _by_block(handle: Callable[[pa.Table], pa.RecordBatch]) -> Callable[[Iterato
 
 
 def _open_groups(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, node, root, minor) of the members of groups in several components: minor ones are outside the hub's."""
+    """(key, node, root, minor, cols, rows) of the members of groups in several components: minor ones are outside the hub's, and blocks cut all and minor members.
+
+    The hub itself is left out, as it has met every member.
+    """
     grouped = pairs.toDF("key", "node").unionByName(pairs.select(F.col("hub").alias("key"), F.col("hub").alias("node")).distinct())
     labelled = grouped.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min_by("root", "node").alias("main"), F.min("root").alias("low"), F.max("root").alias("high"))
-    mixed = mixed.where("n > 2 and low != high").select("key", "main")
-    return staged(labelled.join(mixed, "key").select("key", "node", "root", (F.col("root") != F.col("main")).alias("minor")), "nd-open")
+    each = labelled.groupBy("key", "root").agg(F.count("*").alias("n"), F.min("node").alias("low"))
+    mixed = each.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.min_by("root", "low").alias("main"), F.min_by("n", "low").alias("n_main"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = mixed.where("n > 2 and kinds > 1").select("key", "main", blocks(F.col("n") - 1).alias("cols"), blocks(F.col("n") - F.col("n_main")).alias("rows"))
+    members = labelled.where("node != key").join(mixed, "key")
+    return staged(members.select("key", "node", "root", (F.col("root") != F.col("main")).alias("minor"), "cols", "rows"), "nd-open")
+
+
+def _hopeful(unsure: DataFrame, hopes: DataFrame) -> DataFrame:
+    """The rows of ``unsure`` in ``hopes`` (key, node), with the blocks of what is left."""
+    some = unsure.drop("cols", "rows").join(hopes, ["key", "node"])
+    count = some.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cols"), F.ceil(F.count_if(F.col("minor")) / BLOCK).cast("int").alias("rows"))
+    return staged(some.join(count.where("rows > 0"), "key"), "nd-some")
 
 
-def _blocks(rows: DataFrame, known: DataFrame) -> DataFrame:
+def _blocks(sized: DataFrame, known: DataFrame) -> DataFrame:
     """Members of open groups, with what is ``known`` of a node, dealt and sorted by blocks.
 
     Members outside the hub's component are rows, all members are columns, and blocks cut both, so a
     large group with few such members costs little more than its size. A group of many unlike members
     costs a comparison of bags for each pair of them.
     """
-    count = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cols"), F.ceil(F.count_if("minor") / BLOCK).cast("int").alias("rows"))
-    sized = rows.join(count.where("rows > 0"), "key")
     place = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
     kept = ["key", "node", "root", "minor"]
@@ -408,11 +431,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hopes = staged(_blocks(unsure, bags).mapInArrow(_by_block(_block_hopes), "key long, node long").distinct(), "nd-hopes")
     discard(bags)
     if not hopes.isEmpty():
-        some = staged(unsure.join(hopes, ["key", "node"]), "nd-some")
+        some = _hopeful(unsure, hopes)
         keys = some.groupBy("node").agg(F.collect_set("key").alias("keys"))
         known = keys.join(_texts(plain, some.select("node"), nodes), "node")
         late = staged(_blocks(some, known).mapInArrow(_by_block(_block_links), "a long, b long"), "nd-late")
-        roots = components(links.unionByName(late))
+        if not late.isEmpty():
+            # Components so far are stars, so no link is followed again.
+            roots = components(roots.toDF("a", "b").unionByName(late))
     by_hash = staged(_named(nodes, roots).withColumn("n", F.col("copies")), "nd-classes")
     discard(pairs, near, checked, unsure)
     hexed = F.lower(F.hex("hash")).alias("text_md5")
