@@ -213,3 +213,14 @@ def test_scores_past_64_bits(spark):
     a, left, right = 9 * 10**13, 9 * 10**13 + 3, 10**14 - 1
     got = spark.createDataFrame([(a, left, right)], "a long, l long, r long").select(collocations._score(F.col("a"), F.col("l"), F.col("r"))).first()[0]
     assert got == 10**6 * a * a // (left * right)
+
+
+def test_phrases_of_fragments_in_compiled_code(spark, monkeypatch):
+    """All n-grams with the pivot and no other, listed by compiled code (before: by an interpreted lambda)."""
+    rows = [("en", 1, 2, 2, "a b p c d", 3), ("en", 1, 1, 1, "b p c", 4), ("en", 1, 0, 1, "p c", 5), ("en", 1, 1, 0, "b p", 6), ("en", 2, 0, 1, "q r", 7), ("en", 4, 0, 1, "q r", 8)]
+    plans, staged = [], collocations.staged
+    monkeypatch.setattr(collocations, "staged", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or staged(df, name))
+    got = collocations.owned_phrases(spark.createDataFrame(rows, "lang string, key long, at int, right int, fragment string, n long"), 1)
+    want = {"b p": 13, "p c": 12, "a b p": 3, "b p c": 7, "p c d": 3, "q r": 15}
+    assert sorted(map(tuple, got.collect())) == sorted(("en", phrase, a) for phrase, a in want.items())
+    assert "lambda" not in plans[0]

@@ -162,7 +162,9 @@ def owned_phrases(parts: DataFrame, least: int = LEAST) -> DataFrame:
     gram = lambda start, k, ok: F.when(ok, cut(cut(F.col("fragment"), start + k), F.lit(-k)))
     pairs = gram(at - 1, 2, at >= 1), gram(at, 2, right >= 1)
     grams = F.array(*pairs, gram(at - 2, 3, at >= 2), gram(at - 1, 3, (at >= 1) & (right >= 1)), gram(at, 3, right >= 2))
-    mined = routed.select("lang", "key", "n", F.explode(F.array_compact(grams)).alias("phrase")).groupBy("lang", "key", "phrase").agg(F.sum("n").alias("a"))
+    # Nulls are dropped after explode: array_compact is interpreted, and all expressions under it with it.
+    listed = routed.select("lang", "key", "n", F.explode(grams).alias("phrase")).where("phrase is not null")
+    mined = listed.groupBy("lang", "key", "phrase").agg(F.sum("n").alias("a"))
     whole = F.col("key").bitwiseAND(F.lit(1)) == 1
     mined = staged(mined.where(~whole | (F.col("a") >= least)), "mined")
     dealt = mined.where(~whole).groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
