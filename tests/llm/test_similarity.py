@@ -308,3 +308,47 @@ def test_components_stop_at_stars(spark, monkeypatch):
     monkeypatch.setattr(module, "staged", lambda df, name: steps.append(name) or staged(df, name))
     rows = {r.node: r.root for r in module.components(spark.createDataFrame([(1, n) for n in range(2, 30)] + [(40, 50)], "a long, b long")).collect()}
     assert rows == dict.fromkeys(range(1, 30), 1) | {40: 40, 50: 40} and len(steps) == 2
+
+
+def test_hubs_are_met_where_keys_are_dealt(spark, monkeypatch):
+    """Pairs of hub and member take no shuffle of buckets but that by key (before: cut buckets were shuffled twice more, to be counted and joined)."""
+    rng, seen, staged = random.Random(4), {}, neardup.staged
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(w if rng.random() > 0.1 else f"n{rng.randrange(10**6)}" for w in base[: rng.choice((30, 45, 60))]) for _ in range(150)]
+    monkeypatch.setattr(neardup, "staged", lambda df, name: seen.setdefault(name, (df, staged(df, name)))[1])
+    monkeypatch.setattr(neardup, "discard", lambda *_: None)
+    neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    plan = seen["nd-pairs"][0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in plan
+    # The same pairs by hand.
+    node = {bytes(r.hash): r.node for r in seen["nd-nodes"][1].collect()}
+    row = {r.row: node[bytes(r.hash)] for r in seen["nd-sketches"][1].collect()}
+    buckets = defaultdict(set)
+    for r in seen["nd-sketches"][1].collect():
+        c = int(np.floor(np.log(r.n_words) / float(np.log(1 / neardup.SIMILARITY))))
+        for key in r["keys"] if row[r.row] == r.row else []:
+            buckets[key, c].add(r.row)
+            buckets[key, c + 1].add(r.row)
+    want = {(min(b), n) for b in buckets.values() for n in b if n != min(b)}
+    assert want and sorted(map(tuple, seen["nd-pairs"][1].collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_texts_to_verify_are_shuffled_once(spark, monkeypatch, few):
+    """Ids say where a text goes, for hubs and members at once (before: texts were read and joined for members and for hubs, then met in a third join)."""
+    monkeypatch.setattr(neardup, "HUB_SHARE", 3)
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 1000 if few else 0)
+    monkeypatch.setattr(neardup, "SLICE", 2)
+    word = lambda n, i: f"w{i}" if i >= n % 4 else f"x{n}"
+    texts = {n: " ".join(word(n, i) for i in range(10)) for n in range(40)}
+    pairs = [(0, n) for n in range(1, 40)] + [(1, n) for n in range(2, 9)] + [(38, 39)]
+    table = spark.createDataFrame(list(texts.items()), "node long, text string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        checked = neardup._verified(spark.createDataFrame(pairs, "hub long, member long"), table)
+        plan = checked._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, checked.collect())) == sorted((a, b, neardup.similar(texts[a], texts[b])) for a, b in pairs)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plan.count("Join") == 1 and plan.count("Exchange hashpartitioning") == (1 if few else 3)

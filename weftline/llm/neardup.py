@@ -193,11 +193,17 @@ def _near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (hub, salt), a hub's own text before those of its members."""
+    hub_text = None
     for whole in batches:
         for start in range(0, whole.num_rows, SLICE):
-            part = whole.slice(start, SLICE)
-            linked = [similar(a, b) for a, b in zip(part.column("hub_text").to_pylist(), part.column("text").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("hub"), part.column("member"), pa.array(linked, pa.bool_())], ["hub", "member", "linked"])
+            found = []
+            for hub, node, text in zip(*(whole.slice(start, SLICE).column(c).to_pylist() for c in ("hub", "node", "text")), strict=True):
+                if node == hub:
+                    hub_text = text
+                else:
+                    found.append((hub, node, similar(hub_text, text)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["hub", "member", "linked"])
 
 
 def word_bag(h: np.ndarray) -> np.ndarray:
@@ -325,13 +331,16 @@ def _blocks(sized: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(hub, member) to (hub, member, linked). A hub's text is copied for every HUB_SHARE members, and dealt with them."""
+    """(hub, member) to (hub, member, linked). A hub's text is copied for every HUB_SHARE members, and dealt with them.
+
+    Where each text goes is told by ids first, so texts meet in one shuffle; few ids are broadcast, and no other shuffle holds texts.
+    """
     pairs = pairs.join(pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_SHARE).cast("int").alias("salts")), "hub")
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int"))
     hubs = pairs.groupBy("hub").agg(F.max("salts").alias("salts")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    members = salted.join(texts.withColumnRenamed("node", "member"), "member")
-    hub_texts = hubs.join(texts.toDF("hub", "hub_text"), "hub").select("hub", "salt", "hub_text")
-    met = members.join(hub_texts, ["hub", "salt"]).select("hub", "member", "hub_text", "text")
+    places = salted.select(F.col("member").alias("node"), "hub", "salt").unionByName(hubs.select(F.col("hub").alias("node"), "hub", "salt"))
+    sent = texts.join(_few(staged(places, "nd-places")), "node").select("hub", "salt", "node", "text")
+    met = sent.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("node") != F.col("hub"))
     return met.mapInArrow(_verify_batches, "hub long, member long, linked boolean")
 
 
@@ -353,7 +362,8 @@ def _few(nodes: DataFrame) -> DataFrame:
 
 def _texts(plain: DataFrame, some: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text) of the nodes in ``some``. Few are broadcast, so texts that aren't wanted stay where they are; more are joined."""
-    wanted = _few(staged(some.distinct().join(nodes, "node").select("node", "copies", F.col("first.id").alias("id"), F.col("hash").alias("of")), "nd-wanted"))
+    some = _few(staged(some.distinct(), "nd-some-nodes"))
+    wanted = _few(staged(nodes.join(some, "node").select("node", "copies", F.col("first.id").alias("id"), F.col("hash").alias("of")), "nd-wanted"))
     found = plain.join(wanted, plain["doc_id"].eqNullSafe(wanted["id"]) & (plain["hash"] == wanted["of"])).select("node", "text", "copies")
     # Only a text with copies can have several rows of one id.
     found = staged(found, "nd-texts")
@@ -368,6 +378,17 @@ def _shared(buckets: DataFrame) -> DataFrame:
     return beside.where("_before is not null or _after is not null").drop("_before", "_after")
 
 
+def _met(buckets: DataFrame) -> DataFrame:
+    """(hub, member) of ``buckets`` (key, node, c): in a key's length classes c and c + 1 every node meets the least.
+
+    A class lies within its key, so all is done where the key's rows have been dealt and sorted; only pairs are shuffled again.
+    """
+    cut = _shared(buckets).select("key", "node", F.explode(F.array(F.col("c"), F.col("c") + 1)).alias("c"))
+    so_far = Window.partitionBy("key", "c").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = cut.withColumn("hub", F.min("node").over(so_far)).where("node != hub")
+    return met.select("hub", F.col("node").alias("member")).distinct()
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     """(node) of ``pairs``: hubs, few for many pairs, and members; a node may come twice."""
     return pairs.select(F.col("hub").alias("node")).distinct().unionByName(pairs.select(F.col("member").alias("node")).distinct())
@@ -413,14 +434,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         mine = mine.join(F.broadcast(more), "row", "left_anti")
     else:
         mine = staged(mine.join(more, "row", "left_anti"), "nd-mine")
-    buckets = mine.select(F.col("row").alias("node"), "n_words", F.explode("keys").alias("key"))
-    shared = staged(_shared(buckets), "nd-shared")
-    size_class = F.floor(F.log("n_words") / float(np.log(1 / SIMILARITY)))
-    cut = shared.select("node", "key", size_class.alias("c")).select("node", F.explode(F.array(F.xxhash64("key", "c"), F.xxhash64("key", F.col("c") + 1))).alias("key"))
-    hubs = cut.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    met = cut.join(hubs, "key").where("node != hub")
-    pairs = staged(met.select("hub", F.col("node").alias("member")).distinct(), "nd-pairs")
-    discard(shared)
+    size_class = F.floor(F.log("n_words") / float(np.log(1 / SIMILARITY))).cast("byte")
+    # Keys stand first and classes take a byte, as what follows a key is then often what followed the last one, which compresses.
+    buckets = mine.select(F.explode("keys").alias("key"), F.col("row").alias("node"), size_class.alias("c"))
+    pairs = staged(_met(buckets), "nd-pairs")
     bags = _bags(pairs, rows)
     near = _near_pairs(pairs, bags)
     checked = staged(_verified(near, _texts(plain, _ends(near), nodes)), "nd-checked")
